@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.canonical import quoted
 from ..sources.storage import scratch
@@ -31,7 +31,7 @@ def sequence_sync(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def assign_keys(df: DataFrame, start: int, order: Sequence[str], name: str = "new_id",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, position: Column | None = None) -> DataFrame:
     """Dense ids ``start, start + 1, …`` in the order given, without sorting all rows in one task.
 
     The range-sorted rows are written to the shared folder; each file's row
@@ -43,7 +43,7 @@ def assign_keys(df: DataFrame, start: int, order: Sequence[str], name: str = "ne
     path = scratch(spark, "keys") + "/sorted"
     names = [quoted(c) for c in order]
     sort = [*names, F.col("_pos")]
-    placed = with_position(df)
+    placed = with_position(df, position)
     ranged = placed.repartitionByRange(partitions, *sort) if partitions else placed.repartitionByRange(*sort)
     ranged.sortWithinPartitions(*sort).drop("_pos").write.option("maxRecordsPerFile", 0).parquet(path)
 

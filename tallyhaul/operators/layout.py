@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.errors import AnalysisException
 
 from ..functions.canonical import quoted
 
@@ -43,27 +42,28 @@ def unrouted(df: DataFrame, column: str, children: Sequence[tuple[str, object, o
     return df.filter(route_range(quoted(column), children).isNull())
 
 
-def with_position(df: DataFrame, name: str = "_pos") -> DataFrame:
-    """A number that tells equal rows apart and is the same when a lost task is run again.
+def file_position() -> Column:
+    """A row's place in its file: tells equal rows apart and is the same however often a task is run.
+    Only for DataFrames that are read straight from files."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
-    For a file scan this is the row's place in its file; elsewhere a row hash
-    with the task's own counter, which is as repeatable as the input's order.
-    """
-    try:
-        placed = df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
-        placed.schema  # analysed now, so that the fallback below can answer
-        return placed
-    except AnalysisException:
-        return df.select("*", F.xxhash64(F.monotonically_increasing_id()).alias(name))
+
+def with_position(df: DataFrame, position: Column | None, name: str = "_pos") -> DataFrame:
+    """Adds ``position``, or without one a counter per task, which is as repeatable as the input's row order."""
+    return df.select("*", (F.monotonically_increasing_id() if position is None else position).alias(name))
 
 
-def clustered(df: DataFrame, columns: Sequence[str], files: int) -> DataFrame:
+def clustered(df: DataFrame, columns: Sequence[str], files: int, position: Column | None = None) -> DataFrame:
     """Sorted into ``files`` key ranges. The row's position breaks ties, so a value that
-    fills a third of the table is cut over several ranges and not sorted by one task."""
+    fills a third of the table is cut over several ranges and not sorted by one task.
+
+    Give :func:`file_position` when ``df`` is a file scan.
+    """
     names = [quoted(c) for c in columns]
-    return (with_position(df).repartitionByRange(files, *names, F.col("_pos"))
+    return (with_position(df, position).repartitionByRange(files, *names, F.col("_pos"))
             .sortWithinPartitions(*names).drop("_pos"))
 
 
-def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int, mode: str = "errorifexists") -> None:
-    clustered(df, columns, files).write.mode(mode).parquet(path)
+def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int, position: Column | None = None,
+                    mode: str = "errorifexists") -> None:
+    clustered(df, columns, files, position).write.mode(mode).parquet(path)

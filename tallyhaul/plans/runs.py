@@ -24,7 +24,8 @@ def run_summary(steps: DataFrame, run_log: DataFrame, order: str = "logged_at")
     steps is spread over tasks by step before it is added up.
     """
     planned = steps.select("run_id", "step_id", F.lit(True).alias("_planned"), F.lit(None).cast("boolean").alias("ok"),
-                           F.lit(None).cast("double").alias("elapsed_s"), F.lit(None).alias("_at"))
+                           F.lit(None).cast(run_log.schema["elapsed_s"].dataType).alias("elapsed_s"),
+                           F.lit(None).alias("_at"))
     logged = run_log.select("run_id", "step_id", F.lit(False).alias("_planned"), "ok", "elapsed_s",
                             F.col(order).alias("_at"))
     per_step = (planned.unionByName(logged).groupBy("run_id", "step_id")
@@ -32,7 +33,7 @@ def run_summary(steps: DataFrame, run_log: DataFrame, order: str = "logged_at")
                      F.sum("elapsed_s").alias("elapsed_s")))
     sums = per_step.groupBy("run_id").agg(
         F.count_if("_planned").alias("total_steps"), F.count_if("ok").alias("ok_steps"),
-        F.count_if(~F.col("ok")).alias("failed_steps"), F.coalesce(F.sum("elapsed_s"), F.lit(0.0)).alias("elapsed_s"))
+        F.count_if(~F.col("ok")).alias("failed_steps"), F.coalesce(F.sum("elapsed_s"), F.lit(0)).alias("elapsed_s"))
     skipped = F.greatest(F.col("total_steps") - F.col("ok_steps") - F.col("failed_steps"), F.lit(0))
     return sums.select("run_id", "total_steps", "ok_steps", "failed_steps", skipped.alias("skipped_steps"), "elapsed_s",
                        (F.col("failed_steps") == 0).alias("success"), next_action(F.col("failed_steps") > 0).alias("next_action"))
@@ -50,10 +51,11 @@ def next_action(failed_steps: Column, failed_tables: Column | None = None, open_
 
 
 def run_report(summary: DataFrame, verified: DataFrame) -> DataFrame:
-    """Run summaries joined to the one-row outcome of their verification (see ``verify_summary``)."""
-    outcome = F.broadcast(verified.select(F.col("ok").alias("verified"), "tables_checked",
-                                          F.col("failed").alias("failed_tables")))
-    both = summary.drop("next_action").join(outcome, F.lit(True))
+    """Run summaries with the outcome of their verification (the one row of ``verify_summary``)."""
+    both = summary.drop("next_action").withColumns({
+        "verified": verified.select("ok").scalar(),
+        "tables_checked": verified.select("tables_checked").scalar(),
+        "failed_tables": verified.select("failed").scalar()})
     return both.withColumns({
         "success": F.col("success") & F.col("verified"),
         "next_action": next_action(F.col("failed_steps") > 0, F.col("failed_tables") != "")})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..functions.canonical import quoted
 from ..operators.layout import write_clustered
+from ..sources.storage import swap_in
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -35,11 +36,13 @@ def copy_stream(stream: DataFrame, path: str, checkpoint: str, partition_by: Seq
 def view_stream(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
                 cluster_by: Sequence[str] = ()) -> None:
     """Keep a saved aggregate up to date: each batch replaces it with the complete result so far."""
-    def save(batch: DataFrame, _: int) -> None:
+    def save(batch: DataFrame, number: int) -> None:
+        staged = f"{path.rstrip('/')}__batch_{number}"
         if cluster_by:
-            write_clustered(batch, path, cluster_by, 1, mode="overwrite")
+            write_clustered(batch, staged, cluster_by, 1, mode="overwrite")
         else:
-            batch.write.mode("overwrite").parquet(path)
+            batch.write.mode("overwrite").parquet(staged)
+        swap_in(batch.sparkSession, staged, path.rstrip("/"))
 
     (aggregate(stream).writeStream.outputMode("complete").foreachBatch(save)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
