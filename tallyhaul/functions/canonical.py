@@ -9,57 +9,66 @@ Two kinds of row hash serve two needs:
 
 A fingerprint is the *sum* of the row hashes, so it needs no order and one small
 aggregate, and equal rows add up instead of cancelling (as they would in xor).
+
+Expressions over all columns of a table are written as SQL text: a wide table
+then costs the driver one parsed expression and not hundreds of Column objects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-NULL_TEXT = "\\N"
 _COMPLEX = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 # 64 hash bits are summed as 22 + 21 + 21 bits in three bigints: plain additions
 # that stay clear of overflow up to 2^41 rows per group.
 _PIECES = ((22, 0), (21, 22), (21, 43))
 
 
-def _field_map(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def quoted(name: str) -> Column:
     """Column by its exact name, also when it holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
+
+def _types(df: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
 
 
-def _json(col: Column, dtype: T.DataType) -> Column:
+def _nested_text(col: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.VariantType):
-        return F.to_json(col)
+        return f"to_json({col})"
     if isinstance(dtype, T.MapType):
-        col = F.array_sort(F.map_entries(col))
-    wrapped = F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"})
-    return F.when(col.isNotNull(), wrapped)
+        col = f"array_sort(map_entries({col}))"
+    return f"if({col} IS NULL, NULL, to_json(named_struct('v', {col}), map('ignoreNullFields', 'false')))"
 
 
-def json_text(col: Column) -> Column:
+def json_text(col: str) -> str:
     """JSON text with sorted keys and no spaces; text that is not JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(col)), col)
+    return f"coalesce(to_json(try_parse_json({col})), {col})"
 
 
-def value_text(col: Column, dtype: T.DataType) -> Column:
-    """Exact text of one value; NULL stays NULL. Doubles keep every digit they need to be read back."""
+def value_text(col: str, dtype: T.DataType) -> str:
+    """SQL for the exact text of one value; NULL stays NULL. Doubles keep every digit needed to read them back."""
     if isinstance(dtype, T.StringType):
         return col
     if isinstance(dtype, T.BinaryType):
-        return F.hex(col)
+        return f"hex({col})"
     if isinstance(dtype, T.TimestampType):
         # an instant, so the text must not depend on the session time zone
-        return F.unix_micros(col).cast("string")
+        return f"cast(unix_micros({col}) AS string)"
     if isinstance(dtype, _COMPLEX):
-        return _json(col, dtype)
-    return col.cast("string")
+        return _nested_text(col, dtype)
+    return f"cast({col} AS string)"
 
 
 def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
@@ -67,33 +76,29 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns:
 
     ``json_columns`` are JSON text whose key order and spacing must not count.
     """
-    types = _field_map(df)
-    json_columns = set(json_columns)
-    parts = []
+    types, json_columns, parts = _types(df), set(json_columns), []
     for name in columns or df.columns:
-        col = quoted(name)
+        col = sql_name(name)
         text = json_text(col) if name in json_columns else value_text(col, types[name])
         if isinstance(types[name], (T.StringType, *_COMPLEX)):
-            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-        parts.append(F.coalesce(text, F.lit(NULL_TEXT)))
-    return F.concat_ws("|", *parts)
+            text = rf"replace(replace({text}, r'\', r'\\'), '|', r'\|')"
+        parts.append(rf"coalesce({text}, r'\N')")
+    return F.expr(f"concat_ws('|', {', '.join(parts)})")
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
     """64-bit hash of the typed row. NULL positions are hashed too, as ``xxhash64`` alone skips NULLs."""
-    types = _field_map(df)
-    json_columns = set(json_columns)
-    values, nulls = [], []
+    types, json_columns, values, nulls = _types(df), set(json_columns), [], []
     for name in columns or df.columns:
-        col = quoted(name)
+        col = sql_name(name)
         if name in json_columns:
             values.append(json_text(col))
         elif isinstance(types[name], _COMPLEX):
-            values.append(_json(col, types[name]))
+            values.append(_nested_text(col, types[name]))
         else:
             values.append(col)
-        nulls.append(col.isNull())
-    return F.xxhash64(*values, *nulls)
+        nulls.append(f"{col} IS NULL")
+    return F.expr(f"xxhash64({', '.join(values + nulls)})")
 
 
 def portable_hash(text: Column) -> Column:
@@ -101,30 +106,27 @@ def portable_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
-def hash_pieces(h: Column) -> list[Column]:
-    return [F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-            for bits, shift in _PIECES]
+def hash_pieces(h: str) -> list[str]:
+    return [f"(shiftrightunsigned({h}, {shift}) & {(1 << bits) - 1}L)" for bits, shift in _PIECES]
 
 
-def join_pieces(pieces: Sequence[Column]) -> Column:
-    """The summed pieces as one whole number, as text."""
-    total = None
-    for piece, (_, shift) in zip(pieces, _PIECES):
-        term = piece.cast("decimal(20,0)") * F.lit(Decimal(1 << shift))
-        total = term if total is None else total + term
-    return F.coalesce(total, F.lit(Decimal(0))).cast("decimal(38,0)").cast("string")
+def join_pieces(pieces: Sequence[str]) -> str:
+    """The summed pieces as one whole number, as text; no rows give 0."""
+    terms = [f"cast({p} AS decimal(20,0)) * cast({1 << shift} AS decimal(14,0))"
+             for p, (_, shift) in zip(pieces, _PIECES)]
+    return f"cast(cast(coalesce({' + '.join(terms)}, 0) AS decimal(38,0)) AS string)"
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, algorithm: str = "xxhash64",
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), json_columns: Iterable[str] = ()) -> DataFrame:
     """``(by…, row_count, fingerprint)``: one map-side aggregate, no sort, whatever the row order."""
     columns = list(columns or df.columns)
     if algorithm == "md5":
-        hashed = df.select(*by, portable_hash(row_text(df, columns)).alias("_h"))
-        value = F.coalesce(F.sum("_h"), F.lit(Decimal(0))).cast("decimal(38,0)").cast("string")
-        return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), value.alias("fingerprint"))
-    if algorithm != "xxhash64":
+        hashed = df.select(*by, portable_hash(row_text(df, columns, json_columns)).alias("_h"))
+        value = "cast(cast(coalesce(sum(_h), 0) AS decimal(38,0)) AS string)"
+    elif algorithm == "xxhash64":
+        hashed = df.select(*by, row_hash(df, columns, json_columns).alias("_h"))
+        value = join_pieces([f"sum({p})" for p in hash_pieces("_h")])
+    else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    hashed = df.select(*by, row_hash(df, columns).alias("_h"))
-    sums = [F.sum(p) for p in hash_pieces(F.col("_h"))]
-    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), join_pieces(sums).alias("fingerprint"))
+    return hashed.groupBy(*by).agg(F.expr("count(*) AS row_count"), F.expr(f"{value} AS fingerprint"))

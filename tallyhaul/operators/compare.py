@@ -12,44 +12,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.canonical import hash_pieces, quoted, row_hash
+from ..functions.canonical import hash_pieces, quoted, row_hash, sql_name, sql_text, value_text
 
 _NET = ("_d0", "_d1", "_d2")
+NET_AGGREGATES = ("count_if(_side > 0) AS source_rows", "count_if(_side < 0) AS target_rows",
+                  *[f"sum({d}) AS {d}" for d in _NET])
+DIFFERS = "(source_rows <> target_rows OR " + " OR ".join(f"coalesce({d}, 0) <> 0" for d in _NET) + ")"
 
 
-def _same_columns(source: DataFrame, target: DataFrame) -> None:
+def same_columns(source: DataFrame, target: DataFrame) -> None:
     if source.columns != target.columns:
         raise ValueError(f"columns differ, conform first: {source.columns} / {target.columns}")
 
 
-def _signed(df: DataFrame, sign: int, keep: Sequence[Column], columns: Sequence[str] | None = None) -> DataFrame:
-    hashed = df.select(*keep, row_hash(df, columns).alias("_h"))
-    names = hashed.columns[:-1]
-    return hashed.select(*[quoted(n) for n in names], F.lit(sign).alias("_side"),
-                         *[(p * F.lit(sign)).alias(d) for p, d in zip(hash_pieces(F.col("_h")), _NET)])
+def _signed(df: DataFrame, sign: int, keep: Sequence[Column]) -> DataFrame:
+    hashed = df.select(*keep, row_hash(df).alias("_h"))
+    return hashed.selectExpr(*[sql_name(n) for n in hashed.columns[:-1]], f"{sign} AS _side",
+                             *[f"{p} * {sign} AS {d}" for p, d in zip(hash_pieces("_h"), _NET)])
 
 
-def _net_aggregates() -> list[Column]:
-    return [F.count_if(F.col("_side") > 0).alias("source_rows"),
-            F.count_if(F.col("_side") < 0).alias("target_rows"),
-            *[F.sum(d).alias(d) for d in _NET]]
+def both_signed(source: DataFrame, target: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
+    """Rows of both sides as ``(keep…, _side, signed hash pieces)``."""
+    same_columns(source, target)
+    return _signed(source, 1, keep).unionAll(_signed(target, -1, keep))
 
 
-def _differs() -> Column:
-    out = F.col("source_rows") != F.col("target_rows")
-    for d in _NET:
-        out = out | (F.col(d) != 0)
-    return out
-
-
-def compare_by(source: DataFrame, target: DataFrame, by: dict[str, Column],
-               columns: Sequence[str] | None = None) -> DataFrame:
-    """Per group: rows on both sides and whether the contents differ."""
-    _same_columns(source, target)
-    keep = [c.alias(n) for n, c in by.items()]
-    both = _signed(source, 1, keep, columns).unionAll(_signed(target, -1, keep, columns))
-    out = both.groupBy(*[quoted(n) for n in by]).agg(*_net_aggregates())
-    return out.select(*[quoted(n) for n in by], "source_rows", "target_rows", _differs().alias("differs"))
+def compare_by(source: DataFrame, target: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """``(by…, source_rows, target_rows, differs)`` per group."""
+    names = [sql_name(n) for n in by]
+    both = both_signed(source, target, [c.alias(n) for n, c in by.items()])
+    grouped = both.groupBy(*names).agg(*[F.expr(a) for a in NET_AGGREGATES])
+    return grouped.selectExpr(*names, "source_rows", "target_rows", f"{DIFFERS} AS differs")
 
 
 def chunk_diff(source: DataFrame, target: DataFrame, chunk: Column, name: str = "chunk") -> DataFrame:
@@ -63,22 +56,18 @@ def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk:
     With ``chunk`` only the chunks with unequal fingerprints are compared row by
     row, which pays off when the two tables are nearly equal.
     """
-    _same_columns(source, target)
+    same_columns(source, target)
     if chunk is not None:
-        bad = chunk_diff(source, target, chunk, "_chunk").select("_chunk")
-        names = source.columns
-
-        def in_bad(df: DataFrame) -> DataFrame:
-            tagged = df.withColumn("_chunk", chunk).alias("t")
-            return tagged.join(bad.alias("b"), F.expr("t._chunk <=> b._chunk"), "left_semi").select(
-                *[quoted(n) for n in names])
-
-        source, target = in_bad(source), in_bad(target)
+        bad = chunk_diff(source, target, chunk, "_chunk").select("_chunk").alias("b")
+        names = [sql_name(n) for n in source.columns]
+        source, target = [
+            df.withColumn("_chunk", chunk).alias("t").join(bad, F.expr("t._chunk <=> b._chunk"), "left_semi").select(*names)
+            for df in (source, target)]
     found = compare_by(source, target, {k: quoted(k) for k in keys}).filter("differs")
-    status = (F.when(F.col("target_rows") == 0, "missing_in_target")
-              .when(F.col("source_rows") == 0, "missing_in_source")
-              .otherwise("changed"))
-    return found.select(*[quoted(k) for k in keys], status.alias("status"), "source_rows", "target_rows")
+    return found.selectExpr(
+        *[sql_name(k) for k in keys],
+        "CASE WHEN target_rows = 0 THEN 'missing_in_target' WHEN source_rows = 0 THEN 'missing_in_source' "
+        "ELSE 'changed' END AS status", "source_rows", "target_rows")
 
 
 def diff_values(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,32 +76,20 @@ def diff_values(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
     Only keys found once per side have one old and one new value to show; keys
     that repeat are reported by :func:`diff_rows` with their counts.
     """
-    _same_columns(source, target)
-    from ..functions.canonical import value_text  # text only for the rows that differ
-
+    names = [sql_name(k) for k in keys]
     changed = diff_rows(source, target, keys).filter(
-        "status = 'changed' AND source_rows = 1 AND target_rows = 1").select(*[quoted(k) for k in keys])
-    rest = [n for n in source.columns if n not in set(keys)]
-    types = {f.name: f.dataType for f in source.schema.fields}
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        on = None
-        for k in keys:
-            test = F.col(f"d.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
-            on = test if on is None else on & test
-        near = df.alias("d").join(changed.alias("c"), on, "left_semi")
-        values = F.struct(*[value_text(quoted(n), types[n]).alias(n) for n in rest])
-        return near.select(*[quoted(k) for k in keys], F.lit(tag).alias("_side"), values.alias("_v"))
-
-    both = side(source, "s").unionAll(side(target, "t"))
-    pairs = both.groupBy(*[quoted(k) for k in keys]).agg(
-        F.max(F.when(F.col("_side") == "s", F.col("_v"))).alias("_s"),
-        F.max(F.when(F.col("_side") == "t", F.col("_v"))).alias("_t"))
-    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col("_s").getField(n).alias("source_value"),
-                               F.col("_t").getField(n).alias("target_value")) for n in rest])
-    out = pairs.select(*[quoted(k) for k in keys], F.explode(cells).alias("_c")).select(
-        *[quoted(k) for k in keys], "_c.*")
-    return out.filter(~F.col("source_value").eqNullSafe(F.col("target_value")))
+        "status = 'changed' AND source_rows = 1 AND target_rows = 1").select(*names).alias("c")
+    on = F.expr(" AND ".join(f"d.{n} <=> c.{n}" for n in names))
+    rest = [f for f in source.schema.fields if f.name not in set(keys)]
+    texts = ", ".join(f"{sql_text(f.name)}, {value_text('d.' + sql_name(f.name), f.dataType)}" for f in rest)
+    sides = [df.alias("d").join(changed, on, "left_semi").selectExpr(
+        *names, f"'{side}' AS _side", f"named_struct({texts}) AS _v") for df, side in ((source, "s"), (target, "t"))]
+    pairs = sides[0].unionAll(sides[1]).groupBy(*names).agg(
+        F.expr("max(if(_side = 's', _v, NULL)) AS _s"), F.expr("max(if(_side = 't', _v, NULL)) AS _t"))
+    cells = ", ".join(f"named_struct('column_name', {sql_text(f.name)}, 'source_value', _s.{sql_name(f.name)}, "
+                      f"'target_value', _t.{sql_name(f.name)})" for f in rest)
+    return (pairs.selectExpr(*names, f"inline(array({cells}))")
+            .filter("NOT source_value <=> target_value"))
 
 
 def bag_diff(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -120,42 +97,37 @@ def bag_diff(source: DataFrame, target: DataFrame) -> DataFrame:
 
     Grouped by whole values, so it is exact; copies of a row combine before the shuffle.
     """
-    _same_columns(source, target)
-    names = [quoted(n) for n in source.columns]
-    both = source.withColumn("_side", F.lit(1)).unionAll(target.withColumn("_side", F.lit(-1)))
-    net = both.groupBy(*names).agg(F.sum("_side").alias("_net")).filter("_net <> 0")
-    return net.select(*names, F.when(F.col("_net") > 0, "source_only").otherwise("target_only").alias("side"),
-                      F.abs("_net").alias("row_count"))
+    same_columns(source, target)
+    names = [sql_name(n) for n in source.columns]
+    both = source.selectExpr(*names, "1 AS _side").unionAll(target.selectExpr(*names, "-1 AS _side"))
+    net = both.groupBy(*names).agg(F.expr("sum(_side) AS _net")).filter("_net <> 0")
+    return net.selectExpr(*names, "if(_net > 0, 'source_only', 'target_only') AS side", "abs(_net) AS row_count")
 
 
 def bag_diff_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     """``(side, row_count)`` of the bag difference, found from row hashes so only they are shuffled."""
-    _same_columns(source, target)
-    tagged = [df.select(row_hash(df).alias("_h"), F.lit(sign).alias("_side"))
-              for df, sign in ((source, 1), (target, -1))]
-    net = tagged[0].unionAll(tagged[1]).groupBy("_h").agg(F.sum("_side").alias("_net")).filter("_net <> 0")
-    side = F.when(F.col("_net") > 0, "source_only").otherwise("target_only")
-    return net.groupBy(side.alias("side")).agg(F.sum(F.abs("_net")).alias("row_count"))
+    same_columns(source, target)
+    sides = [df.select(row_hash(df).alias("_h"), F.expr(f"{sign} AS _side")) for df, sign in ((source, 1), (target, -1))]
+    net = sides[0].unionAll(sides[1]).groupBy("_h").agg(F.expr("sum(_side) AS _net")).filter("_net <> 0")
+    return (net.selectExpr("if(_net > 0, 'source_only', 'target_only') AS side", "abs(_net) AS n")
+            .groupBy("side").agg(F.expr("sum(n) AS row_count")))
 
 
 def column_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """``(column_name, source_rows, target_rows, same)``: which columns hold other values, in one pass per side."""
-    _same_columns(source, target)
+    same_columns(source, target)
+    count = range(len(source.columns))
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         hashed = df.select(*[row_hash(df, [n]).alias(f"_h{i}") for i, n in enumerate(df.columns)])
-        return hashed.select(F.lit(sign).alias("_side"), *[
-            (p * F.lit(sign)).alias(f"_c{i}_{j}")
-            for i in range(len(df.columns)) for j, p in enumerate(hash_pieces(F.col(f"_h{i}")))])
+        return hashed.selectExpr(f"{sign} AS _side", *[
+            f"{p} * {sign} AS _c{i}_{j}" for i in count for j, p in enumerate(hash_pieces(f"_h{i}"))])
 
     totals = side(source, 1).unionAll(side(target, -1)).agg(
-        F.count_if(F.col("_side") > 0).alias("source_rows"), F.count_if(F.col("_side") < 0).alias("target_rows"),
-        *[F.coalesce(F.sum(f"_c{i}_{j}"), F.lit(0)).alias(f"_c{i}_{j}")
-          for i in range(len(source.columns)) for j in range(len(_NET))])
-    lines = []
-    for i, name in enumerate(source.columns):
-        same = F.col("source_rows") == F.col("target_rows")
-        for j in range(len(_NET)):
-            same = same & (F.col(f"_c{i}_{j}") == 0)
-        lines.append(F.struct(F.lit(name).alias("column_name"), "source_rows", "target_rows", same.alias("same")))
-    return totals.select(F.explode(F.array(*lines)).alias("_r")).select("_r.*")
+        *[F.expr(a) for a in NET_AGGREGATES[:2]],
+        *[F.expr(f"coalesce(sum(_c{i}_{j}), 0) AS _c{i}_{j}") for i in count for j in range(len(_NET))])
+    lines = ", ".join(
+        f"named_struct('column_name', {sql_text(n)}, 'source_rows', source_rows, 'target_rows', target_rows, 'same', "
+        "source_rows = target_rows AND " + " AND ".join(f"_c{i}_{j} = 0" for j in range(len(_NET))) + ")"
+        for i, n in enumerate(source.columns))
+    return totals.selectExpr(f"inline(array({lines}))")

@@ -11,6 +11,7 @@ from ..functions.canonical import fingerprint, hash_pieces, join_pieces, quoted,
 from ..sources import storage
 from ..sources.csvfiles import csv_bytes
 from .compare import chunk_diff
+from .integrity import any_null, dedupe
 
 
 class CopyMismatch(RuntimeError):
@@ -53,15 +54,17 @@ def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     task there is counted once.
     """
     seen = Observation(f"copy_{uuid.uuid4().hex}")
-    sums = [F.coalesce(F.sum(p), F.lit(0)).alias(f"p{i}") for i, p in enumerate(hash_pieces(row_hash(df)))]
-    return df.observe(seen, F.count(F.lit(1)).alias("row_count"), *sums), seen
+    # one struct per piece would hash the row three times; the observed rows carry the hash along instead
+    hashed = df.withColumn("_h", row_hash(df))
+    sums = [F.expr(f"coalesce(sum({p}), 0) AS p{i}") for i, p in enumerate(hash_pieces("_h"))]
+    return hashed.observe(seen, F.expr("count(*) AS row_count"), *sums).drop("_h"), seen
 
 
 def _check(spark: SparkSession, path: str, seen: Observation, schema: T.StructType) -> int:
     want = seen.get
-    sums = [F.lit(want[f"p{i}"]) for i in range(3)]
+    total = F.expr(join_pieces([f"{want[f'p{i}']}L" for i in range(3)]))
     got = (fingerprint(spark.read.schema(schema).parquet(path))
-           .select("row_count", (F.col("fingerprint") == join_pieces(sums)).alias("same")).first())
+           .select("row_count", (F.col("fingerprint") == total).alias("same")).first())
     if got["row_count"] != want["row_count"] or not got["same"]:
         raise CopyMismatch(f"{path}: wrote {want['row_count']} rows, read back {got['row_count']}, "
                            f"same content: {got['same']}")
@@ -173,18 +176,12 @@ def missing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 def rows_to_insert(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One source row for every key the target lacks. A NULL in a key fails, as a primary key does."""
-    from .integrity import dedupe
-
     needed = missing_keys(source, target, keys)
     found = source.join(needed, list(keys), "left_semi").select(*[quoted(c) for c in source.columns])
     no_null = [F.when(quoted(k).isNull(), F.raise_error(F.lit(f"key column {k} is NULL"))).otherwise(quoted(k))
                .alias(k) if k in set(keys) else quoted(k) for k in source.columns]
     # the check must see the rows the join would leave out
-    null_rows = None
-    for k in keys:
-        test = quoted(k).isNull()
-        null_rows = test if null_rows is None else null_rows | test
-    return dedupe(found, keys).unionAll(source.filter(null_rows).select(*no_null))
+    return dedupe(found, keys).unionAll(source.filter(any_null(keys)).select(*no_null))
 
 
 def sync_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

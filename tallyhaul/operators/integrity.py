@@ -6,35 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.canonical import quoted
+from ..functions.canonical import quoted, sql_name, sql_text
 
 
 def check_not_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_name, null_count)`` for every checked column, in one pass."""
     columns = list(columns or df.columns)
-    counts = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)])
-    lines = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("null_count"))
-                      for i, c in enumerate(columns)])
-    return counts.select(F.explode(lines).alias("r")).select("r.*")
+    counts = df.agg(*[F.expr(f"count_if({sql_name(c)} IS NULL) AS n{i}") for i, c in enumerate(columns)])
+    lines = ", ".join(f"named_struct('column_name', {sql_text(c)}, 'null_count', n{i})" for i, c in enumerate(columns))
+    return counts.selectExpr(f"inline(array({lines}))")
 
 
-def _any_null(columns: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for c in columns:
-        out = out | quoted(c).isNull()
-    return out
+def any_null(columns: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"{sql_name(c)} IS NULL" for c in columns) + ")"
 
 
 def check_pk(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, n)`` for keys that repeat or hold a NULL. Repeats combine before the shuffle."""
-    names = [quoted(k) for k in keys]
-    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | _any_null(keys))
+    return (df.groupBy(*[sql_name(k) for k in keys]).agg(F.expr("count(*) AS n"))
+            .filter(f"n > 1 OR {any_null(keys)}"))
 
 
 def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(columns…, n)`` for repeated values; a row with a NULL never clashes."""
     names = [quoted(c) for c in columns]
-    return (df.filter(~_any_null(columns)).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return (df.filter(f"NOT {any_null(columns)}").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def fk_orphan_keys(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -45,7 +41,7 @@ def fk_orphan_keys(child: DataFrame, parent: DataFrame, columns: dict[str, str])
     by hand: the runtime re-plan does that when its measured size allows.
     """
     names = list(columns)
-    used = (child.filter(~_any_null(names)).groupBy(*[quoted(c) for c in names])
+    used = (child.filter(f"NOT {any_null(names)}").groupBy(*[quoted(c) for c in names])
             .agg(F.count(F.lit(1)).alias("n")))
     have = parent.select(*[quoted(p).alias(c) for c, p in columns.items()])
     return used.join(have, names, "left_anti").select(*[quoted(c) for c in names], "n")

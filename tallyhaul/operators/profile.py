@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.canonical import quoted, value_text
+from ..functions.canonical import quoted, sql_name, sql_text, value_text
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)
 
@@ -17,29 +17,25 @@ def profile_columns(name: str, df: DataFrame, exact_distinct: bool = False) -> D
     One pass. Distinct counts are sketches of fixed size by default; exact ones
     shuffle the distinct values of every column. Nested columns have no range.
     """
-    aggs, lines = [F.count(F.lit(1)).alias("rows")], []
+    aggs, lines = ["count(*) AS row_count"], []
     for i, f in enumerate(df.schema.fields):
-        col = quoted(f.name)
-        flat = not isinstance(f.dataType, _NESTED)
-        aggs.append(F.count(col).alias(f"v{i}"))
+        col, flat = sql_name(f.name), not isinstance(f.dataType, _NESTED)
+        aggs.append(f"count({col}) AS v{i}")
         if flat:
-            aggs += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}"),
-                     (F.count_distinct(col) if exact_distinct else F.approx_count_distinct(col)).alias(f"d{i}")]
-        none = F.lit(None)
-        lines.append(F.struct(
-            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(i + 1).alias("position"),
-            F.lit(f.dataType.simpleString()).alias("type"), F.col("rows").alias("row_count"),
-            (F.col("rows") - F.col(f"v{i}")).alias("null_count"),
-            (F.col(f"d{i}") if flat else none.cast("bigint")).alias("distinct_count"),
-            (value_text(F.col(f"lo{i}"), f.dataType) if flat else none.cast("string")).alias("min_text"),
-            (value_text(F.col(f"hi{i}"), f.dataType) if flat else none.cast("string")).alias("max_text")))
-    return df.agg(*aggs).select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+            distinct = f"count(DISTINCT {col})" if exact_distinct else f"approx_count_distinct({col})"
+            aggs += [f"min({col}) AS lo{i}", f"max({col}) AS hi{i}", f"{distinct} AS d{i}"]
+        count, low, high = (f"d{i}", value_text(f"lo{i}", f.dataType), value_text(f"hi{i}", f.dataType)) if flat else (
+            "cast(NULL AS bigint)", "cast(NULL AS string)", "cast(NULL AS string)")
+        lines.append(f"named_struct('table_name', {sql_text(name)}, 'column_name', {sql_text(f.name)}, "
+                     f"'position', {i + 1}, 'type', {sql_text(f.dataType.simpleString())}, 'row_count', row_count, "
+                     f"'null_count', row_count - v{i}, 'distinct_count', {count}, 'min_text', {low}, 'max_text', {high})")
+    return df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(lines)}))")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table_name, row_count)``, also for empty tables. Reads row-group counts and no column."""
     return reduce(DataFrame.unionAll, [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        df.agg(F.expr("count(*) AS row_count")).selectExpr(f"{sql_text(name)} AS table_name", "row_count")
         for name, df in tables.items()])
 
 

@@ -8,8 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.canonical import quoted, row_text
-from .compare import compare_by
+from ..functions.canonical import row_text, sql_name, sql_text
+from .compare import DIFFERS, NET_AGGREGATES, both_signed, diff_rows
 
 SAMPLE_ROWS = 50  # fixed value: default sample size of a verification
 
@@ -28,10 +28,14 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def _sample_order(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """All key columns, then the rest so that ties cannot matter."""
+    return [sql_name(c) for c in [*keys, *[c for c in df.columns if c not in set(keys)]]]
+
+
 def sample_rows(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
-    """First rows in the order of *all* key columns, then of the rest so that ties cannot matter."""
-    rest = [c for c in df.columns if c not in set(keys)]
-    return df.orderBy(*[quoted(c) for c in [*keys, *rest]]).limit(rows)
+    """First rows in key order; without a key, in the order of the whole row."""
+    return df.orderBy(*_sample_order(df, keys)).limit(rows)
 
 
 def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -39,40 +43,32 @@ def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS
 
     Only ``rows`` short texts are ever brought together, whatever the table's size.
     """
-    order = [*keys, *[c for c in df.columns if c not in set(keys)]]
-    top = sample_rows(df, keys, rows)
-    # rows are numbered by their sort order inside the sample, which is all in one place by now
-    lines = top.select(F.struct(F.struct(*[quoted(c) for c in order]).alias("k"), row_text(top).alias("t")).alias("r"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.getField("t")), "\n")
-    return lines.agg(F.sha2(text, 256).alias("sample_hash"))
+    order = ", ".join(_sample_order(df, keys))
+    lines = sample_rows(df, keys, rows).select(
+        F.expr(f"struct({order}) AS k"), row_text(df).alias("t"))
+    return lines.agg(F.expr(
+        r"sha2(array_join(transform(array_sort(collect_list(struct(k, t))), r -> r.t), '\n'), 256) AS sample_hash"))
 
 
 def verify_table(pair: TablePair) -> DataFrame:
     """One report row. ``ok`` wants equal counts and whatever of sample and content was asked for."""
     if pair.content:
-        both = compare_by(pair.source, pair.target, {"_all": F.lit(1)})
-        report = both.agg(F.coalesce(F.sum("source_rows"), F.lit(0)).alias("source_rows"),
-                          F.coalesce(F.sum("target_rows"), F.lit(0)).alias("target_rows"),
-                          F.coalesce(F.bool_and(~F.col("differs")), F.lit(True)).alias("content_ok"))
+        both = both_signed(pair.source, pair.target).agg(*[F.expr(a) for a in NET_AGGREGATES])
+        content = f"NOT {DIFFERS}"
     else:
         # counts read no column at all
-        sides = pair.source.select(F.lit(1).alias("s")).unionAll(pair.target.select(F.lit(0).alias("s")))
-        report = sides.agg(F.count_if(F.col("s") == 1).alias("source_rows"),
-                           F.count_if(F.col("s") == 0).alias("target_rows"),
-                           F.lit(None).cast("boolean").alias("content_ok"))
-    hashes = [F.lit(None).cast("string"), F.lit(None).cast("string")]
+        sides = pair.source.selectExpr("1 AS _side").unionAll(pair.target.selectExpr("-1 AS _side"))
+        both, content = sides.agg(*[F.expr(a) for a in NET_AGGREGATES[:2]]), "cast(NULL AS boolean)"
+    hashes = (F.expr("cast(NULL AS string)"),) * 2
     if pair.sample:
         # two one-row relations, read as scalars
-        hashes = [sample_hash(pair.source, pair.keys).scalar(), sample_hash(pair.target, pair.keys).scalar()]
-    report = report.select(F.lit(pair.name).alias("table_name"), "source_rows", "target_rows",
-                           hashes[0].alias("source_sample_hash"), hashes[1].alias("target_sample_hash"), "content_ok")
-    same_sample = F.col("source_sample_hash") == F.col("target_sample_hash")
-    sample_ok: Column = same_sample if pair.sample else F.lit(None).cast("boolean")
-    count_ok = F.col("source_rows") == F.col("target_rows")
-    return report.select("table_name", "source_rows", "target_rows", "source_sample_hash", "target_sample_hash",
-                         count_ok.alias("count_ok"), sample_ok.alias("sample_ok"), "content_ok",
-                         (count_ok & F.coalesce(sample_ok, F.lit(True))
-                          & F.coalesce(F.col("content_ok"), F.lit(True))).alias("ok"))
+        hashes = (sample_hash(pair.source, pair.keys).scalar(), sample_hash(pair.target, pair.keys).scalar())
+    report = both.select("*", hashes[0].alias("source_sample_hash"), hashes[1].alias("target_sample_hash"))
+    sample_ok = "source_sample_hash = target_sample_hash"
+    return report.selectExpr(
+        f"{sql_text(pair.name)} AS table_name", "source_rows", "target_rows", "source_sample_hash", "target_sample_hash",
+        "source_rows = target_rows AS count_ok", f"{sample_ok} AS sample_ok", f"{content} AS content_ok",
+        f"source_rows = target_rows AND coalesce({sample_ok}, true) AND coalesce({content}, true) AS ok")
 
 
 def verify_tables(pairs: Sequence[TablePair]) -> DataFrame:
@@ -91,8 +87,6 @@ def verify_summary(report: DataFrame) -> DataFrame:
 
 def verify_view(fresh: DataFrame, saved: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Where a saved derived table no longer equals its query: see ``diff_rows``."""
-    from .compare import diff_rows
-
     return diff_rows(fresh, saved.select(*fresh.columns), keys)
 
 

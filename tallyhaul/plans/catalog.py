@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import PySparkException
 
-from ..functions.canonical import quoted
+from ..functions.canonical import sql_name, sql_text
 from ..operators.integrity import check_pk
 from ..sources.tables import JdbcTable, read_table
 
@@ -45,32 +45,35 @@ class TableSpec:
         return replace(self, **changes)
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def _texts(values: Sequence[str]) -> str:
+    return f"cast(array({', '.join(sql_text(v) for v in values)}) AS array<string>)"
+
+
+def _or_null(value: str | None) -> str:
+    return "cast(NULL AS string)" if value is None else sql_text(value)
 
 
 def measured_table(spec: TableSpec) -> DataFrame:
     """One catalog row. A column counts as NOT NULL when it holds none, and a declared primary key
     counts only if the rows bear it out."""
     fields = spec.df.schema.fields
-    measured = spec.df.agg(F.count(F.lit(1)).alias("row_count"),
-                           *[F.count(quoted(f.name)).alias(f"v{i}") for i, f in enumerate(fields)])
-    columns = F.array(*[F.struct(
-        F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
-        (F.col(f"v{i}") == F.col("row_count")).alias("not_null"),
-        F.lit(spec.identity.get(f.name, "")).alias("identity"),
-        F.lit(spec.defaults.get(f.name)).cast("string").alias("default_value")) for i, f in enumerate(fields)])
-    key = _strings(spec.primary_key)
+    measured = spec.df.agg(F.expr("count(*) AS row_count"),
+                           *[F.expr(f"count({sql_name(f.name)}) AS v{i}") for i, f in enumerate(fields)])
+    columns = ", ".join(
+        f"named_struct('name', {sql_text(f.name)}, 'type', {sql_text(f.dataType.simpleString())}, "
+        f"'not_null', v{i} = row_count, 'identity', {sql_text(spec.identity.get(f.name, ''))}, "
+        f"'default_value', {_or_null(spec.defaults.get(f.name))})" for i, f in enumerate(fields))
+    broken = F.lit(0)
     if spec.primary_key:
-        broken = check_pk(spec.df, spec.primary_key).agg(F.count(F.lit(1)).alias("n")).scalar()
-        key = F.when(broken == 0, key).otherwise(_strings(()))
+        broken = check_pk(spec.df, spec.primary_key).agg(F.expr("count(*) AS n")).scalar()
     geometry = spec.geometry or any(f.metadata.get("geometry") for f in fields)
-    return measured.select(
-        F.lit(spec.name).alias("table_name"), "row_count", F.lit(spec.byte_count).cast("bigint").alias("byte_count"),
-        F.lit(geometry).alias("has_geometry"), F.lit(spec.partition_key).cast("string").alias("partition_key"),
-        _strings(spec.children).alias("children"), key.alias("primary_key"), columns.alias("columns"),
-        F.array_sort(_strings(spec.indexes)).alias("indexes"),
-        F.array_sort(_strings(spec.foreign_keys)).alias("foreign_keys"))
+    size = "NULL" if spec.byte_count is None else str(spec.byte_count)
+    return measured.withColumn("broken", broken).selectExpr(
+        f"{sql_text(spec.name)} AS table_name", "row_count", f"cast({size} AS bigint) AS byte_count",
+        f"{str(bool(geometry)).lower()} AS has_geometry", f"{_or_null(spec.partition_key)} AS partition_key",
+        f"{_texts(spec.children)} AS children",
+        f"if(broken = 0, {_texts(spec.primary_key)}, {_texts(())}) AS primary_key", f"array({columns}) AS columns",
+        f"{_texts(sorted(spec.indexes))} AS indexes", f"{_texts(sorted(spec.foreign_keys))} AS foreign_keys")
 
 
 def measured_catalog(specs: Sequence[TableSpec]) -> DataFrame:

@@ -394,9 +394,9 @@ def source_specs(spark, d) -> dict[str, catalog.TableSpec]:
         ORDER_CHILDREN if t == "orders" else (), FOREIGN_KEYS.get(t, ()), INDEXES.get(t, ())) for t in TABLES}
 
 
-def target_specs(spark, d) -> dict[str, catalog.TableSpec]:
+def target_specs(source: dict[str, catalog.TableSpec]) -> dict[str, catalog.TableSpec]:
     """The source's tables with one fault each, so that every kind of drift is measured on real rows."""
-    out = source_specs(spark, d)
+    out = dict(source)
     del out["region"]
     out["legacy_supplier"] = out["supplier"].but(name="legacy_supplier")
     out["customer"] = out["customer"].but(df=out["customer"].df.withColumn("c_acctbal", F.col("c_acctbal").cast("string")))
@@ -411,8 +411,9 @@ def target_specs(spark, d) -> dict[str, catalog.TableSpec]:
 
 
 def _catalogs(spark, d):
-    return (catalog.measured_catalog(list(source_specs(spark, d).values())),
-            catalog.measured_catalog(list(target_specs(spark, d).values())))
+    source = source_specs(spark, d)
+    return (catalog.measured_catalog(list(source.values())),
+            catalog.measured_catalog(list(target_specs(source).values())))
 
 
 def catalog_columns(spark, d):
