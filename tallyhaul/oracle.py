@@ -328,12 +328,12 @@ ORACLE_SQL = {
     "fingerprint_events": f"""SELECT count(*) AS row_count,
         CAST(sum(CAST('0x' || substr(md5({_row_text(SCHEMAS['events'])}), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint
         FROM {NULL_EVENTS} q""",
-    "verify_orders": f"""SELECT *, count_ok AND sample_ok AND content_ok AS ok FROM (
+    "verify_orders": f"""SELECT *, source_rows = target_rows AS count_ok, source_sample_hash = target_sample_hash AS sample_ok,
+        source_rows = target_rows AND source_sample_hash = target_sample_hash AND content_ok AS ok FROM (
         SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_rows,
         (SELECT count(*) FROM {FAULTY_ORDERS} q) AS target_rows,
         {_sample_hash('orders', SCHEMAS['orders'], 'o_orderkey')} AS source_sample_hash,
         {_sample_hash(FAULTY_ORDERS, SCHEMAS['orders'], 'o_orderkey')} AS target_sample_hash,
-        source_rows = target_rows AS count_ok, source_sample_hash = target_sample_hash AS sample_ok,
         {_equal('SELECT * FROM orders', f'SELECT * FROM {FAULTY_ORDERS} q')} AS content_ok)""",
     "verify_tables": VERIFY_TABLES,
     "verify_summary": f"""SELECT bool_and(ok) AS ok, count(*) AS tables_checked,
