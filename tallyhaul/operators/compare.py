@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canonical import hash_pieces, quoted, row_hash, sql_name, sql_text, value_text
+from ..sources.storage import settle
 
 _NET = ("_d0", "_d1", "_d2")
 NET_AGGREGATES = ("count_if(_side > 0) AS source_rows", "count_if(_side < 0) AS target_rows",
@@ -21,8 +22,11 @@ DIFFERS = "(source_rows <> target_rows OR " + " OR ".join(f"coalesce({d}, 0) <>
 
 
 def same_columns(source: DataFrame, target: DataFrame) -> None:
-    if source.columns != target.columns:
-        raise ValueError(f"columns differ, conform first: {source.columns} / {target.columns}")
+    """Typed rows are hashed, so names, order and types must agree before values can."""
+    s, t = [[(f.name, f.dataType.simpleString()) for f in df.schema.fields] for df in (source, target)]
+    if s != t:
+        raise ValueError(f"columns differ, conform first: {[x for x in s if x not in t]} / {[x for x in t if x not in s]}"
+                         if set(s) != set(t) else f"column order differs, conform first: {s} / {t}")
 
 
 def _signed(df: DataFrame, sign: int, keep: Sequence[Column]) -> DataFrame:
@@ -58,7 +62,7 @@ def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk:
     """
     same_columns(source, target)
     if chunk is not None:
-        bad = chunk_diff(source, target, chunk, "_chunk").select("_chunk").alias("b")
+        bad = settle(chunk_diff(source, target, chunk, "_chunk").select("_chunk"), "chunks").alias("b")
         names = [sql_name(n) for n in source.columns]
         source, target = [
             df.withColumn("_chunk", chunk).alias("t").join(bad, F.expr("t._chunk <=> b._chunk"), "left_semi").select(*names)
@@ -77,8 +81,8 @@ def diff_values(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
     that repeat are reported by :func:`diff_rows` with their counts.
     """
     names = [sql_name(k) for k in keys]
-    changed = diff_rows(source, target, keys).filter(
-        "status = 'changed' AND source_rows = 1 AND target_rows = 1").select(*names).alias("c")
+    changed = settle(diff_rows(source, target, keys).filter(
+        "status = 'changed' AND source_rows = 1 AND target_rows = 1").select(*names), "changed").alias("c")
     on = F.expr(" AND ".join(f"d.{n} <=> c.{n}" for n in names))
     rest = [f for f in source.schema.fields if f.name not in set(keys)]
     texts = ", ".join(f"{sql_text(f.name)}, {value_text('d.' + sql_name(f.name), f.dataType)}" for f in rest)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ..functions.canonical import fingerprint, hash_pieces, join_pieces, quoted, row_hash
+from ..functions.canonical import fingerprint, hash_pieces, join_pieces, quoted, row_hash, sql_name, sql_text
 from ..sources import storage
+from ..sources.storage import settle
 from ..sources.csvfiles import csv_bytes
 from .compare import chunk_diff
 from .integrity import any_null, dedupe
@@ -18,20 +19,31 @@ class CopyMismatch(RuntimeError):
     """What was written is not what was read; the target was left as it was."""
 
 
-def conform(df: DataFrame, schema: T.StructType, allow_drop: bool = False) -> DataFrame:
+def _cast(field: T.StructField, have: T.DataType, allow_loss: bool) -> str:
+    name, want = sql_name(field.name), field.dataType.simpleString()
+    numbers = isinstance(have, T.NumericType) and isinstance(field.dataType, T.NumericType)
+    if not numbers or have == field.dataType or allow_loss:
+        return f"cast({name} AS {want}) AS {name}"
+    message = sql_text(f"column {field.name}: a number does not fit {want} without loss")
+    return (f"if(cast(cast({name} AS {want}) AS {have.simpleString()}) <=> {name}, cast({name} AS {want}), "
+            f"cast(raise_error({message}) AS {want})) AS {name}")
+
+
+def conform(df: DataFrame, schema: T.StructType, allow_drop: bool = False, allow_loss: bool = False) -> DataFrame:
     """Columns of ``schema`` in its order and types; missing nullable ones become NULL.
 
     Columns the target does not have are refused unless ``allow_drop``. Casts are
-    checked: a value that does not fit fails the job.
+    checked row by row: text that does not parse and numbers that would lose
+    digits fail the job.
     """
     extra = [c for c in df.columns if c not in set(schema.names)]
     if extra and not allow_drop:
         raise ValueError(f"target has no column for {extra}")
-    have = set(df.columns)
+    have = {f.name: f.dataType for f in df.schema.fields}
     missing = [f.name for f in schema.fields if f.name not in have and not f.nullable]
     if missing:
         raise ValueError(f"no value for required columns {missing}")
-    cast = df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in have])
+    cast = df.selectExpr(*[_cast(f, have[f.name], allow_loss) for f in schema.fields if f.name in have])
     return cast.to(T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]))
 
 
@@ -122,47 +134,81 @@ def chunk_ranges(df: DataFrame, column: str, chunks: int) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("row_count"), F.min("_k").alias("min_key"), F.max("_k").alias("max_key")))
 
 
-def _write_parts(df: DataFrame, path: str, part: str, mode: str) -> None:
+def _write_parts(df: DataFrame, path: str, part: str, mode: str = "errorifexists") -> None:
     """Rows of a part go together, but a part holding much of the table is split over many
     tasks by the runtime re-plan, and small parts share one."""
     (df.hint("rebalance", quoted(part)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .partitionBy(part).parquet(path))
 
 
+def _replace_parts(tagged: DataFrame, path: str, part: str, values: Sequence) -> None:
+    """Make the given parts of the table at ``path`` equal to the source's, also those now empty."""
+    spark = tagged.sparkSession
+    chosen = tagged.filter(quoted(part).isin(list(values)))
+    filled = {r[0] for r in chosen.select(part).distinct().collect()}  # at most one row per given part
+    for gone in [v for v in values if v not in filled]:
+        if storage.exists(spark, f"{path}/{part}={gone}"):
+            storage.remove(spark, f"{path}/{part}={gone}")
+    if filled:
+        _write_parts(chosen, path, part, "overwrite")
+
+
+def _open_parts(tagged: DataFrame, path: str, part: str) -> list:
+    """Parts whose content at ``path`` is not the source's: one short row per part."""
+    landed = tagged.sparkSession.read.schema(tagged.schema).parquet(path).select(*tagged.columns)
+    return sorted(r[0] for r in chunk_diff(tagged, landed, quoted(part), "_part").select("_part").collect())
+
+
 def copy_chunked(source: DataFrame, path: str, column: str, chunks: int,
                  span: tuple[int, int] | None = None) -> int:
     """Copy by key ranges under ``chunk=N`` directories; returns how many ranges had to be copied.
 
     Run again after a failure or a change, it compares range fingerprints and
-    copies only the ranges that are not equal yet.
+    copies only the ranges that are not equal yet. Every run ends with that
+    comparison. Give the same ``span`` each time if the key range grows.
     """
     spark = source.sparkSession
     low, high = span or key_span(source, column)
     tagged = source.withColumn("chunk", chunk_of(quoted(column), low, high, chunks))
-    if not storage.exists(spark, path):
-        _write_parts(tagged, path, "chunk", "errorifexists")
-        return chunks
-    landed = spark.read.schema(tagged.schema).parquet(path)
-    # at most `chunks` short rows
-    open_chunks = [r["chunk"] for r in chunk_diff(tagged, landed.select(*tagged.columns), F.col("chunk")).collect()]
-    if open_chunks:
-        # emptied ranges have no row to overwrite them with
-        left = {r["chunk"] for r in tagged.filter(F.col("chunk").isin(open_chunks)).select("chunk").distinct().collect()}
-        for gone in sorted(set(open_chunks) - left):
-            storage.remove(spark, f"{path}/chunk={gone}")
-        if left:
-            _write_parts(tagged.filter(F.col("chunk").isin(sorted(left))), path, "chunk", "overwrite")
-    return len(open_chunks)
+    if storage.exists(spark, path):
+        todo = _open_parts(tagged, path, "chunk")
+        if not todo:
+            return 0
+        _replace_parts(tagged, path, "chunk", todo)
+        copied = len(todo)
+    else:
+        _write_parts(tagged, path, "chunk")
+        copied = chunks
+    left = _open_parts(tagged, path, "chunk")
+    if left:
+        raise CopyMismatch(f"{path}: ranges {left} are not equal to the source after the copy")
+    return copied
 
 
 def copy_partition_wise(source: DataFrame, path: str, part: str, expression: Column,
-                        only: Sequence | None = None) -> None:
-    """Copy the children of a partitioned table into ``part=value`` directories. With ``only``, just
-    those children are replaced; the filter reaches the scan when ``expression`` is a stored column."""
+                        only: Sequence | None = None, allow_destructive: bool = False) -> None:
+    """Copy the children of a partitioned table into ``part=value`` directories.
+
+    With ``only``, just those children are replaced; without it, the whole table
+    is, by staging and swap. Replacing anything needs ``allow_destructive``.
+    """
+    spark = source.sparkSession
+    if storage.exists(spark, path) and not allow_destructive:
+        raise PermissionError(f"{path} exists; pass allow_destructive=True to replace its partitions")
     tagged = source.withColumn(part, expression)
     if only is not None:
-        tagged = tagged.filter(F.col(part).isin(list(only)))
-    _write_parts(tagged, path, part, "overwrite")
+        _replace_parts(tagged, path, part, list(only))
+        return
+    staged = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    try:
+        _write_parts(tagged, staged, part)
+        left = _open_parts(tagged, staged, part)
+        if left:
+            raise CopyMismatch(f"{staged}: partitions {left} are not equal to the source after the copy")
+        storage.swap_in(spark, staged, path.rstrip("/"))
+    finally:
+        if storage.exists(spark, staged):
+            storage.remove(spark, staged)
 
 
 def missing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,7 +222,7 @@ def missing_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 def rows_to_insert(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One source row for every key the target lacks. A NULL in a key fails, as a primary key does."""
-    needed = missing_keys(source, target, keys)
+    needed = settle(missing_keys(source, target, keys), "missing")
     found = source.join(needed, list(keys), "left_semi").select(*[quoted(c) for c in source.columns])
     no_null = [F.when(quoted(k).isNull(), F.raise_error(F.lit(f"key column {k} is NULL"))).otherwise(quoted(k))
                .alias(k) if k in set(keys) else quoted(k) for k in source.columns]

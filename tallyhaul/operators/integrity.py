@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canonical import quoted, sql_name, sql_text
+from ..sources.storage import settle
 
 
 def check_not_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -49,7 +50,8 @@ def fk_orphan_keys(child: DataFrame, parent: DataFrame, columns: dict[str, str])
 
 def fk_orphans(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The child rows without a parent; the orphan keys are found first, on keys alone."""
-    return child.join(fk_orphan_keys(child, parent, columns).drop("n"), list(columns), "left_semi").select(
+    orphans = settle(fk_orphan_keys(child, parent, columns).drop("n"), "orphans")
+    return child.join(orphans, list(columns), "left_semi").select(
         *[quoted(c) for c in child.columns])
 
 

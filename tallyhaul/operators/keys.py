@@ -48,11 +48,11 @@ def assign_keys(df: DataFrame, start: int, order: Sequence[str], name: str = "ne
     ranged.sortWithinPartitions(*sort).drop("_pos").write.option("maxRecordsPerFile", 0).parquet(path)
 
     stored = spark.read.schema(df.schema).parquet(path)
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("bigint")
-    counts = stored.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    # one row per file: the only window in one task, over a few thousand rows
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    rows = stored.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_index"))
-    return rows.join(offsets, "_part").select(
+    counts = stored.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.expr("count(*) AS _rows"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
+    # one row per written file, so one task's window and a broadcast are enough for any table
+    before = F.sum("_rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(counts.select("_file", F.coalesce(before, F.lit(0)).alias("_offset")))
+    rows = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(offsets, "_file").select(
         *[quoted(c) for c in df.columns], (F.col("_offset") + F.col("_index") + F.lit(start)).cast("bigint").alias(name))

@@ -53,9 +53,9 @@ def _or_null(value: str | None) -> str:
     return "cast(NULL AS string)" if value is None else sql_text(value)
 
 
-def measured_table(spec: TableSpec) -> DataFrame:
+def measured_table(spec: TableSpec, check_keys: bool = True) -> DataFrame:
     """One catalog row. A column counts as NOT NULL when it holds none, and a declared primary key
-    counts only if the rows bear it out."""
+    counts only if the rows bear it out; that shuffles the keys, so ``check_keys`` can leave it out."""
     fields = spec.df.schema.fields
     measured = spec.df.agg(F.expr("count(*) AS row_count"),
                            *[F.expr(f"count({sql_name(f.name)}) AS v{i}") for i, f in enumerate(fields)])
@@ -64,7 +64,7 @@ def measured_table(spec: TableSpec) -> DataFrame:
         f"'not_null', v{i} = row_count, 'identity', {sql_text(spec.identity.get(f.name, ''))}, "
         f"'default_value', {_or_null(spec.defaults.get(f.name))})" for i, f in enumerate(fields))
     broken = F.lit(0)
-    if spec.primary_key:
+    if spec.primary_key and check_keys:
         broken = check_pk(spec.df, spec.primary_key).agg(F.expr("count(*) AS n")).scalar()
     geometry = spec.geometry or any(f.metadata.get("geometry") for f in fields)
     size = "NULL" if spec.byte_count is None else str(spec.byte_count)
@@ -76,8 +76,8 @@ def measured_table(spec: TableSpec) -> DataFrame:
         f"{_texts(sorted(spec.indexes))} AS indexes", f"{_texts(sorted(spec.foreign_keys))} AS foreign_keys")
 
 
-def measured_catalog(specs: Sequence[TableSpec]) -> DataFrame:
-    return reduce(DataFrame.unionAll, [measured_table(s) for s in specs])
+def measured_catalog(specs: Sequence[TableSpec], check_keys: bool = True) -> DataFrame:
+    return reduce(DataFrame.unionAll, [measured_table(s, check_keys) for s in specs])
 
 
 def open_tables(spark: SparkSession, refs: dict[str, str | JdbcTable]) -> tuple[dict[str, DataFrame], dict[str, str]]:

@@ -169,7 +169,7 @@ def copy_partition_wise_orders(spark, d):
     orders, path = load(spark, d, "orders"), storage.scratch(spark, "parts") + "/orders"
     year = F.year("o_orderdate")
     copy.copy_partition_wise(faulty_orders(orders), path, "year", year)
-    copy.copy_partition_wise(orders, path, "year", year, only=[1996])
+    copy.copy_partition_wise(orders, path, "year", year, only=[1996], allow_destructive=True)
     return spark.read.parquet(path).groupBy(F.col("year").cast("int").alias("year")).agg(
         F.count(F.lit(1)).alias("row_count"))
 
@@ -360,12 +360,14 @@ def assign_keys_customer(spark, d):
     customer = load(spark, d, "customer")
     start = keys.high_water_mark(customer, "c_custkey").first()["mark"] + 1
     return keys.assign_keys(customer.select("c_custkey"), start, ["c_custkey"],
+                            partitions=storage.files_for(spark, f"{d}/customer.parquet", at_least=4),
                             position=layout.file_position())
 
 
 def clustered_lineitem(spark, d):
     path = storage.scratch(spark, "clustered") + "/lineitem"
-    layout.write_clustered(load(spark, d, "lineitem"), path, ["l_shipdate"], 8, layout.file_position())
+    files = storage.files_for(spark, f"{d}/lineitem.parquet", at_least=8)
+    layout.write_clustered(load(spark, d, "lineitem"), path, ["l_shipdate"], files, layout.file_position())
     return spark.read.parquet(path).groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("row_count"))
 
 

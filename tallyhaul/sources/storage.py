@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -35,6 +35,24 @@ def size_in_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def files_for(spark: SparkSession, path: str, bytes_per_file: int = 256 << 20, at_least: int = 1) -> int:
+    """How many files of about ``bytes_per_file`` a copy of the table at ``path`` should have."""
+    return max(at_least, -(-size_in_bytes(spark, path) // bytes_per_file))
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a short intermediate result (keys, chunk numbers) to the shared folder and read it back.
+
+    The planner then knows its size: a join with it is a broadcast when that is
+    under the session's limit and a shuffle when it is not, and the big side is
+    not shuffled before that is known. It also ends the lineage at a stored table.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label) + "/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def swap_in(spark: SparkSession, staged: str, target: str) -> None:
     """Put a finished staging directory in the place of ``target``.
 

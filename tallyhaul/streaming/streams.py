@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.canonical import quoted
 from ..operators.layout import write_clustered
+from ..session import SETTINGS
 from ..sources.storage import swap_in
 
 
@@ -18,6 +20,23 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _start(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start with state kept on executor disks, as it can outgrow their memory. A running query keeps
+    the settings it was started with, so the session's own are put back at once."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, SETTINGS[_STORE])
+    try:
+        return start()
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 def copy_stream(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> int:
     """Copy what is there and not copied yet; returns the rows of this run.
 
@@ -28,7 +47,7 @@ def copy_stream(stream: DataFrame, path: str, checkpoint: str, partition_by: Seq
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.trigger(availableNow=True).start(path)
+    query = _start(stream.sparkSession, lambda: writer.trigger(availableNow=True).start(path))
     query.awaitTermination()
     return sum(p["numInputRows"] for p in query.recentProgress)
 
@@ -44,8 +63,9 @@ def view_stream(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame],
             batch.write.mode("overwrite").parquet(staged)
         swap_in(batch.sparkSession, staged, path.rstrip("/"))
 
-    (aggregate(stream).writeStream.outputMode("complete").foreachBatch(save)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    writer = (aggregate(stream).writeStream.outputMode("complete").foreachBatch(save)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    _start(stream.sparkSession, writer.start).awaitTermination()
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None = None,
