@@ -115,10 +115,12 @@ def copy_append(source: DataFrame, path: str) -> None:
 def chunk_of(col: Column, low: int, high: int, chunks: int) -> Column:
     """Number of the equal-width range of ``[low, high]`` that holds ``col``. Keys outside go to the
     first or last range and NULL goes to the first, so no row is without a range."""
-    width = high - low + 1
-    scaled = (col.cast("decimal(20,0)") - F.lit(low)) * F.lit(chunks)
-    raw = F.call_function("div", scaled, F.lit(width))  # whole-number division: exact at range edges
-    return F.coalesce(F.greatest(F.least(raw, F.lit(chunks - 1)), F.lit(0)), F.lit(0)).cast("int")
+    def whole(n: int) -> Column:
+        return F.expr(f"cast('{n}' AS decimal(20,0))")  # the width of a full bigint range is no bigint
+
+    scaled = (col.cast("decimal(20,0)") - whole(low)) * F.lit(chunks)
+    raw = F.call_function("div", scaled, whole(high - low + 1))  # whole-number division: exact at range edges
+    return F.when(col.isNull(), 0).otherwise(F.greatest(F.least(raw, F.lit(chunks - 1)), F.lit(0))).cast("int")
 
 
 def key_span(df: DataFrame, column: str) -> tuple[int, int]:
