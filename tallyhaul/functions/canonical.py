@@ -71,7 +71,7 @@ def value_text(col: str, dtype: T.DataType) -> str:
     return f"cast({col} AS string)"
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
+def row_text_sql(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> str:
     """Columns joined by ``|``; NULL is ``\\N``; ``\\`` and ``|`` inside text are escaped.
 
     ``json_columns`` are JSON text whose key order and spacing must not count.
@@ -83,7 +83,11 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns:
         if isinstance(types[name], (T.StringType, *_COMPLEX)):
             text = rf"replace(replace({text}, r'\', r'\\'), '|', r'\|')"
         parts.append(rf"coalesce({text}, r'\N')")
-    return F.expr(f"concat_ws('|', {', '.join(parts)})")
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
+def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
+    return F.expr(row_text_sql(df, columns, json_columns))
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:

@@ -17,7 +17,7 @@ from ..sources.storage import settle
 
 _NET = ("_d0", "_d1", "_d2")
 NET_AGGREGATES = ("count_if(_side > 0) AS source_rows", "count_if(_side < 0) AS target_rows",
-                  *[f"sum({d}) AS {d}" for d in _NET])
+                  *[f"sum({p} * _side) AS {d}" for p, d in zip(hash_pieces("_h"), _NET)])
 DIFFERS = "(source_rows <> target_rows OR " + " OR ".join(f"coalesce({d}, 0) <> 0" for d in _NET) + ")"
 
 
@@ -29,16 +29,12 @@ def same_columns(source: DataFrame, target: DataFrame) -> None:
                          if set(s) != set(t) else f"column order differs, conform first: {s} / {t}")
 
 
-def _signed(df: DataFrame, sign: int, keep: Sequence[Column]) -> DataFrame:
-    hashed = df.select(*keep, row_hash(df).alias("_h"))
-    return hashed.selectExpr(*[sql_name(n) for n in hashed.columns[:-1]], f"{sign} AS _side",
-                             *[f"{p} * {sign} AS {d}" for p, d in zip(hash_pieces("_h"), _NET)])
-
-
 def both_signed(source: DataFrame, target: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
-    """Rows of both sides as ``(keep…, _side, signed hash pieces)``."""
+    """Rows of both sides as ``(keep…, _side, _h)``: side 1 or -1 and row hash."""
     same_columns(source, target)
-    return _signed(source, 1, keep).unionAll(_signed(target, -1, keep))
+    hashed = row_hash(source).alias("_h")
+    return source.select(*keep, F.expr("1 AS _side"), hashed).unionAll(
+        target.select(*keep, F.expr("-1 AS _side"), hashed))
 
 
 def compare_by(source: DataFrame, target: DataFrame, by: dict[str, Column]) -> DataFrame:

@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.canonical import row_text, sql_name, sql_text
+from ..functions.canonical import row_text_sql, sql_name, sql_text
+from ..session import side_by_side
 from .compare import DIFFERS, NET_AGGREGATES, both_signed, diff_rows
 
 SAMPLE_ROWS = 50  # fixed value: default sample size of a verification
@@ -44,10 +45,10 @@ def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS
     Only ``rows`` short texts are ever brought together, whatever the table's size.
     """
     order = ", ".join(_sample_order(df, keys))
-    lines = sample_rows(df, keys, rows).select(
-        F.expr(f"struct({order}) AS k"), row_text(df).alias("t"))
-    return lines.agg(F.expr(
-        r"sha2(array_join(transform(array_sort(collect_list(struct(k, t))), r -> r.t), '\n'), 256) AS sample_hash"))
+    text = row_text_sql(df)
+    return sample_rows(df, keys, rows).agg(F.expr(
+        f"sha2(array_join(transform(array_sort(collect_list(struct(struct({order}) AS k, {text} AS t))), r -> r.t), "
+        r"'\n'), 256) AS sample_hash"))
 
 
 def verify_table(pair: TablePair) -> DataFrame:
@@ -73,7 +74,7 @@ def verify_table(pair: TablePair) -> DataFrame:
 
 def verify_tables(pairs: Sequence[TablePair]) -> DataFrame:
     """The report over many tables. The branches are independent stages of one job."""
-    return reduce(DataFrame.unionAll, [verify_table(p) for p in pairs])
+    return reduce(DataFrame.unionAll, side_by_side(verify_table, pairs))
 
 
 def verify_summary(report: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.errors import PySparkException
 
 from ..functions.canonical import sql_name, sql_text
 from ..operators.integrity import check_pk
+from ..session import side_by_side
 from ..sources.tables import JdbcTable, read_table
 
 
@@ -77,20 +78,22 @@ def measured_table(spec: TableSpec, check_keys: bool = True) -> DataFrame:
 
 
 def measured_catalog(specs: Sequence[TableSpec], check_keys: bool = True) -> DataFrame:
-    return reduce(DataFrame.unionAll, [measured_table(s, check_keys) for s in specs])
+    return reduce(DataFrame.unionAll, side_by_side(lambda s: measured_table(s, check_keys), specs))
 
 
 def open_tables(spark: SparkSession, refs: dict[str, str | JdbcTable]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """The tables that can be read, and the errors of those that cannot; one bad table stops no report."""
-    tables, errors = {}, {}
-    for name, ref in refs.items():
+    def open_one(ref: str | JdbcTable) -> DataFrame | str:
         try:
-            tables[name] = read_table(spark, ref)
-            tables[name].schema
+            df = read_table(spark, ref)
+            df.schema  # asked for now, so that a table that cannot be read says so here
+            return df
         except PySparkException as e:
-            tables.pop(name, None)
-            errors[name] = str(e).splitlines()[0]
-    return tables, errors
+            return str(e).splitlines()[0]
+
+    found = dict(zip(refs, side_by_side(open_one, refs.values())))
+    return ({n: f for n, f in found.items() if not isinstance(f, str)},
+            {n: f for n, f in found.items() if isinstance(f, str)})
 
 
 def catalog_columns(catalog: DataFrame) -> DataFrame:

@@ -41,6 +41,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    opened, errors = catalog.open_tables(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES})
+    if errors:
+        raise FileNotFoundError(str(errors))
+    return opened
+
+
 # --- tables with planted faults ------------------------------------------------
 
 def faulty_orders(orders: DataFrame) -> DataFrame:
@@ -277,8 +284,8 @@ def verify_orders(spark, d):
 
 def _pairs(spark, d):
     out = []
-    for name in TABLES:
-        source = target = load(spark, d, name)
+    for name, source in load_all(spark, d).items():
+        target = source
         if name == "orders":
             target = faulty_orders(source)
         if name == "events":
@@ -379,7 +386,7 @@ def profile_columns(spark, d):
 
 
 def profile_tables(spark, d):
-    return profile.profile_tables({t: load(spark, d, t) for t in TABLES})
+    return profile.profile_tables(load_all(spark, d))
 
 
 def profile_partitions_orders(spark, d):
@@ -392,8 +399,9 @@ def largest_first(spark, d):
 
 def source_specs(spark, d) -> dict[str, catalog.TableSpec]:
     return {t: catalog.TableSpec(
-        t, load(spark, d, t), PRIMARY_KEYS[t], "RANGE (o_orderdate)" if t == "orders" else None,
-        ORDER_CHILDREN if t == "orders" else (), FOREIGN_KEYS.get(t, ()), INDEXES.get(t, ())) for t in TABLES}
+        t, df, PRIMARY_KEYS[t], "RANGE (o_orderdate)" if t == "orders" else None,
+        ORDER_CHILDREN if t == "orders" else (), FOREIGN_KEYS.get(t, ()), INDEXES.get(t, ()))
+        for t, df in load_all(spark, d).items()}
 
 
 def target_specs(source: dict[str, catalog.TableSpec]) -> dict[str, catalog.TableSpec]:
