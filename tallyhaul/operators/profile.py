@@ -14,22 +14,27 @@ _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)
 def profile_columns(name: str, df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """``(table_name, column_name, position, type, row_count, null_count, distinct_count, min_text, max_text)``.
 
-    One pass. Distinct counts are sketches of fixed size by default; exact ones
-    shuffle the distinct values of every column. Nested columns have no range.
+    One pass. Distinct counts are sketches of fixed size by default; exact ones are
+    a second pass that shuffles the distinct values of every column. Nested columns have no range.
     """
-    aggs, lines = ["count(*) AS row_count"], []
+    aggs, distinct, lines = ["count(*) AS row_count"], [], []
     for i, f in enumerate(df.schema.fields):
         col, flat = sql_name(f.name), not isinstance(f.dataType, _NESTED)
         aggs.append(f"count({col}) AS v{i}")
         if flat:
-            distinct = f"count(DISTINCT {col})" if exact_distinct else f"approx_count_distinct({col})"
-            aggs += [f"min({col}) AS lo{i}", f"max({col}) AS hi{i}", f"{distinct} AS d{i}"]
+            aggs += [f"min({col}) AS lo{i}", f"max({col}) AS hi{i}"]
+            distinct.append(f"count(DISTINCT {col}) AS d{i}" if exact_distinct else f"approx_count_distinct({col}) AS d{i}")
         count, low, high = (f"d{i}", value_text(f"lo{i}", f.dataType), value_text(f"hi{i}", f.dataType)) if flat else (
             "cast(NULL AS bigint)", "cast(NULL AS string)", "cast(NULL AS string)")
         lines.append(f"named_struct('table_name', {sql_text(name)}, 'column_name', {sql_text(f.name)}, "
                      f"'position', {i + 1}, 'type', {sql_text(f.dataType.simpleString())}, 'row_count', row_count, "
                      f"'null_count', row_count - v{i}, 'distinct_count', {count}, 'min_text', {low}, 'max_text', {high})")
-    return df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(lines)}))")
+    if not exact_distinct:
+        return df.agg(*[F.expr(a) for a in aggs + distinct]).selectExpr(f"inline(array({', '.join(lines)}))")
+    # exact distinct counts repeat each row per column; the other measures stay out of that
+    counted = df.agg(*[F.expr(a) for a in distinct]).select(F.struct("*").alias("d")).scalar()
+    return (df.agg(*[F.expr(a) for a in aggs]).withColumn("_d", counted).select("*", "_d.*")
+            .selectExpr(f"inline(array({', '.join(lines)}))"))
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:

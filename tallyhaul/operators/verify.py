@@ -35,8 +35,19 @@ def _sample_order(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
-    """First rows in key order; without a key, in the order of the whole row."""
-    return df.orderBy(*_sample_order(df, keys)).limit(rows)
+    """First rows in key order; without a key, in the order of the whole row.
+
+    With a key, a scan of the key columns alone finds how far the sample reaches;
+    whole rows are then read only up to there, which the scan's row-group
+    statistics turn into skipped blocks where files are laid out by key.
+    """
+    order = _sample_order(df, keys)
+    if keys:
+        first = order[0]
+        names = order[:len(keys)]
+        reach = df.select(*names).orderBy(*names).limit(rows).agg(F.expr(f"max({first}) AS reach")).scalar()
+        df = df.filter((F.col(first) <= reach) | F.col(first).isNull())
+    return df.orderBy(*order).limit(rows)
 
 
 def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:

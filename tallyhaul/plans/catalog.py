@@ -23,6 +23,7 @@ from pyspark.errors import PySparkException
 from ..functions.canonical import sql_name, sql_text
 from ..operators.integrity import check_pk
 from ..session import side_by_side
+from ..sources.storage import settle
 from ..sources.tables import JdbcTable, read_table
 
 
@@ -81,6 +82,16 @@ def measured_catalog(specs: Sequence[TableSpec], check_keys: bool = True) -> Dat
     return reduce(DataFrame.unionAll, side_by_side(lambda s: measured_table(s, check_keys), specs))
 
 
+def catalog_snapshot(specs: Sequence[TableSpec], check_keys: bool = True) -> DataFrame:
+    """The measured catalog, kept as a table: one row per source table, each table scanned once.
+
+    Reports join and filter a catalog several times over. On a stored one that
+    costs nothing, while the optimizer would push such joins into every table's
+    branch and repeat the scans below them.
+    """
+    return settle(measured_catalog(specs, check_keys), "catalog", files=1)
+
+
 def open_tables(spark: SparkSession, refs: dict[str, str | JdbcTable]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """The tables that can be read, and the errors of those that cannot; one bad table stops no report."""
     def open_one(ref: str | JdbcTable) -> DataFrame | str:

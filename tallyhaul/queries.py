@@ -422,12 +422,12 @@ def target_specs(source: dict[str, catalog.TableSpec]) -> dict[str, catalog.Tabl
 
 def _catalogs(spark, d):
     source = source_specs(spark, d)
-    return (catalog.measured_catalog(list(source.values())),
-            catalog.measured_catalog(list(target_specs(source).values())))
+    return (catalog.catalog_snapshot(list(source.values())),
+            catalog.catalog_snapshot(list(target_specs(source).values())))
 
 
 def catalog_columns(spark, d):
-    return catalog.catalog_columns(catalog.measured_catalog(list(source_specs(spark, d).values())))
+    return catalog.catalog_columns(catalog.catalog_snapshot(list(source_specs(spark, d).values())))
 
 
 def schema_drift(spark, d):
@@ -444,7 +444,7 @@ def drift_summary(spark, d):
 
 
 def chunk_column(spark, d):
-    source = catalog.measured_catalog(list(source_specs(spark, d).values()))
+    source = catalog.catalog_snapshot(list(source_specs(spark, d).values()))
     return source.select("table_name", "row_count", readiness.chunk_column().alias("chunk_column"))
 
 

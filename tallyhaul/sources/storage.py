@@ -40,7 +40,7 @@ def files_for(spark: SparkSession, path: str, bytes_per_file: int = 256 << 20, a
     return max(at_least, -(-size_in_bytes(spark, path) // bytes_per_file))
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write a short intermediate result (keys, chunk numbers) to the shared folder and read it back.
 
     The planner then knows its size: a join with it is a broadcast when that is
@@ -49,7 +49,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label) + "/rows"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
