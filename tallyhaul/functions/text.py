@@ -23,9 +23,13 @@ def split_name(name: Column, default_schema: str = "public") -> tuple[Column, Co
             F.when(dotted, F.try_element_at(parts, F.lit(2))).otherwise(bare))
 
 
+# Fixed value: how a column default names the sequence it draws from.
+NEXTVAL_PATTERN = r"(?i)nextval\('([^']+)'\s*(?:::regclass)?\)"
+
+
 def sequence_names(default_sql: Column) -> Column:
-    """All sequences a default expression draws from: the text inside ``nextval('…')``."""
-    return F.regexp_extract_all(default_sql, F.lit(r"(?i)nextval\('([^']+)'\s*(?:::regclass)?\)"), F.lit(1))
+    """All sequences a default expression draws from."""
+    return F.regexp_extract_all(default_sql, F.lit(NEXTVAL_PATTERN), F.lit(1))
 
 
 def draws_from_sequence(default_sql: Column, identity: Column) -> Column:

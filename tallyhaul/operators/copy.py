@@ -72,13 +72,12 @@ def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return hashed.observe(seen, F.expr("count(*) AS row_count"), *sums).drop("_h"), seen
 
 
-def _check(spark: SparkSession, path: str, seen: Observation, schema: T.StructType) -> int:
+def _check(landed: DataFrame, name: str, seen: Observation) -> int:
     want = seen.get
     total = F.expr(join_pieces([f"{want[f'p{i}']}L" for i in range(3)]))
-    got = (fingerprint(spark.read.schema(schema).parquet(path))
-           .select("row_count", (F.col("fingerprint") == total).alias("same")).first())
+    got = fingerprint(landed).select("row_count", (F.col("fingerprint") == total).alias("same")).first()
     if got["row_count"] != want["row_count"] or not got["same"]:
-        raise CopyMismatch(f"{path}: wrote {want['row_count']} rows, read back {got['row_count']}, "
+        raise CopyMismatch(f"{name}: wrote {want['row_count']} rows, read back {got['row_count']}, "
                            f"same content: {got['same']}")
     return want["row_count"]
 
@@ -96,7 +95,7 @@ def copy_full(source: DataFrame, path: str, allow_destructive: bool = False) ->
     try:
         out, seen = _observed(source)
         out.write.parquet(staged)
-        rows = _check(spark, staged, seen, source.schema)
+        rows = _check(spark.read.schema(source.schema).parquet(staged), path, seen)
         storage.swap_in(spark, staged, path.rstrip("/"))
     finally:
         if storage.exists(spark, staged):
@@ -104,6 +103,32 @@ def copy_full(source: DataFrame, path: str, allow_destructive: bool = False) ->
     return rows
 
 
+def copy_full_table(source: DataFrame, name: str, allow_destructive: bool = False) -> int:
+    """:func:`copy_full` for a table of the session's catalog, swapped in by renames."""
+    spark = source.sparkSession
+    there = spark.catalog.tableExists(name)
+    if there and not allow_destructive:
+        raise PermissionError(f"{name} exists; pass allow_destructive=True to replace it")
+    tag = uuid.uuid4().hex
+    staged, retired = f"{name}__staging_{tag}", f"{name}__old_{tag}"
+    try:
+        out, seen = _observed(source)
+        out.write.format("parquet").saveAsTable(staged)
+        rows = _check(spark.table(staged), name, seen)
+        if there:
+            spark.sql(f"ALTER TABLE {name} RENAME TO {retired}")
+        try:
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        except Exception:
+            if there:
+                spark.sql(f"ALTER TABLE {retired} RENAME TO {name}")
+            raise
+        spark.sql(f"DROP TABLE IF EXISTS {retired}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    return rows
+
+
 def copy_append(source: DataFrame, path: str) -> None:
     """Add the rows; rows already there stay, so sending rows twice doubles them."""
     spark = source.sparkSession
@@ -115,12 +140,14 @@ def copy_append(source: DataFrame, path: str) -> None:
 def chunk_of(col: Column, low: int, high: int, chunks: int) -> Column:
     """Number of the equal-width range of ``[low, high]`` that holds ``col``. Keys outside go to the
     first or last range and NULL goes to the first, so no row is without a range."""
+    kind = "bigint" if (high - low + 1) * chunks < 2**63 else "decimal(20,0)"
+
     def whole(n: int) -> Column:
-        return F.expr(f"cast('{n}' AS decimal(20,0))")  # the width of a full bigint range is no bigint
+        return F.expr(f"cast('{n}' AS {kind})")
 
-    scaled = (col.cast("decimal(20,0)") - whole(low)) * F.lit(chunks)
-    raw = F.call_function("div", scaled, whole(high - low + 1))  # whole-number division: exact at range edges
-    return F.when(col.isNull(), 0).otherwise(F.greatest(F.least(raw, F.lit(chunks - 1)), F.lit(0))).cast("int")
+    inside = F.greatest(F.least(col.cast(kind), whole(high)), whole(low))  # NULL becomes low
+    part = F.call_function("div", (inside - whole(low)) * F.lit(chunks), whole(high - low + 1))
+    return F.when(col.isNull(), 0).otherwise(part).cast("int")
 
 
 def key_span(df: DataFrame, column: str) -> tuple[int, int]:

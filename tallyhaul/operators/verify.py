@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.canonical import row_text_sql, sql_name, sql_text
 from ..session import side_by_side
 from .compare import DIFFERS, NET_AGGREGATES, both_signed, diff_rows
+from .integrity import check_pk
 
 SAMPLE_ROWS = 50  # fixed value: default sample size of a verification
 
@@ -102,6 +103,17 @@ def verify_view(fresh: DataFrame, saved: DataFrame, keys: Sequence[str]) -> Data
     return diff_rows(fresh, saved.select(*fresh.columns), keys)
 
 
+def verify_keys(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """``(table_name, key, broken_keys, ok)``: keys that repeat or hold a NULL, per table."""
+    def one(item: tuple[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+        name, (df, keys) = item
+        return check_pk(df, keys).agg(F.expr("count(*) AS broken_keys")).selectExpr(
+            f"{sql_text(name)} AS table_name", f"{sql_text(','.join(keys))} AS key", "broken_keys",
+            "broken_keys = 0 AS ok")
+
+    return reduce(DataFrame.unionAll, side_by_side(one, tables.items()))
+
+
 def verification_depth(rows: Column, risk: Column | None = None, small_table: int = 100_000,
                        high_risk: int = 60) -> Column:
     """Sample hashes for small or risky tables, counts for the others."""

@@ -340,6 +340,10 @@ ORACLE_SQL = {
         count(*) FILTER (WHERE NOT ok) AS failed_tables,
         coalesce(string_agg(table_name, ',' ORDER BY table_name) FILTER (WHERE NOT ok), '') AS failed
         FROM ({VERIFY_TABLES})""",
+    "verify_keys": "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{','.join(k)}' AS key, count(*) AS broken_keys, count(*) = 0 AS ok FROM (
+        SELECT 1 FROM {t} GROUP BY {','.join(k)} HAVING count(*) > 1 OR {' OR '.join(f'{c} IS NULL' for c in k)})"""
+        for t, k in {**PRIMARY_KEYS, "lineitem": ("l_orderkey", "l_linenumber")}.items()),
     "verify_mv_events": """SELECT event_type, 'changed' AS status, CAST(1 AS BIGINT) AS source_rows,
         CAST(1 AS BIGINT) AS target_rows FROM events WHERE event_type = 'click' GROUP BY 1""",
     "chunk_diff_orders": f"""WITH s AS (SELECT o_orderkey // 1000 AS chunk, * FROM orders),

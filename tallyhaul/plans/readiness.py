@@ -16,6 +16,8 @@ MODES = ("plan_only", "missing_only", "metadata_diff_only", "data_diff_only", "f
 RISK_POINTS = {"large row volume": 30, "moderate row volume": 15, "missing primary key": 25,
                "structural metadata drift": 30, "index or foreign key drift": 10, "partitioned table": 10,
                "geometry columns": 10, "large table without a safe chunk column": 20}
+MISSING_WARNING = "table is missing in target"
+STRUCTURE_WARNING = "structural drift must be reviewed before execution"
 # types a range can be cut over, as Spark and as SQL databases spell them; intervals and points are not
 CHUNKABLE_TYPE = (r"^(tinyint|smallint|int|integer|bigint|int[248]|(decimal|numeric)(\(.*\))?|date|"
                   r"timestamp(_ntz|_ltz)?(\(\d\))?( (with|without) time zone)?)$")
@@ -130,8 +132,7 @@ def readiness(source: DataFrame, drift: DataFrame, mode: str = "safe_sync", thre
     missing = F.col("status") == "missing_in_target"
     structural = F.size("structural_drift") > 0
     warnings = F.concat(F.col("reasons"), F.array_compact(F.array(
-        F.when(missing, "table is missing in target"),
-        F.when(structural, "structural drift must be reviewed before execution"))))
+        F.when(missing, MISSING_WARNING), F.when(structural, STRUCTURE_WARNING))))
     action = recommended_action(F.lit(mode), F.col("status"), F.col("compatible"), F.size("auxiliary_drift") > 0)
     step = step.withColumns({
         "risk_level": risk_level(F.col("risk_score")),

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# What a report tells its reader to do next.
+NEXT_ACTIONS = {
+    "failed_steps": "Review failed steps in the run log before retrying.",
+    "failed_tables": "Inspect verification mismatches before cutover.",
+    "open_review": "Resolve outstanding manual-review items.",
+    "none": "Migration completed cleanly.",
+}
+
+
 def latest_steps(run_log: DataFrame, order: str = "logged_at") -> DataFrame:
     """The last entry of each step of each run; earlier tries of a step no longer count."""
     return (run_log.groupBy("run_id", "step_id")
@@ -41,13 +50,9 @@ def run_summary(steps: DataFrame, run_log: DataFrame, order: str = "logged_at")
 
 def next_action(failed_steps: Column, failed_tables: Column | None = None, open_review: Column | None = None) -> Column:
     """What is left to do, joined by spaces."""
-    parts = [F.when(failed_steps, "Review failed steps in the run log before retrying.")]
-    if failed_tables is not None:
-        parts.append(F.when(failed_tables, "Inspect verification mismatches before cutover."))
-    if open_review is not None:
-        parts.append(F.when(open_review, "Resolve outstanding manual-review items."))
-    said = F.concat_ws(" ", *parts)
-    return F.when(said == "", "Migration completed cleanly.").otherwise(said)
+    tests = {"failed_steps": failed_steps, "failed_tables": failed_tables, "open_review": open_review}
+    said = F.concat_ws(" ", *[F.when(test, NEXT_ACTIONS[name]) for name, test in tests.items() if test is not None])
+    return F.when(said == "", NEXT_ACTIONS["none"]).otherwise(said)
 
 
 def run_report(summary: DataFrame, verified: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import canonical, text
 from .operators import compare, copy, integrity, keys, layout, profile, relational, verify, views
 from .plans import catalog, drift, readiness, runs
+from .session import side_by_side
 from .sources import csvfiles, seed, storage, tables
 from .streaming import streams
 
@@ -302,6 +303,11 @@ def verify_summary(spark, d):
     return verify.verify_summary(verify.verify_tables(_pairs(spark, d)))
 
 
+def verify_keys(spark, d):
+    claimed = {**PRIMARY_KEYS, "lineitem": ("l_orderkey", "l_linenumber")}
+    return verify.verify_keys({t: (df, claimed[t]) for t, df in load_all(spark, d).items()})
+
+
 def mv_events_by_type(spark, d):
     query = views.group_counts(load(spark, d, "events"), "event_type")
     return views.build_view(query, storage.scratch(spark, "view") + "/by_type", cluster_by=["event_type"])
@@ -422,8 +428,7 @@ def target_specs(source: dict[str, catalog.TableSpec]) -> dict[str, catalog.Tabl
 
 def _catalogs(spark, d):
     source = source_specs(spark, d)
-    return (catalog.catalog_snapshot(list(source.values())),
-            catalog.catalog_snapshot(list(target_specs(source).values())))
+    return side_by_side(catalog.catalog_snapshot, [list(source.values()), list(target_specs(source).values())])
 
 
 def catalog_columns(spark, d):
@@ -516,7 +521,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     union_parties, row_diff_orders, row_diff_chunked_orders, row_diff_values_orders, bag_diff_lineitem,
     bag_diff_rows_lineitem, fk_orphans_orders, fk_orphan_keys_orders, mv_events_by_type, profile_columns, profile_tables,
     profile_partitions_orders, sample_rows_events, sample_hash_events, fingerprint_events, verify_orders, verify_tables,
-    verify_summary, verify_mv_events, chunk_diff_orders, column_diff_orders, check_not_null_events,
+    verify_summary, verify_keys, verify_mv_events, chunk_diff_orders, column_diff_orders, check_not_null_events,
     pk_duplicates_lineitem, unique_documents_text, fill_defaults_orders, dedupe_lineitem, range_route_orders,
     unrouted_orders, sequence_sync, assign_keys_customer, clustered_lineitem, udf_is_paid, scalar_text_part,
     json_payload_events, schema_drift, column_drift, drift_summary, chunk_column, readiness_by_mode, readiness_summary,

@@ -96,9 +96,8 @@ def test_copy_full_leaves_target_when_content_differs(spark, tmp_path, monkeypat
     spark.range(10).write.parquet(path)
     real = copy._check
 
-    def tampered(session, staged, seen, schema):
-        session.range(1).write.mode("append").parquet(staged)
-        return real(session, staged, seen, schema)
+    def tampered(landed, name, seen):
+        return real(landed.union(landed.limit(1)), name, seen)
 
     monkeypatch.setattr(copy, "_check", tampered)
     with pytest.raises(copy.CopyMismatch):
@@ -106,6 +105,17 @@ def test_copy_full_leaves_target_when_content_differs(spark, tmp_path, monkeypat
     assert spark.read.parquet(path).count() == 10 and os.listdir(tmp_path) == ["t"]
 
 
+def test_catalog_table_copy(spark):
+    copy.ensure_schema(spark, "depot")
+    assert copy.copy_full_table(spark.range(10), "depot.t") == 10
+    with pytest.raises(PermissionError):
+        copy.copy_full_table(spark.range(3), "depot.t")
+    assert copy.copy_full_table(spark.table("depot.t").filter("id < 3"), "depot.t", allow_destructive=True) == 3
+    assert rows(tables.read_table(spark, "depot.t")) == [(0,), (1,), (2,)]
+    assert [t.name for t in spark.catalog.listTables("depot")] == ["t"]
+    spark.sql("DROP SCHEMA depot CASCADE")
+
+
 def test_swap_puts_the_old_table_back(spark, tmp_path):
     spark.range(2).write.parquet(f"{tmp_path}/t")
     with pytest.raises(Exception):
