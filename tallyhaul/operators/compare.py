@@ -29,28 +29,32 @@ def same_columns(source: DataFrame, target: DataFrame) -> None:
                          if set(s) != set(t) else f"column order differs, conform first: {s} / {t}")
 
 
-def both_signed(source: DataFrame, target: DataFrame, keep: Sequence[Column] = ()) -> DataFrame:
+def both_signed(source: DataFrame, target: DataFrame, keep: Sequence[Column] = (),
+                json_columns: Sequence[str] = ()) -> DataFrame:
     """Rows of both sides as ``(keep…, _side, _h)``: side 1 or -1 and row hash."""
     same_columns(source, target)
-    hashed = row_hash(source).alias("_h")
+    hashed = row_hash(source, json_columns=json_columns).alias("_h")
     return source.select(*keep, F.expr("1 AS _side"), hashed).unionAll(
         target.select(*keep, F.expr("-1 AS _side"), hashed))
 
 
-def compare_by(source: DataFrame, target: DataFrame, by: dict[str, Column]) -> DataFrame:
-    """``(by…, source_rows, target_rows, differs)`` per group."""
+def compare_by(source: DataFrame, target: DataFrame, by: dict[str, Column],
+               json_columns: Sequence[str] = ()) -> DataFrame:
+    """``(by…, source_rows, target_rows, differs)`` per group. In ``json_columns`` key order and spacing do not count."""
     names = [sql_name(n) for n in by]
-    both = both_signed(source, target, [c.alias(n) for n, c in by.items()])
+    both = both_signed(source, target, [c.alias(n) for n, c in by.items()], json_columns)
     grouped = both.groupBy(*names).agg(*[F.expr(a) for a in NET_AGGREGATES])
     return grouped.selectExpr(*names, "source_rows", "target_rows", f"{DIFFERS} AS differs")
 
 
-def chunk_diff(source: DataFrame, target: DataFrame, chunk: Column, name: str = "chunk") -> DataFrame:
+def chunk_diff(source: DataFrame, target: DataFrame, chunk: Column, name: str = "chunk",
+               json_columns: Sequence[str] = ()) -> DataFrame:
     """Chunks whose content differs. Two scans and a shuffle of one row per chunk and task."""
-    return compare_by(source, target, {name: chunk}).filter("differs").drop("differs")
+    return compare_by(source, target, {name: chunk}, json_columns).filter("differs").drop("differs")
 
 
-def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk: Column | None = None) -> DataFrame:
+def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk: Column | None = None,
+              json_columns: Sequence[str] = ()) -> DataFrame:
     """``(keys…, status, source_rows, target_rows)`` for every key that is not the same on both sides.
 
     With ``chunk`` only the chunks with unequal fingerprints are compared row by
@@ -58,12 +62,12 @@ def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk:
     """
     same_columns(source, target)
     if chunk is not None:
-        bad = settle(chunk_diff(source, target, chunk, "_chunk").select("_chunk"), "chunks").alias("b")
+        bad = settle(chunk_diff(source, target, chunk, "_chunk", json_columns).select("_chunk"), "chunks").alias("b")
         names = [sql_name(n) for n in source.columns]
         source, target = [
             df.withColumn("_chunk", chunk).alias("t").join(bad, F.expr("t._chunk <=> b._chunk"), "left_semi").select(*names)
             for df in (source, target)]
-    found = compare_by(source, target, {k: quoted(k) for k in keys}).filter("differs")
+    found = compare_by(source, target, {k: quoted(k) for k in keys}, json_columns).filter("differs")
     return found.selectExpr(
         *[sql_name(k) for k in keys],
         "CASE WHEN target_rows = 0 THEN 'missing_in_target' WHEN source_rows = 0 THEN 'missing_in_source' "

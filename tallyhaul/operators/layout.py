@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canonical import quoted
+from ..sources.storage import settle
 
 
 def route_range(col: Column, children: Sequence[tuple[str, object, object]]) -> Column:
@@ -49,15 +50,18 @@ def file_position() -> Column:
 
 
 def with_position(df: DataFrame, position: Column | None, name: str = "_pos") -> DataFrame:
-    """Adds ``position``, or without one a counter per task, which is as repeatable as the input's row order."""
-    return df.select("*", (F.monotonically_increasing_id() if position is None else position).alias(name))
+    """Adds ``position``. Without one the rows are written to the shared folder first and take their
+    place there: a counter per task would change when a task runs again on rows in another order."""
+    if position is None:
+        df, position = settle(df, "positions"), file_position()
+    return df.select("*", position.alias(name))
 
 
 def clustered(df: DataFrame, columns: Sequence[str], files: int, position: Column | None = None) -> DataFrame:
     """Sorted into ``files`` key ranges. The row's position breaks ties, so a value that
     fills a third of the table is cut over several ranges and not sorted by one task.
 
-    Give :func:`file_position` when ``df`` is a file scan.
+    Give :func:`file_position` when ``df`` is a file scan; that saves a write.
     """
     names = [quoted(c) for c in columns]
     return (with_position(df, position).repartitionByRange(files, *names, F.col("_pos"))

@@ -24,6 +24,7 @@ class TablePair:
     keys: tuple[str, ...] = ()
     sample: bool = True
     content: bool = True
+    json_columns: tuple[str, ...] = ()
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -51,13 +52,14 @@ def sample_rows(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS
     return df.orderBy(*order).limit(rows)
 
 
-def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS) -> DataFrame:
+def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS,
+                json_columns: Sequence[str] = ()) -> DataFrame:
     """``(sample_hash)``: SHA-256 over the texts of the sampled rows, one per line, in key order.
 
     Only ``rows`` short texts are ever brought together, whatever the table's size.
     """
     order = ", ".join(_sample_order(df, keys))
-    text = row_text_sql(df)
+    text = row_text_sql(df, json_columns=json_columns)
     return sample_rows(df, keys, rows).agg(F.expr(
         f"sha2(array_join(transform(array_sort(collect_list(struct(struct({order}) AS k, {text} AS t))), r -> r.t), "
         r"'\n'), 256) AS sample_hash"))
@@ -66,7 +68,7 @@ def sample_hash(df: DataFrame, keys: Sequence[str] = (), rows: int = SAMPLE_ROWS
 def verify_table(pair: TablePair) -> DataFrame:
     """One report row. ``ok`` wants equal counts and whatever of sample and content was asked for."""
     if pair.content:
-        both = both_signed(pair.source, pair.target).agg(*[F.expr(a) for a in NET_AGGREGATES])
+        both = both_signed(pair.source, pair.target, json_columns=pair.json_columns).agg(*[F.expr(a) for a in NET_AGGREGATES])
         content = f"NOT {DIFFERS}"
     else:
         # counts read no column at all
@@ -75,7 +77,8 @@ def verify_table(pair: TablePair) -> DataFrame:
     hashes = (F.expr("cast(NULL AS string)"),) * 2
     if pair.sample:
         # two one-row relations, read as scalars
-        hashes = (sample_hash(pair.source, pair.keys).scalar(), sample_hash(pair.target, pair.keys).scalar())
+        hashes = tuple(sample_hash(df, pair.keys, json_columns=pair.json_columns).scalar()
+                       for df in (pair.source, pair.target))
     report = both.select("*", hashes[0].alias("source_sample_hash"), hashes[1].alias("target_sample_hash"))
     sample_ok = "source_sample_hash = target_sample_hash"
     return report.selectExpr(

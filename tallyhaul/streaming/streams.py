@@ -13,11 +13,9 @@ from ..session import SETTINGS
 from ..sources.storage import swap_in
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
+    """Files of a directory as a stream. A batch is what a stopped copy has to repeat, so it is bounded."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"

@@ -133,3 +133,14 @@ def test_column_diff_names_the_column(spark):
     assert {r["column_name"]: r["same"] for r in compare.column_diff(s, t).collect()} == {"k": True, "s": True, "x": False}
     empty = compare.column_diff(s.limit(0), t.limit(0)).collect()
     assert all(r["same"] and r["source_rows"] == 0 for r in empty)
+
+
+def test_json_columns_in_diff_and_verify(spark):
+    from tallyhaul.operators.verify import TablePair, verify_table
+
+    s = spark.createDataFrame([(1, '{"a":1, "b":2}'), (2, '{"a":1}'), (3, None)], "k int, j string")
+    t = spark.createDataFrame([(1, '{"b":2,"a":1}'), (2, '{"a":2}'), (3, None)], "k int, j string")
+    assert [r["k"] for r in compare.diff_rows(s, t, ["k"]).orderBy("k").collect()] == [1, 2]
+    assert [r["k"] for r in compare.diff_rows(s, t, ["k"], json_columns=["j"]).collect()] == [2]
+    one = verify_table(TablePair("t", s.filter("k <> 2"), t.filter("k <> 2"), ("k",), json_columns=("j",))).first()
+    assert one["ok"] and one["sample_ok"]
