@@ -264,6 +264,12 @@ def sync_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
     return target.unionByName(conform(rows_to_insert(source, target, keys), target.schema))
 
 
+def insert_missing(source: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Append to the table at ``path`` what it lacks; run again, it adds nothing."""
+    target = source.sparkSession.read.parquet(path)
+    copy_append(rows_to_insert(source, target, keys), path)
+
+
 def copy_with_stats(source: DataFrame, path: str) -> DataFrame:
     """Copy and report ``(row_count, csv_bytes)``, both measured while the rows pass by."""
     seen = Observation(f"stats_{uuid.uuid4().hex}")

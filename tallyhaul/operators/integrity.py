@@ -74,3 +74,18 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = Non
     best = F.min(F.struct(*[quoted(c) for c in first + rest])).alias("_best")
     out = df.groupBy(*[quoted(k) for k in keys]).agg(best)
     return out.select(*[quoted(c) if c in set(keys) else F.col("_best").getField(c).alias(c) for c in df.columns])
+
+
+def dedupe_few(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """:func:`dedupe` for a table in which few keys repeat, such as rows that were sent again.
+
+    Keys are counted first, which shuffles keys only. Whole rows of the keys
+    that do not repeat are passed on where they are: the stored list of repeated
+    keys is broadcast if it is short enough, and joined by shuffle if it is not.
+    """
+    names = [sql_name(k) for k in keys]
+    repeated = settle(df.groupBy(*names).agg(F.expr("count(*) AS n")).filter("n > 1").drop("n"), "repeated").alias("r")
+    same = F.expr(" AND ".join(f"d.{n} <=> r.{n}" for n in names))
+    once, more = [df.alias("d").join(repeated, same, how).select(*[f"d.{sql_name(c)}" for c in df.columns])
+                  for how in ("left_anti", "left_semi")]
+    return once.unionAll(dedupe(more, keys, order))

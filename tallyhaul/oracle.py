@@ -364,6 +364,7 @@ ORACLE_SQL = {
     "dedupe_lineitem": f"""SELECT {_LINE_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
         AS rn FROM lineitem) WHERE rn = 1""",
+    "dedupe_resent_orders": "SELECT * FROM orders",
     "range_route_orders": f"""SELECT child, count(*) AS row_count FROM (SELECT {_CHILD} AS child FROM orders)
         WHERE child IS NOT NULL GROUP BY 1""",
     "unrouted_orders": f"SELECT * FROM orders WHERE {_CHILD} IS NULL",

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import threading
+import time
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import side_by_side
+from ..sources import storage
+
+LOG_SCHEMA = "run_id string, step_id string, ok boolean, elapsed_s double, row_count bigint, error string, logged_at timestamp"
 
 
 # What a report tells its reader to do next.
@@ -26,6 +36,35 @@ def pending_steps(steps: DataFrame, run_log: DataFrame, order: str = "logged_at"
     return steps.join(done, ["run_id", "step_id"], "left_anti")
 
 
+def run_steps(spark: SparkSession, run_id: str, steps: dict[str, Callable[[], int]], log_path: str,
+              at_once: int = 4) -> DataFrame:
+    """Run the steps of ``run_id`` that are not done yet and return the log of all tries.
+
+    A step is a function, such as a table copy, that starts its own Spark jobs
+    and returns a row count. Steps start in the order given, so put the largest
+    table first. A failed one is logged and stops no other; every step is logged
+    as it ends, so a run that is killed starts again where it was.
+    """
+    if not storage.exists(spark, log_path):
+        spark.createDataFrame([], LOG_SCHEMA).write.parquet(log_path)
+    wanted = spark.createDataFrame([(run_id, s) for s in steps], "run_id string, step_id string")
+    open_steps = {r["step_id"] for r in pending_steps(wanted, spark.read.parquet(log_path)).collect()}
+    one_writer = threading.Lock()
+
+    def one(step: str) -> None:
+        start, rows, error = time.monotonic(), None, None
+        try:
+            rows = steps[step]()
+        except Exception as e:  # whatever a step meets belongs in the log and must not stop the others
+            error = str(e)
+        entry = (run_id, step, error is None, time.monotonic() - start, rows, error, datetime.now(timezone.utc))
+        with one_writer:  # two appends to one directory at a time would clear each other's temporary files
+            spark.createDataFrame([entry], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
+
+    side_by_side(one, [s for s in steps if s in open_steps], at_once)
+    return spark.read.parquet(log_path)
+
+
 def run_summary(steps: DataFrame, run_log: DataFrame, order: str = "logged_at") -> DataFrame:
     """``(run_id, total_steps, ok_steps, failed_steps, skipped_steps, elapsed_s, success, next_action)`` per run.
 

@@ -210,8 +210,11 @@ def conform_customer(spark, d):
 
 
 def sync_missing_orders(spark, d):
-    orders = load(spark, d, "orders")
-    return copy.sync_missing(orders, faulty_orders(orders), ["o_orderkey"])
+    orders, path = load(spark, d, "orders"), storage.scratch(spark, "sync") + "/orders"
+    faulty_orders(orders).write.parquet(path)
+    for _ in range(2):  # the second time nothing is missing
+        copy.insert_missing(orders, path, ["o_orderkey"])
+    return spark.read.parquet(path)
 
 
 def seed_users(spark, d):
@@ -356,6 +359,13 @@ def dedupe_lineitem(spark, d):
     return integrity.dedupe(load(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def dedupe_resent_orders(spark, d):
+    """Some orders were sent again, once with a higher price."""
+    orders = load(spark, d, "orders")
+    sent = orders.unionAll(repriced_orders(orders).filter("o_orderkey % 101 = 0")).unionAll(orders.filter("o_orderkey % 211 = 0"))
+    return integrity.dedupe_few(sent, ["o_orderkey"])
+
+
 def range_route_orders(spark, d):
     return layout.routed_counts(load(spark, d, "orders"), "o_orderdate", YEARS)
 
@@ -522,7 +532,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bag_diff_rows_lineitem, fk_orphans_orders, fk_orphan_keys_orders, mv_events_by_type, profile_columns, profile_tables,
     profile_partitions_orders, sample_rows_events, sample_hash_events, fingerprint_events, verify_orders, verify_tables,
     verify_summary, verify_keys, verify_mv_events, chunk_diff_orders, column_diff_orders, check_not_null_events,
-    pk_duplicates_lineitem, unique_documents_text, fill_defaults_orders, dedupe_lineitem, range_route_orders,
+    pk_duplicates_lineitem, unique_documents_text, fill_defaults_orders, dedupe_lineitem, dedupe_resent_orders, range_route_orders,
     unrouted_orders, sequence_sync, assign_keys_customer, clustered_lineitem, udf_is_paid, scalar_text_part,
     json_payload_events, schema_drift, column_drift, drift_summary, chunk_column, readiness_by_mode, readiness_summary,
     run_summary_events, largest_first, stream_copy_events, stream_mv_events, stream_dedupe_events)}

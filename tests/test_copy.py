@@ -201,6 +201,15 @@ def test_sync_missing(spark):
         copy.sync_missing(source.union(spark.createDataFrame([(None, "n")], "k int, v string")), target, ["k"]).collect()
 
 
+def test_insert_missing_twice(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([(1, "kept")], "k int, v string").write.parquet(path)
+    source = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a")], "k int, v string")
+    for _ in range(2):
+        copy.insert_missing(source, path, ["k"])
+    assert rows(spark.read.parquet(path)) == [(1, "kept"), (2, "a")]
+
+
 def test_stats_count_utf8_bytes(spark, tmp_path):
     df = spark.createDataFrame([("é", 1), (None, 22), ('a"b', 3)], "s string, i int")
     got = copy.copy_with_stats(df, f"{tmp_path}/t").first()

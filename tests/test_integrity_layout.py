@@ -216,3 +216,17 @@ def test_seed_rows_are_repeatable(spark):
     times = [r["event_ts"] for r in seed.seed_events(ids, 200).collect()]
     assert min(times) >= datetime(2026, 1, 1) and max(times) < datetime(2026, 2, 20)
     assert seed.seed_users(ids).select("email").distinct().count() == 2000
+
+
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_dedupe_few_equals_dedupe(spark, limit):
+    rng = random.Random(5)
+    data = [(i if i % 10 else None, rng.choice([None, "a", "b"])) for i in range(200)] + [(5, "0"), (7, None), (7, None)]
+    df = spark.createDataFrame(data, "k int, s string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = rows(integrity.dedupe_few(df, ["k"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == rows(integrity.dedupe(df, ["k"]))

@@ -194,3 +194,24 @@ def test_run_summary_and_resume(spark):
     report = {r["run_id"]: r for r in runs.run_report(runs.run_summary(steps, log), verified).collect()}
     assert not report[2]["success"] and "Inspect verification mismatches" in report[2]["next_action"]
     assert report[1]["next_action"].startswith("Review failed steps") and report[1]["failed_tables"] == "t"
+
+
+def test_run_steps_retries_only_what_failed(spark, tmp_path):
+    from tallyhaul.operators.copy import copy_full
+
+    log, calls = f"{tmp_path}/log", []
+
+    def step(name, df):
+        def work():
+            calls.append(name)
+            return copy_full(df, f"{tmp_path}/{name}", allow_destructive=True)
+        return work
+
+    bad = spark.range(5).withColumn("id", F.raise_error("lost").cast("bigint"))
+    first = runs.run_steps(spark, "r", {"a": step("a", spark.range(10)), "b": step("b", bad)}, log)
+    assert {(r["step_id"], r["ok"], r["row_count"]) for r in first.collect()} == {("a", True, 10), ("b", False, None)}
+    second = runs.run_steps(spark, "r", {"a": step("a", spark.range(10)), "b": step("b", spark.range(7))}, log)
+    assert sorted(calls) == ["a", "b", "b"] and second.count() == 3
+    steps = spark.createDataFrame([("r", "a"), ("r", "b"), ("r", "c")], "run_id string, step_id string")
+    total = runs.run_summary(steps, second).first()
+    assert (total["ok_steps"], total["failed_steps"], total["skipped_steps"]) == (2, 0, 1)
