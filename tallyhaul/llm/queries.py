@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, mixing
+from . import decontamination, exact_dedup, mixing, ngram_join, token_files
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, d, "documents"), ngram_join.Rule(4, 85, 100))
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -23,6 +27,10 @@ def op7_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
+    return token_files.token_table(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_decontamination, op6_mixing, op7_exact_dedup)}
+    op1_ngram_join, op3_decontamination, op6_mixing, op7_exact_dedup, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
