@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package's source, once per application; on a cluster they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="package-"), "tallyhaul_source.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("tallyhaul", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Long texts come in short Arrow batches. The setting is read when a plan is made, so it stays set."""
+    """For operators that run Python: their package goes to the executors, and long texts come in short Arrow
+    batches. The setting is read when a plan is made, so it stays set."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -6,10 +6,12 @@ becomes a point of counts, and the sum of coordinate minima of two points bounds
 1. Points: one scan gives each document its set size, set key (128 bits) and point. Equal sets are one class from
    here on, by their smallest document.
 2. Cells: the space of sets is cut into parts by hash range. Two sets that link differ in at most H places (a bound
-   from their size class), so of H + 1 + slack parts more than ``slack`` are equal in both. A part is a point of its own, and equal
-   parts are found by an exact lookup: cells of equal parts tie documents into blocks that hold every link.
-   Parts of at most one run are looked up only for documents with more than ``slack`` of them, so common passages tie
-   little. Tasks keep one document per cell before the shuffle.
+   from their size class), so of H + 1 + e + g parts at least 1 + e + g are equal in both. A part is a point of its own, and equal
+   parts are found by an exact lookup, in cells. Empty parts are looked up only by documents with more than e of them. All pairs of a
+   small cell meet once and stay tied if the summed minima of their points leave room for a link. Cells of more than ``SMALL``
+   documents come from common passages or from large groups of near copies; they tie their documents (all to the smallest)
+   only if those lie in more than g such cells, for any other pair also meets in a small cell. A task with a large cell passes on
+   one document for it. Ties make blocks that hold every link.
 3. Pages: documents of blocks are range-sorted by (block, size, point) and cut into leaf pages with their bounding boxes,
    so a block of any size is spread over tasks. Pages meet only where the summed minima of their upper corners leave room for a link.
 4. Links: in a pair of pages the summed minima bound all pairs of documents at once, and pairs that survive, most
@@ -36,7 +38,7 @@ from . import hashing
 from .common import partitions, settle, small_batches
 from .components import components
 
-GROUPS, PAGE_ROWS, FLUSH_ROWS, THIN = 64, 256, 1_000_000, 1
+GROUPS, PAGE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 1_000_000, 16
 
 
 @dataclass(frozen=True)
@@ -75,35 +77,42 @@ def _points(rule: Rule, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = hashing.words(batch.column("text"), hashing.NOT_BLANK)
-            n, k1, k2, points, sets = [], [], [], [], []
+            n, k1, k2, points, sets, budget = [], [], [], [], [], []
             for s in hashing.shingle_sets(found, rule.k):
                 n.append(len(s))
                 mixed = hashing.mix(s)
                 k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
+                at, bounds = rule.classes(len(s))
+                budget.append(spare(rule.differ(bounds[at]))[1])
                 points.append(np.bincount((mixed & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
                 if with_sets:
                     sets.append(s.tobytes())
             columns = {"id": _id_column(batch.column("id")), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()),
-                       "k2": pa.array(k2, pa.int64()), "point": pa.array(points, pa.binary())}
+                       "k2": pa.array(k2, pa.int64()), "budget": pa.array(budget, pa.int64()), "point": pa.array(points, pa.binary())}
             if with_sets:
                 columns["elements"] = pa.array(sets, pa.binary())
             yield pa.record_batch(columns)
     return run
 
 
-POINTS = "id long, n long, k1 long, k2 long, point binary"
+POINTS = "id long, n long, k1 long, k2 long, budget long, point binary"
 
 
 # --- cells ----------------------------------------------------------------------------
 
+def spare(most: int) -> tuple[int, int]:
+    """Parts beyond most + 1: as many may be empty, and as many may lie in large cells, before a document has to look them up."""
+    return (most + 1) // 24, max(1, (most + 1) // 8)
+
+
 def parts_of(rule: Rule, s: np.ndarray, class_no: int, upper: int) -> np.ndarray:
     """Lookup keys of the parts of the sorted set ``s``, for pairs whose larger set is in that size class."""
     most = rule.differ(upper)
     if not most:
         return s[:0]  # only equal sets link here, and those are one class already
-    slack = (most + 1) // 12
-    many = most + 1 + slack
+    empties, large = spare(most)
+    many = most + 1 + empties + large
     part = ((s >> np.uint64(32)) * np.uint64(many)) >> np.uint64(32)
     begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     sizes = np.diff(np.r_[begins, len(s)])
@@ -111,30 +120,51 @@ def parts_of(rule: Rule, s: np.ndarray, class_no: int, upper: int) -> np.ndarray
     name = part[begins] + np.uint64(class_no << 40)
     with np.errstate(over="ignore"):
         keys = hashing.mix(sums + hashing.mix(name * np.uint64(0x9FB21C651E98DF25) + sizes.astype(np.uint64)))
-    thick = sizes > THIN
-    if many - int(thick.sum()) <= slack:
-        return keys[thick]
-    if many > len(begins):  # its empty parts may be all that it shares
-        empty = np.setdiff1d(np.arange(many, dtype=np.uint64), part[begins]) + np.uint64(class_no << 40)
-        with np.errstate(over="ignore"):
+        if many - len(begins) > empties:  # empty parts may be all that it shares
+            empty = np.setdiff1d(np.arange(many, dtype=np.uint64), part[begins]) + np.uint64(class_no << 40)
             keys = np.r_[keys, hashing.mix(hashing.mix(empty * np.uint64(0x9FB21C651E98DF25)))]
     return keys
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, smallest id) per key, and (smallest, other) for all other ids of a key."""
+def _sorted_runs(keys: np.ndarray, ids: np.ndarray):
+    """Rows sorted by key and id, where each key begins and how many rows it has."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    first = ids[new]
-    least = first[np.cumsum(new) - 1] if len(keys) else ids
-    other = least != ids
-    pairs = np.unique(np.stack([least[other], ids[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[new], first, pairs[:, 0], pairs[:, 1]
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys, ids, begins, np.diff(np.r_[begins, len(keys)])
+
+
+def collapsed(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows to pass on, and members of large cells: a cell of more than ``SMALL`` rows passes on its smallest id, twice as a mark."""
+    keys, ids, begins, size = _sorted_runs(keys, ids)
+    large = np.repeat(size > SMALL, size)
+    mark = begins[size > SMALL]
+    return np.r_[keys[~large], np.repeat(keys[mark], 2)], np.r_[ids[~large], np.repeat(ids[mark], 2)], keys[large], ids[large]
+
+
+def cell_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of small cells, and members (keys, ids) of large or marked ones."""
+    keys, ids, begins, size = _sorted_runs(keys, ids)
+    again = np.r_[False, (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1])] if len(keys) else np.zeros(0, bool)
+    marked = np.add.reduceat(again, begins, dtype=np.int64) > 0 if len(begins) else np.zeros(0, bool)
+    wide = marked | (size > SMALL)
+    large = np.repeat(wide, size) & ~again
+    pairs = [np.zeros((0, 2), np.int64)]
+    for m in range(2, SMALL + 1):
+        at = begins[(size == m) & ~wide]
+        if len(at):
+            x, y = np.triu_indices(m, 1)
+            pairs.append(_distinct_pairs(ids[at[:, None] + x].ravel(), ids[at[:, None] + y].ravel()))
+    return np.unique(np.concatenate(pairs), axis=0), keys[large], ids[large]
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
+    return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2).astype(np.int64)
 
 
 def _cells(rule: Rule, buckets: int):
-    """Rows (bucket, keys, ids): lookups of a bucket; in bucket -1: edges as two lists of ids."""
+    """Rows (bucket, keys, ids): lookups of a bucket; in bucket -1 equal sets as two lists of ids, in -2 members of large cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}  # sets of this task
         keys: list[np.ndarray] = []
@@ -143,12 +173,14 @@ def _cells(rule: Rule, buckets: int):
         held = 0
 
         def flush():
-            k, d, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
+            k, d, large_keys, large_ids = collapsed(np.concatenate(keys), np.concatenate(ids))
+            order = np.argsort(k, kind="stable")
+            k, d = k[order], d[order]
             bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(i, k[x:y].tobytes(), d[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-            rows.append((-1, np.r_[a, [t[0] for t in twins]].astype(np.int64).tobytes(),
-                         np.r_[b, [t[1] for t in twins]].astype(np.int64).tobytes()))
+            rows.append((-1, np.array([t[0] for t in twins], np.int64).tobytes(), np.array([t[1] for t in twins], np.int64).tobytes()))
+            rows.append((-2, large_keys.tobytes(), large_ids.tobytes()))
             for row in rows:
                 yield pa.record_batch({"bucket": pa.array([row[0]], pa.int32()), "keys": pa.array([row[1]], pa.binary()),
                                        "ids": pa.array([row[2]], pa.binary())})
@@ -179,22 +211,44 @@ def _cells(rule: Rule, buckets: int):
     return run
 
 
+TWINS, PAIR, MEMBER = 0, 1, 2
+
+
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between documents of one cell; a partition holds whole buckets."""
+    """Rows (kind, a, b) from whole buckets: equal sets, pairs of small cells, and (cell, document) of large ones."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def edges(a, b):
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def rows(kind, a, b):
+        return pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a.view(np.int64)),
+                                "b": pa.array(b, pa.int64())})
 
     for batch in batches:
         for bucket, keys, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "ids"))):
-            if bucket < 0:
-                yield edges(np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64))
-            else:
-                held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)))
-    for rows in held.values():
-        _, _, a, b = _stars(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
-        yield edges(a, b)
+            keys, ids = np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
+            if bucket >= 0:
+                held.setdefault(bucket, []).append((keys, ids))
+            elif len(ids):
+                yield rows(TWINS if bucket == -1 else MEMBER, keys, ids)
+    while held:
+        _, parts = held.popitem()
+        pairs, keys, ids = cell_pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        yield rows(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+        yield rows(MEMBER, keys, ids)
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), GROUPS)
+
+
+def _near(rule: Rule):
+    """Pairs whose summed coordinate minima reach the overlap that a link needs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.minimum(_stacked(batch.column("p")), _stacked(batch.column("q"))).sum(1)
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            keep = pa.array(bound >= rule.need(total))
+            yield batch.select(["a", "b"]).filter(keep)
+    return run
 
 
 # --- pages and links ---------------------------------------------------------------------
@@ -372,15 +426,25 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    points = settle(base.mapInArrow(_points(rule, False), POINTS), "ngram_points").select("id", "n", "k1", "k2")
+    stored = settle(base.mapInArrow(_points(rule, False), POINTS), "ngram_points")
+    points = stored.select("id", "n", "k1", "k2")
     equal = points.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("set_id"))
     sets = settle(points.join(equal, ["k1", "k2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ngram_classes")
 
     buckets = 4 * partitions(spark)
     cells = base.mapInArrow(_cells(rule, buckets), "bucket int, keys binary, ids binary")
-    ties = cells.repartition(partitions(spark), F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("keys"))) \
-        .mapInArrow(_ties, "a long, b long")
+    ties = cells.repartition(partitions(spark), F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("ids"))) \
+        .mapInArrow(_ties, "kind int, a long, b long")
     ties = settle(ties.distinct(), "ngram_ties")
+    near = ties.filter(F.col("kind") == PAIR).join(stored.select(F.col("id").alias("a"), "n", F.col("point").alias("p")), "a") \
+        .join(stored.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b") \
+        .mapInArrow(_near(rule), "a long, b long")
+    members = ties.filter(F.col("kind") == MEMBER).select(F.col("a").alias("cell"), F.col("b").alias("id"))
+    over = members.groupBy("id").count().join(stored.select("id", "budget"), "id").filter("count > budget").select("id").distinct()
+    members = settle(members.join(over, "id"), "ngram_large")
+    least = members.groupBy("cell").agg(F.min("id").alias("a"))
+    large = members.join(least, "cell").select("a", F.col("id").alias("b"))
+    ties = ties.filter(F.col("kind") == TWINS).select("a", "b").unionAll(near).unionAll(large)
     twins = sets.filter("id <> set_id").select(F.col("id"), F.col("set_id"))
     tied = components(ties.unionAll(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b"))), "ngram_blocks")
     first = tied.join(sets.filter("id = set_id").select(F.col("id").alias("node")).distinct(), "node", "left_semi")

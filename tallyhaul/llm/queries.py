@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, mixing, ngram_join, token_files
+from . import decontamination, exact_dedup, language, language_model, mixing, ngram_join, token_files, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op5_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.report(table(spark, d, "documents"))
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     planned = mixing.plan(table(spark, d, "documents"))
     return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -27,10 +31,19 @@ def op7_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op9_language_model(spark: SparkSession, d: str) -> DataFrame:
+    return language_model.scored(table(spark, d, "documents"))
+
+
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.token_table(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ngram_join, op3_decontamination, op6_mixing, op7_exact_dedup, op10_token_files)}
+    op1_ngram_join, op3_decontamination, op5_language, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language_model,
+    op10_token_files)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
