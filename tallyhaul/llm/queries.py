@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, language, language_model, mixing, ngram_join, token_files, toxicity
+from . import (
+    decontamination, exact_dedup, language, language_model, main_text, mixing, ngram_join, token_files, toxicity, url_lists)
 from .common import table
 
 
@@ -14,10 +15,19 @@ def op1_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.join_classes(table(spark, d, "documents"), ngram_join.Rule(4, 85, 100))
 
 
+def op2_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_text.main_texts(table(spark, d, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op4_url_lists(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return url_lists.evaluate(url_lists.dated_captures(pages), url_lists.derived_entries(pages))
+
+
 def op5_language(spark: SparkSession, d: str) -> DataFrame:
     return language.report(table(spark, d, "documents"))
 
@@ -44,6 +54,7 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ngram_join, op3_decontamination, op5_language, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language_model,
+    op1_ngram_join, op2_main_text, op3_decontamination, op4_url_lists, op5_language, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language_model,
     op10_token_files)}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_lists": url_lists.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..sources import storage
 from .common import partitions, small_batches
 
-END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 300_000
+END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 600_000
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sQQB")
 #: ASCII characters that a pre-tokenizer splits from the letters before them; not the ones that contractions or special tokens use.
@@ -146,36 +146,60 @@ class Shard:
 
 # --- tokenizing ------------------------------------------------------------------
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte: its own where it is printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
-    """Packed ids by word, at most ``CACHED_WORDS`` of them; beyond that it starts anew.
+    """Packed ids by word, at most ``CACHED_WORDS`` of them; beyond that it starts anew with those used lately.
 
-    The tokenizer drops white space and no merge crosses it, so a text's ids are its words' ids in a row.
-    Latin letters and the punctuation behind them are separate pieces as well.
+    Where the tokenizer drops white space and cuts texts there (which a probe shows), a text's ids are its words' ids in a row.
+    Latin letters and the punctuation behind them are pieces of their own, and letters go straight
+    to the model where that gives the same ids. For other tokenizers texts are encoded whole.
     """
 
+    PROBE = "Lorem ipsum, dolor!! sit-amet\n\t Äéñ's  x1 2024;"
+    LETTERS = ("the", "Grüße", "déjà", "ñandú", "zzxqk")
+
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.bytes, self.old = tokenizer, tokenizer.model, byte_letters(), {}
         self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.direct = all(self.straight(w) == self.whole(w) for w in self.LETTERS)
+        self.by_word = self.whole(self.PROBE) == b"".join(self.whole(w) for w in self.PROBE.split())
+        self.by_word &= self.whole("Äéñ,...") == self.whole("Äéñ") + self.whole(",...") and self.whole("THE") == self.whole("the")
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
+    def straight(self, letters: str) -> bytes:
+        """Ids of a piece of letters that have one lower-case letter each."""
+        ids = [t.id for t in self.model.tokenize("".join(map(self.bytes.__getitem__, letters.lower().encode())))]
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            letters = text.rstrip(TAIL)
+            if not (letters and letters.isalpha() and max(letters) < "ɐ" and "İ" not in letters):
+                ids = self.whole(text)
+            elif len(letters) < len(text):
+                ids = self[letters.encode()] + self[text[len(letters):].encode()]
+            else:
+                ids = self.straight(letters) if self.direct else self.whole(text)
+        if len(self) >= CACHED_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        text = word.decode()
-        letters = text.rstrip(TAIL)
-        if 0 < len(letters) < len(text) and letters.isalpha() and max(letters) < "ɐ":
-            ids = self[letters.encode()] + self[text[len(letters):].encode()]
-        else:
-            ids = self.whole(text)
         self[word] = ids
         return ids
 
     def text(self, text: bytes) -> bytes:
-        if b"<|" in text:  # may be a special token, which is looked for before case is changed
+        if not self.by_word or b"<|" in text:  # may be a special token, which is looked for before case is changed
             return self.whole(text.decode())
         return b"".join(map(self.__getitem__, text.lower().split()))
 
