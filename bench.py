@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
-from tallyhaul.queries import QUERIES
+from tallyhaul.queries import QUERIES, TABLES
 from tallyhaul.session import build_session
 
-HEADLINE = ("fingerprint_events", "row_diff_orders", "row_diff_chunked_orders", "bag_diff_lineitem", "chunk_diff_orders",
+HEADLINE = ("fingerprint_events", "fingerprint_lineitem", "row_diff_orders", "row_diff_chunked_orders", "bag_diff_lineitem", "chunk_diff_orders",
             "column_diff_orders", "verify_orders", "verify_tables", "copy_full_orders", "chunked_copy_lineitem",
             "copy_partition_wise_orders", "csv_roundtrip_documents", "sync_missing_orders", "clustered_lineitem",
             "assign_keys_customer", "fk_orphans_orders", "pk_duplicates_lineitem", "dedupe_lineitem", "profile_tables",
@@ -22,7 +23,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")})
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:
@@ -34,12 +35,13 @@ def main() -> None:
     seconds, rows_per_second = {}, {}
     for name in HEADLINE:
         seconds[name] = round(run(name), 3)
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    size = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in TABLES}
     for name in HEADLINE:
-        if name.endswith("lineitem"):
-            rows_per_second[name] = round(lines / seconds[name])
+        table = name.rpartition("_")[2]
+        if table in size:
+            rows_per_second[name] = round(size[table] / seconds[name])
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                      "queries": seconds, "lineitem_rows_per_second": rows_per_second, "sf": os.path.basename(sf_dir)}))
+                      "queries": seconds, "rows_per_second": rows_per_second, "sf": os.path.basename(sf_dir)}))
     spark.stop()
 
 

@@ -2,7 +2,7 @@
 
 Two kinds of row hash serve two needs:
 
-* ``row_hash`` is ``xxhash64`` over the typed columns. It never builds text, so
+* ``row_hash`` is ``xxhash64`` over the typed columns. It builds text for maps, variants and structs only, so
   it is the one used wherever Spark reads both sides.
 * ``portable_hash`` is md5 over a canonical text of the row. Any engine with md5
   can recompute it, so a fingerprint can be compared with one taken elsewhere.
@@ -90,6 +90,10 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns:
     return F.expr(row_text_sql(df, columns, json_columns))
 
 
+def _flat_array(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, _COMPLEX)
+
+
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
     """64-bit hash of the typed row. NULL positions are hashed too, as ``xxhash64`` alone skips NULLs."""
     types, json_columns, values, nulls = _types(df), set(json_columns), [], []
@@ -97,6 +101,9 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, json_columns:
         col = sql_name(name)
         if name in json_columns:
             values.append(json_text(col))
+        elif _flat_array(types[name]):
+            # the hash skips NULL elements, so their places are hashed as well
+            values += [col, f"size({col})", f"transform({col}, x -> x IS NULL)"]
         elif isinstance(types[name], _COMPLEX):
             values.append(_nested_text(col, types[name]))
         else:
@@ -107,7 +114,7 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None, json_columns:
 
 def portable_hash(text: Column) -> Column:
     """First 60 bits of md5 as a whole number that other engines can compute as well."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_pieces(h: str) -> list[str]:
@@ -127,10 +134,9 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, algorithm:
     columns = list(columns or df.columns)
     if algorithm == "md5":
         hashed = df.select(*by, portable_hash(row_text(df, columns, json_columns)).alias("_h"))
-        value = "cast(cast(coalesce(sum(_h), 0) AS decimal(38,0)) AS string)"
     elif algorithm == "xxhash64":
         hashed = df.select(*by, row_hash(df, columns, json_columns).alias("_h"))
-        value = join_pieces([f"sum({p})" for p in hash_pieces("_h")])
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
+    value = join_pieces([f"sum({p})" for p in hash_pieces("_h")])
     return hashed.groupBy(*by).agg(F.expr("count(*) AS row_count"), F.expr(f"{value} AS fingerprint"))

@@ -63,11 +63,13 @@ def diff_rows(source: DataFrame, target: DataFrame, keys: Sequence[str], chunk:
     same_columns(source, target)
     if chunk is not None:
         bad = settle(chunk_diff(source, target, chunk, "_chunk", json_columns).select("_chunk"), "chunks").alias("b")
-        names = [sql_name(n) for n in source.columns]
-        source, target = [
-            df.withColumn("_chunk", chunk).alias("t").join(bad, F.expr("t._chunk <=> b._chunk"), "left_semi").select(*names)
-            for df in (source, target)]
-    found = compare_by(source, target, {k: quoted(k) for k in keys}, json_columns).filter("differs")
+        # keys, chunk and hash only; whole rows do not move
+        both = both_signed(source, target, [*[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)], chunk.alias("_chunk")],
+                           json_columns).alias("t").join(bad, F.expr("t._chunk <=> b._chunk"), "left_semi")
+        grouped = both.groupBy(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]).agg(*[F.expr(a) for a in NET_AGGREGATES])
+        found = grouped.selectExpr(*[sql_name(k) for k in keys], "source_rows", "target_rows", f"{DIFFERS} AS differs").filter("differs")
+    else:
+        found = compare_by(source, target, {k: quoted(k) for k in keys}, json_columns).filter("differs")
     return found.selectExpr(
         *[sql_name(k) for k in keys],
         "CASE WHEN target_rows = 0 THEN 'missing_in_target' WHEN source_rows = 0 THEN 'missing_in_source' "

@@ -21,20 +21,35 @@ class CopyMismatch(RuntimeError):
 
 def _cast(field: T.StructField, have: T.DataType, allow_loss: bool) -> str:
     name, want = sql_name(field.name), field.dataType.simpleString()
-    numbers = isinstance(have, T.NumericType) and isinstance(field.dataType, T.NumericType)
-    if not numbers or have == field.dataType or allow_loss:
+    test = None if allow_loss or have == field.dataType else _lossless(name, have, field.dataType)
+    if test is None:
         return f"cast({name} AS {want}) AS {name}"
-    message = sql_text(f"column {field.name}: a number does not fit {want} without loss")
-    return (f"if(cast(cast({name} AS {want}) AS {have.simpleString()}) <=> {name}, cast({name} AS {want}), "
-            f"cast(raise_error({message}) AS {want})) AS {name}")
+    message = sql_text(f"column {field.name}: a value does not fit {want} without loss")
+    return f"if({test}, cast({name} AS {want}), cast(raise_error({message}) AS {want})) AS {name}"
+
+
+def _lossless(name: str, have: T.DataType, want: T.DataType) -> str | None:
+    """SQL test that a cast keeps the value; None where it always does."""
+    there = f"cast({name} AS {want.simpleString()})"
+    numbers = isinstance(have, T.NumericType) and isinstance(want, T.NumericType)
+    times = isinstance(have, (T.TimestampType, T.TimestampNTZType)) and isinstance(want, T.DateType)
+    if numbers or times:
+        return f"cast({there} AS {have.simpleString()}) <=> {name}"
+    if isinstance(have, T.StringType) and isinstance(want, (T.DecimalType, T.IntegralType)):
+        # the text as a number of the widest kind with as many digits after the point as fit
+        wide = f"cast({name} AS decimal(38,{want.scale + 10 if isinstance(want, T.DecimalType) and want.scale <= 18 else 10}))"
+        return f"{name} IS NULL OR {wide} = {there}"
+    if isinstance(have, T.StringType) and isinstance(want, T.DateType):
+        return f"{name} IS NULL OR cast({name} AS timestamp_ntz) = cast({there} AS timestamp_ntz)"
+    return None
 
 
 def conform(df: DataFrame, schema: T.StructType, allow_drop: bool = False, allow_loss: bool = False) -> DataFrame:
     """Columns of ``schema`` in its order and types; missing nullable ones become NULL.
 
     Columns the target does not have are refused unless ``allow_drop``. Casts are
-    checked row by row: text that does not parse and numbers that would lose
-    digits fail the job.
+    checked row by row: text that does not parse, numbers or numeric text that would lose
+    digits, and timestamps that would lose their time fail the job.
     """
     extra = [c for c in df.columns if c not in set(schema.names)]
     if extra and not allow_drop:
@@ -170,61 +185,97 @@ def _write_parts(df: DataFrame, path: str, part: str, mode: str = "errorifexists
        .partitionBy(part).parquet(path))
 
 
+def _among(part: str, values: Sequence) -> Column:
+    """Rows of these parts; None is the part of NULL values."""
+    test = F.coalesce(quoted(part).isin([v for v in values if v is not None]), F.lit(False))
+    return test | quoted(part).isNull() if None in values else test
+
+
+def _folder(spark: SparkSession, part: str, value) -> str:
+    """Name of a part's directory, as Spark writes it."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    text = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+    return escape(part, text)
+
+
 def _replace_parts(tagged: DataFrame, path: str, part: str, values: Sequence) -> None:
-    """Make the given parts of the table at ``path`` equal to the source's, also those now empty."""
-    spark = tagged.sparkSession
-    chosen = tagged.filter(quoted(part).isin(list(values)))
-    filled = {r[0] for r in chosen.select(part).distinct().collect()}  # at most one row per given part
-    for gone in [v for v in values if v not in filled]:
-        if storage.exists(spark, f"{path}/{part}={gone}"):
-            storage.remove(spark, f"{path}/{part}={gone}")
-    if filled:
-        _write_parts(chosen, path, part, "overwrite")
+    """Make the given parts of the table at ``path`` equal to the source's, also those now empty.
+
+    They are written and checked beside the table; only then each part takes the place of its old one."""
+    spark, path = tagged.sparkSession, path.rstrip("/")
+    chosen = tagged.filter(_among(part, values))
+    staged = f"{path}__staging_{uuid.uuid4().hex}"
+    try:
+        _write_parts(chosen, staged, part)
+        left = _open_parts(chosen, staged, part)
+        if left:
+            raise CopyMismatch(f"{staged}: parts {left} are not equal to the source after the copy")
+        for value in values:
+            name = _folder(spark, part, value)
+            if storage.exists(spark, f"{staged}/{name}"):
+                storage.swap_in(spark, f"{staged}/{name}", f"{path}/{name}")
+            elif storage.exists(spark, f"{path}/{name}"):
+                storage.remove(spark, f"{path}/{name}")
+    finally:
+        if storage.exists(spark, staged):
+            storage.remove(spark, staged)
 
 
 def _open_parts(tagged: DataFrame, path: str, part: str) -> list:
-    """Parts whose content at ``path`` is not the source's: one short row per part."""
+    """Parts whose content at ``path`` is not the source's: one short row per part that differs, NULL first."""
     landed = tagged.sparkSession.read.schema(tagged.schema).parquet(path).select(*tagged.columns)
-    return sorted(r[0] for r in chunk_diff(tagged, landed, quoted(part), "_part").select("_part").collect())
+    found = [r[0] for r in chunk_diff(tagged, landed, quoted(part), "_part").select("_part").collect()]
+    return sorted(found, key=lambda v: (v is not None, v if v is not None else 0))
+
+
+def _tag(source: DataFrame, name: str, expression: Column) -> DataFrame:
+    """The source with its layout column, which must not take the place of one that it has."""
+    if name.lower() in {c.lower() for c in source.columns}:
+        raise ValueError(f"the source has a column {name!r}; give the layout column another name")
+    return source.withColumn(name, expression)
+
+
+def read_copied(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A chunked or partitioned copy as the table that was copied, without the layout column."""
+    return spark.read.parquet(path).select(*[quoted(n) for n in schema.names]).to(schema)
 
 
 def copy_chunked(source: DataFrame, path: str, column: str, chunks: int,
-                 span: tuple[int, int] | None = None) -> int:
-    """Copy by key ranges under ``chunk=N`` directories; returns how many ranges had to be copied.
+                 span: tuple[int, int] | None = None, name: str = "chunk") -> int:
+    """Copy by key ranges under ``chunk=N`` directories (or another ``name``); returns how many ranges had to be copied.
 
     Run again after a failure or a change, it compares range fingerprints and
-    copies only the ranges that are not equal yet. Every run ends with that
-    comparison. Give the same ``span`` each time if the key range grows.
+    copies only the ranges that are not equal yet. What a run writes is compared with
+    the source again. Read the copy with :func:`read_copied`. Give the same ``span`` each time if the key range grows.
     """
     spark = source.sparkSession
     low, high = span or key_span(source, column)
-    tagged = source.withColumn("chunk", chunk_of(quoted(column), low, high, chunks))
+    tagged = _tag(source, name, chunk_of(quoted(column), low, high, chunks))
     if storage.exists(spark, path):
-        todo = _open_parts(tagged, path, "chunk")
+        todo = _open_parts(tagged, path, name)
         if not todo:
             return 0
-        _replace_parts(tagged, path, "chunk", todo)
-        copied = len(todo)
-    else:
-        _write_parts(tagged, path, "chunk")
-        copied = chunks
-    left = _open_parts(tagged, path, "chunk")
+        _replace_parts(tagged, path, name, todo)
+        return len(todo)  # checked before they took their places
+    _write_parts(tagged, path, name)
+    left = _open_parts(tagged, path, name)
     if left:
         raise CopyMismatch(f"{path}: ranges {left} are not equal to the source after the copy")
-    return copied
+    return chunks
 
 
 def copy_partition_wise(source: DataFrame, path: str, part: str, expression: Column,
                         only: Sequence | None = None, allow_destructive: bool = False) -> None:
     """Copy the children of a partitioned table into ``part=value`` directories.
 
-    With ``only``, just those children are replaced; without it, the whole table
-    is, by staging and swap. Replacing anything needs ``allow_destructive``.
+    With ``only``, just those children are replaced (None is the child of NULL values); without it, the whole table
+    is. Both are staged, checked and swapped in. Replacing anything needs ``allow_destructive``.
+    Read the copy with :func:`read_copied`.
     """
     spark = source.sparkSession
     if storage.exists(spark, path) and not allow_destructive:
         raise PermissionError(f"{path} exists; pass allow_destructive=True to replace its partitions")
-    tagged = source.withColumn(part, expression)
+    tagged = _tag(source, part, expression)
     if only is not None:
         _replace_parts(tagged, path, part, list(only))
         return

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.canonical import quoted, sql_name, sql_text
+from ..functions.canonical import quoted, sql_name, sql_text, value_text
 from ..sources.storage import settle
 
 
@@ -61,8 +61,18 @@ def fill_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: e for c, e in defaults.items() if c not in have})
 
 
+def _unordered(kind: T.DataType) -> bool:
+    """Maps and variants, also inside arrays and structs, have no order; their exact text has."""
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the least one by ``order`` and then by all other columns (NULL sorts first).
+    Maps and variants count by their text.
 
     Written as an aggregate, not as a window: each task first reduces a hot key
     to its own best row, so no task has to sort a whole group.
@@ -71,7 +81,11 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = Non
     rest = [c for c in df.columns if c not in set(keys) and c not in set(first)]
     if not first and not rest:
         return df.distinct()
-    best = F.min(F.struct(*[quoted(c) for c in first + rest])).alias("_best")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    row, texts = F.struct(*[quoted(c) for c in first + rest]), [c for c in first + rest if _unordered(types[c])]
+    best = (F.min(row) if not texts else F.min_by(row, F.struct(*[
+        F.expr(value_text(sql_name(c), types[c])).alias(f"o{i}") if c in texts else quoted(c).alias(f"o{i}")
+        for i, c in enumerate(first + rest)]))).alias("_best")
     out = df.groupBy(*[quoted(k) for k in keys]).agg(best)
     return out.select(*[quoted(c) if c in set(keys) else F.col("_best").getField(c).alias(c) for c in df.columns])
 

@@ -50,9 +50,9 @@ def assign_keys(df: DataFrame, start: int, order: Sequence[str], name: str = "ne
     stored = spark.read.schema(df.schema).parquet(path)
     counts = stored.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.expr("count(*) AS _rows"))
     part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
-    # one row per written file, so one task's window and a broadcast are enough for any table
-    before = F.sum("_rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(counts.select("_file", F.coalesce(before, F.lit(0)).alias("_offset")))
+    # one short row per written file goes through the window; how they join the rows is the planner's choice
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(part.alias("_part"), "_rows").select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
     rows = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    return rows.join(offsets, "_file").select(
+    return rows.withColumn("_part", part).drop("_file").join(offsets, "_part").select(
         *[quoted(c) for c in df.columns], (F.col("_offset") + F.col("_index") + F.lit(start)).cast("bigint").alias(name))

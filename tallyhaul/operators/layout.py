@@ -7,33 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.canonical import quoted
+from ..sources import storage
 from ..sources.storage import settle
+from ..sources.tables import in_range
 
 
-def route_range(col: Column, children: Sequence[tuple[str, object, object]]) -> Column:
-    """Name of the child ``(name, low, high)`` whose half-open range holds the value, else NULL.
+def route_range(col: Column, children: Sequence[tuple[str, object, object]], default: str | None = None) -> Column:
+    """Name of the child ``(name, low, high)`` whose half-open range holds the value, else ``default``.
 
+    A bound of None is open. NULL values go to ``default``, as no range holds them.
     A search tree of comparisons inside the scan stage: no join, and about
     log2(children) tests per row.
     """
-    ordered = sorted(children, key=lambda c: c[1])
+    lowest = [c for c in children if c[1] is None]
+    ordered = lowest + sorted((c for c in children if c[1] is not None), key=lambda c: c[1])
     for (a, _, high), (b, low, _) in zip(ordered, ordered[1:]):
-        if low < high:
+        if high is None or low is None or low < high:
             raise ValueError(f"children {a} and {b} overlap")
 
     def build(part: Sequence[tuple[str, object, object]]) -> Column:
         if len(part) == 1:
             name, low, high = part[0]
-            return F.when((col >= F.lit(low)) & (col < F.lit(high)), F.lit(name))
+            return F.when(col.isNotNull() & in_range(col, low, high), F.lit(name))
         mid = len(part) // 2
         return F.when(col < F.lit(part[mid][1]), build(part[:mid])).otherwise(build(part[mid:]))
 
-    return build(ordered) if ordered else F.lit(None).cast("string")
+    found = build(ordered) if ordered else F.lit(None).cast("string")
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def routed_counts(df: DataFrame, column: str, children: Sequence[tuple[str, object, object]]) -> DataFrame:
+def route_list(col: Column, children: dict[str, Sequence], default: str | None = None) -> Column:
+    """Name of the child whose list has the value; None in a list takes NULL values."""
+    seen: dict = {}
+    for name, values in children.items():
+        for v in values:
+            if seen.setdefault(v, name) != name:
+                raise ValueError(f"children {seen[v]} and {name} both take {v!r}")
+    out = F.lit(default).cast("string")
+    for name, values in children.items():
+        test = col.isin([v for v in values if v is not None])
+        if None in values:
+            test = F.coalesce(test, F.lit(False)) | col.isNull()
+        out = F.when(test, F.lit(name)).otherwise(out)
+    return out
+
+
+def route_hash(columns: Sequence[Column], children: Sequence[str]) -> Column:
+    """Name of the child by Spark's hash of the key modulo their number. A database that hashes otherwise
+    spreads rows over other children; each child is then a share of the rows and not its copy."""
+    number = F.pmod(F.xxhash64(*columns), F.lit(len(children)))
+    return F.element_at(F.array(*[F.lit(c) for c in children]), (number + 1).cast("int"))
+
+
+def routed_counts(df: DataFrame, column: str, children: Sequence[tuple[str, object, object]],
+                  default: str | None = None) -> DataFrame:
     """``(child, row_count)``; rows without a child are left to :func:`unrouted`."""
-    child = route_range(quoted(column), children)
+    child = route_range(quoted(column), children, default)
     return (df.select(child.alias("child")).filter("child IS NOT NULL").groupBy("child")
             .agg(F.count(F.lit(1)).alias("row_count")))
 
@@ -68,6 +97,12 @@ def clustered(df: DataFrame, columns: Sequence[str], files: int, position: Colum
             .sortWithinPartitions(*names).drop("_pos"))
 
 
-def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int, position: Column | None = None,
-                    mode: str = "errorifexists") -> None:
+def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int | None = None,
+                    position: Column | None = None, mode: str = "errorifexists") -> None:
+    """Without ``files`` the rows are stored first, and their size gives the number."""
+    if files is None:
+        folder = storage.scratch(df.sparkSession, "clustering") + "/rows"
+        df.write.parquet(folder)
+        files = storage.files_for(df.sparkSession, folder)
+        df, position = df.sparkSession.read.schema(df.schema).parquet(folder), file_position()
     clustered(df, columns, files, position).write.mode(mode).parquet(path)

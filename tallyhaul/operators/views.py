@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,15 +15,23 @@ def group_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
 
 
-def build_view(query: DataFrame, path: str, cluster_by: Sequence[str] = (), files: int = 1,
+def build_view(query: DataFrame, path: str, cluster_by: Sequence[str] = (), files: int | None = None,
                if_absent: bool = True) -> DataFrame:
-    """Run the query once and keep its rows; one that is there already is kept when ``if_absent``."""
+    """Run the query once and keep its rows; one that is there already is kept when ``if_absent``.
+
+    A refresh is written beside the old rows and takes their place when it is complete."""
     spark = query.sparkSession
     if not (if_absent and storage.exists(spark, path)):
-        if cluster_by:
-            write_clustered(query, path, cluster_by, files, mode="overwrite")
-        else:
-            query.write.mode("overwrite").parquet(path)
+        staged = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+        try:
+            if cluster_by:
+                write_clustered(query, staged, cluster_by, files)
+            else:
+                query.write.parquet(staged)
+            storage.swap_in(spark, staged, path.rstrip("/"))
+        finally:
+            if storage.exists(spark, staged):
+                storage.remove(spark, staged)
     return spark.read.schema(query.schema).parquet(path)
 
 

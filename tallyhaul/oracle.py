@@ -80,7 +80,7 @@ def _verify_line(name: str, target: str) -> str:
     sample_equal = _equal(f"(SELECT * FROM {name} ORDER BY {order} LIMIT 50)",
                           f"(SELECT * FROM {target} q2 ORDER BY {order} LIMIT 50)")
     return f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS source_rows,
-      (SELECT count(*) FROM {target} q0) AS target_rows, {sample_equal} AS sample_ok, {rows_equal} AS content_ok"""
+      (SELECT count(*) FROM {target} q0) AS target_rows, {sample_equal} AS sample_ok, {rows_equal} AS content_ok, CAST(NULL AS VARCHAR) AS error"""
 
 
 _VERIFY = "\nUNION ALL ".join(
@@ -218,7 +218,7 @@ report AS (SELECT table_name, status, row_count, action, strategy, chunk_column,
 
 
 def _draw(id_: str, label: str, below: str) -> str:
-    return f"(CAST('0x' || substr(md5('{label}:' || CAST({id_} AS VARCHAR)), 1, 8) AS BIGINT) % {below})"
+    return f"(CAST('0x' || substr(md5('{label}:' || CAST({id_} AS VARCHAR)), 1, 15) AS BIGINT) % {below})"
 
 
 def _spread(id_: str, label: str, days: int) -> str:
@@ -274,6 +274,20 @@ ORACLE_SQL = {
     "conform_customer": "SELECT * FROM customer",
     "sync_missing_orders": f"""SELECT * FROM {FAULTY_ORDERS} q UNION ALL SELECT * FROM orders
         WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {FAULTY_ORDERS} q)""",
+    "catalog_declared_columns": f"SELECT table_name, position, column_name, type FROM ({_columns(_SOURCE_RELATIONS, SCHEMAS)}) q",
+    "chunked_copy_content_lineitem": "SELECT * FROM lineitem",
+    "partition_copy_content_orders": f"""SELECT * FROM {FAULTY_ORDERS} q WHERE o_orderstatus NOT IN ('O', 'P')
+        UNION ALL SELECT * FROM orders WHERE coalesce(o_orderstatus, 'P') IN ('O', 'P')""",
+    "route_open_orders": """SELECT CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 'before'
+        WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'year_1997'
+        WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN 'after' ELSE 'other' END AS child, count(*) AS row_count FROM orders GROUP BY 1""",
+    "route_list_hash_orders": """SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' OR o_orderstatus IS NULL THEN 'open'
+        ELSE 'rest' END AS child, count(*) AS row_count, count(*) AS hashed_rows, CAST(0 AS BIGINT) AS split_keys FROM orders GROUP BY 1""",
+    "clustered_ranges_lineitem": "SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS overlapping_files FROM lineitem",
+    "fingerprint_lineitem": """SELECT l_linestatus, count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR),
+        replace(replace(l_linestatus, '\\', '\\\\'), '|', '\\|'), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR),
+        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(l_shipdate AS VARCHAR))), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint
+        FROM lineitem GROUP BY 1""",
     "catalog_columns": _columns(_SOURCE_RELATIONS, SCHEMAS),
     "seed_users": f"""SELECT c_custkey + 1 AS user_id, 'user' || (c_custkey + 1) || '@example.com' AS email,
         {_spread('c_custkey + 1', 'joined', 30)} AS created_at FROM customer""",
@@ -334,7 +348,7 @@ ORACLE_SQL = {
         (SELECT count(*) FROM {FAULTY_ORDERS} q) AS target_rows,
         {_sample_hash('orders', SCHEMAS['orders'], 'o_orderkey')} AS source_sample_hash,
         {_sample_hash(FAULTY_ORDERS, SCHEMAS['orders'], 'o_orderkey')} AS target_sample_hash,
-        {_equal('SELECT * FROM orders', f'SELECT * FROM {FAULTY_ORDERS} q')} AS content_ok)""",
+        {_equal('SELECT * FROM orders', f'SELECT * FROM {FAULTY_ORDERS} q')} AS content_ok, CAST(NULL AS VARCHAR) AS error)""",
     "verify_tables": VERIFY_TABLES,
     "verify_summary": f"""SELECT bool_and(ok) AS ok, count(*) AS tables_checked,
         count(*) FILTER (WHERE NOT ok) AS failed_tables,
@@ -419,3 +433,15 @@ ORACLE_SQL = {
     "stream_mv_events": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_dedupe_events": "SELECT * FROM events",
 }
+
+ORACLE_SQL["run_report_events"] = f"""SELECT s.run_id, total_steps, ok_steps, failed_steps, skipped_steps, elapsed_s,
+    success AND coalesce(v.ok, true) AS success, v.ok AS verified, v.tables_checked, CASE WHEN v.ok THEN '' WHEN NOT v.ok THEN 'events' END AS failed_tables,
+    coalesce(r.open_reviews, 0) AS open_reviews,
+    CASE WHEN failed_steps = 0 AND coalesce(v.ok, true) AND r.open_reviews IS NULL THEN 'Migration completed cleanly.' ELSE
+      concat_ws(' ', CASE WHEN failed_steps > 0 THEN 'Review failed steps in the run log before retrying.' END,
+        CASE WHEN NOT v.ok THEN 'Inspect verification mismatches before cutover.' END,
+        CASE WHEN r.open_reviews > 0 THEN 'Resolve outstanding manual-review items.' END) END AS next_action
+    FROM ({ORACLE_SQL["run_summary_events"]}) s
+    LEFT JOIN (SELECT user_id, count(*) AS tables_checked, count(*) FILTER (WHERE event_type = 'error' AND value > 50) = 0 AS ok
+      FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) v ON v.user_id = s.run_id
+    LEFT JOIN (SELECT user_id, count(*) AS open_reviews FROM events WHERE event_id % 10 = 0 GROUP BY 1) r ON r.user_id = s.run_id"""

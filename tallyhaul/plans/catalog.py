@@ -42,6 +42,8 @@ class TableSpec:
     defaults: dict[str, str] = field(default_factory=dict)
     geometry: bool = False
     byte_count: int | None = None
+    measured: bool = True  # else declarations alone count and no row is read
+    not_null: tuple[str, ...] = ()
 
     def but(self, **changes) -> "TableSpec":
         return replace(self, **changes)
@@ -56,17 +58,25 @@ def _or_null(value: str | None) -> str:
 
 
 def measured_table(spec: TableSpec, check_keys: bool = True) -> DataFrame:
-    """One catalog row. A column counts as NOT NULL when it holds none, and a declared primary key
+    """One catalog row. Of a table that is not ``measured`` the declared columns, NOT NULLs and keys count, and
+    its row count is unknown; that reads no row. Of others a column counts as NOT NULL when it holds none, and a declared primary key
     counts only if the rows bear it out; that shuffles the keys, so ``check_keys`` can leave it out."""
     fields = spec.df.schema.fields
-    measured = spec.df.agg(F.expr("count(*) AS row_count"),
-                           *[F.expr(f"count({sql_name(f.name)}) AS v{i}") for i, f in enumerate(fields)])
+    if spec.measured:
+        measured = spec.df.agg(F.expr("count(*) AS row_count"),
+                               *[F.expr(f"count({sql_name(f.name)}) AS v{i}") for i, f in enumerate(fields)])
+    else:
+        measured = spec.df.sparkSession.range(1).selectExpr("cast(NULL AS bigint) AS row_count")
+
+    def filled(i: int, f) -> str:
+        return f"v{i} = row_count" if spec.measured else str(f.name in spec.not_null or not f.nullable).lower()
+
     columns = ", ".join(
         f"named_struct('name', {sql_text(f.name)}, 'type', {sql_text(f.dataType.simpleString())}, "
-        f"'not_null', v{i} = row_count, 'identity', {sql_text(spec.identity.get(f.name, ''))}, "
+        f"'not_null', {filled(i, f)}, 'identity', {sql_text(spec.identity.get(f.name, ''))}, "
         f"'default_value', {_or_null(spec.defaults.get(f.name))})" for i, f in enumerate(fields))
     broken = F.lit(0)
-    if spec.primary_key and check_keys:
+    if spec.primary_key and check_keys and spec.measured:
         broken = check_pk(spec.df, spec.primary_key).agg(F.expr("count(*) AS n")).scalar()
     geometry = spec.geometry or any(f.metadata.get("geometry") for f in fields)
     size = "NULL" if spec.byte_count is None else str(spec.byte_count)
@@ -130,12 +140,14 @@ def user_schema(schema: Column) -> Column:
 
 def scope_tables(tables: DataFrame, include_schemas: Sequence[str] = (), exclude_schemas: Sequence[str] = (),
                  exclude_tables: Sequence[str] = (), exclude_suffixes: Sequence[str] = (),
-                 system_tables: Sequence[str] = SYSTEM_TABLES) -> DataFrame:
+                 include_tables: Sequence[str] = (), system_tables: Sequence[str] = SYSTEM_TABLES) -> DataFrame:
     """Rows of ``(schema, table, …)`` in scope. No include list means every user schema; exclusion wins."""
     schema, table = F.col("schema"), F.col("table")
     keep = schema.isin(list(include_schemas)) if include_schemas else user_schema(schema)
     if exclude_schemas:
         keep = keep & ~schema.isin(list(exclude_schemas))
+    if include_tables:  # plain names, or with their schema
+        keep = keep & (table.isin(list(include_tables)) | table_key(schema, table).isin(list(include_tables)))
     if exclude_tables or system_tables:
         keep = keep & ~table.isin([*exclude_tables, *system_tables])
     for suffix in exclude_suffixes:
@@ -220,7 +232,7 @@ CATALOG_SUBQUERIES = {
         {_NAMED} WHERE t.relkind = 'm' AND {_USER}""",
     "functions": f"""SELECT s.nspname AS "schema", p.proname AS name, pg_get_functiondef(p.oid) AS definition
         FROM pg_proc p JOIN pg_namespace s ON s.oid = p.pronamespace
-        LEFT JOIN pg_depend d ON d.objid = p.oid AND d.deptype = 'e'
+        LEFT JOIN pg_depend d ON d.classid = 'pg_proc'::regclass AND d.objid = p.oid AND d.deptype = 'e'
         WHERE p.prokind = 'f' AND d.objid IS NULL AND {_USER}""",
 }
 

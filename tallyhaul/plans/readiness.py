@@ -26,13 +26,14 @@ CHUNKABLE_TYPE = (r"^(tinyint|smallint|int|integer|bigint|int[248]|(decimal|nume
 @dataclass(frozen=True)
 class Thresholds:
     chunk_rows: int = 250_000
-    max_chunks: int = 16
-    max_concurrency: int = 4
+    max_chunks: int | None = None  # a plan made elsewhere may have a bound; rows per chunk decide otherwise
+    max_concurrency: int | None = None
     large_rows: int = 1_000_000
     moderate_rows: int = 100_000
     unsafe_rows: int = 500_000
     sample_rows: int = 100_000
     sample_risk: int = 60
+    large_depth: str = "rowcount_and_fingerprint"
 
 
 def _first(names: Column) -> Column:
@@ -56,7 +57,9 @@ def chunk_column() -> Column:
 
 def chunk_count(rows: Column, column: Column, t: Thresholds) -> Column:
     wanted = F.floor(rows / F.lit(t.chunk_rows)) + 1
-    several = F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(t.max_chunks).cast("bigint"), wanted))
+    if t.max_chunks is not None:
+        wanted = F.least(F.lit(t.max_chunks).cast("bigint"), wanted)
+    several = F.greatest(F.lit(2).cast("bigint"), wanted)
     return F.when(column.isNull() | (rows <= t.chunk_rows), F.lit(1).cast("bigint")).otherwise(several).cast("int")
 
 
@@ -126,7 +129,7 @@ def readiness(source: DataFrame, drift: DataFrame, mode: str = "safe_sync", thre
     step = step.withColumn("chunk_count", chunk_count(F.col("rows"), F.col("chunk_column"), t))
     step = step.withColumns({
         "strategy": strategy(F.col("chunk_count")),
-        "concurrency": F.least("chunk_count", F.lit(t.max_concurrency)),
+        "concurrency": F.col("chunk_count") if t.max_concurrency is None else F.least("chunk_count", F.lit(t.max_concurrency)),
         "reasons": risk_reasons(F.col("rows"), F.col("chunk_column"), t)})
     step = step.withColumn("risk_score", risk_score(F.col("reasons")))
     missing = F.col("status") == "missing_in_target"
@@ -136,7 +139,7 @@ def readiness(source: DataFrame, drift: DataFrame, mode: str = "safe_sync", thre
     action = recommended_action(F.lit(mode), F.col("status"), F.col("compatible"), F.size("auxiliary_drift") > 0)
     step = step.withColumns({
         "risk_level": risk_level(F.col("risk_score")),
-        "depth": verification_depth(F.col("row_count"), F.col("risk_score"), t.sample_rows, t.sample_risk),
+        "depth": verification_depth(F.col("row_count"), F.col("risk_score"), t.sample_rows, t.sample_risk, t.large_depth),
         "action": action, "warnings": F.array_join(warnings, "; ")})
     rationale = F.concat_ws(", ", F.concat(F.lit("action="), "action"), F.concat(F.lit("strategy="), "strategy"),
                             F.concat(F.lit("risk="), F.col("risk_score").cast("string")),

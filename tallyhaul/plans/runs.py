@@ -94,12 +94,26 @@ def next_action(failed_steps: Column, failed_tables: Column | None = None, open_
     return F.when(said == "", NEXT_ACTIONS["none"]).otherwise(said)
 
 
-def run_report(summary: DataFrame, verified: DataFrame) -> DataFrame:
-    """Run summaries with the outcome of their verification (the one row of ``verify_summary``)."""
-    both = summary.drop("next_action").withColumns({
-        "verified": verified.select("ok").scalar(),
-        "tables_checked": verified.select("tables_checked").scalar(),
-        "failed_tables": verified.select("failed").scalar()})
+def run_report(summary: DataFrame, verified: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Run summaries with the outcome of their verification and what is left to review by hand.
+
+    ``verified`` is the one row of ``verify_summary``, or has such a row for each ``run_id``; a run without one was
+    not verified, and counts as not failed there. ``reviews`` (run_id, open_reviews) may lack runs that have none.
+    """
+    both = summary.drop("next_action")
+    if "run_id" in verified.columns:
+        both = both.join(verified.select("run_id", F.col("ok").alias("verified"), "tables_checked",
+                                         F.col("failed").alias("failed_tables")), "run_id", "left")
+    else:
+        both = both.withColumns({
+            "verified": verified.select("ok").scalar(),
+            "tables_checked": verified.select("tables_checked").scalar(),
+            "failed_tables": verified.select("failed").scalar()})
+    tests = {"failed_steps": F.col("failed_steps") > 0, "failed_tables": F.coalesce(F.col("failed_tables") != "", F.lit(False))}
+    if reviews is not None:
+        both = both.join(reviews.select("run_id", "open_reviews"), "run_id", "left").withColumn(
+            "open_reviews", F.coalesce("open_reviews", F.lit(0)))
+        tests["open_review"] = F.col("open_reviews") > 0
     return both.withColumns({
-        "success": F.col("success") & F.col("verified"),
-        "next_action": next_action(F.col("failed_steps") > 0, F.col("failed_tables") != "")})
+        "success": F.col("success") & F.coalesce("verified", F.lit(True)),
+        "next_action": next_action(**tests)})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import canonical, text
 from .operators import compare, copy, integrity, keys, layout, profile, relational, verify, views
@@ -34,8 +34,9 @@ INDEXES = {"events": ("INDEX (ts)",), "orders": ("INDEX (o_orderdate)",)}
 YEARS = [(f"p{y}", datetime(y, 1, 1), datetime(y + 1, 1, 1)) for y in range(1995, 2001)]
 ORDER_CHILDREN = tuple(f"orders_{name}" for name, _, _ in YEARS)
 LINEITEM_CHUNKS = 8
+STREAM_FILES = 3
 THRESHOLDS = readiness.Thresholds(chunk_rows=25_000, moderate_rows=10_000, large_rows=50_000, unsafe_rows=50_000,
-                                  sample_rows=10_000)
+                                  sample_rows=10_000, max_chunks=16, max_concurrency=4, large_depth="rowcount")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +190,23 @@ def chunked_copy_lineitem(spark, d):
         F.count(F.lit(1)).alias("row_count"), F.min("l_orderkey").alias("min_key"), F.max("l_orderkey").alias("max_key"))
 
 
+def chunked_copy_content_lineitem(spark, d):
+    """All rows and columns of the copy, read back without the chunk; a second run finds nothing to do."""
+    lineitem, path = load(spark, d, "lineitem"), storage.scratch(spark, "chunk_content") + "/lineitem"
+    for _ in range(2):
+        copy.copy_chunked(lineitem, path, "l_orderkey", LINEITEM_CHUNKS, name="range")
+    return copy.read_copied(spark, path, lineitem.schema)
+
+
+def partition_copy_content_orders(spark, d):
+    """A faulty copy by priority, in which one child and the child of NULL values are then made right."""
+    orders, path = load(spark, d, "orders"), storage.scratch(spark, "part_content") + "/orders"
+    child = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("status: "), "o_orderstatus"))
+    copy.copy_partition_wise(faulty_orders(orders), path, "child", child)
+    copy.copy_partition_wise(orders, path, "child", child, only=["status: O", None], allow_destructive=True)
+    return copy.read_copied(spark, path, orders.schema)
+
+
 def chunk_ranges_lineitem(spark, d):
     return copy.chunk_ranges(load(spark, d, "lineitem"), "l_orderkey", LINEITEM_CHUNKS)
 
@@ -298,6 +316,14 @@ def _pairs(spark, d):
     return out
 
 
+def fingerprint_lineitem(spark, d):
+    """Portable md5 fingerprints per line status; money as decimals, whose text all engines share."""
+    lineitem = load(spark, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linestatus", "cast(l_quantity AS decimal(18,2)) AS l_quantity",
+        "cast(l_extendedprice AS decimal(18,2)) AS l_extendedprice", "cast(l_shipdate AS string) AS l_shipdate")
+    return canonical.fingerprint(lineitem, algorithm="md5", by=["l_linestatus"])
+
+
 def verify_tables(spark, d):
     return verify.verify_tables(_pairs(spark, d)).drop("source_sample_hash", "target_sample_hash")
 
@@ -370,6 +396,24 @@ def range_route_orders(spark, d):
     return layout.routed_counts(load(spark, d, "orders"), "o_orderdate", YEARS)
 
 
+def route_open_orders(spark, d):
+    """Ranges that are open at both ends, and a default child for what lies between them."""
+    children = [("before", None, datetime(1996, 1, 1)), ("year_1997", datetime(1997, 1, 1), datetime(1998, 1, 1)),
+                ("after", datetime(1999, 1, 1), None)]
+    return layout.routed_counts(load(spark, d, "orders"), "o_orderdate", children, default="other")
+
+
+def route_list_hash_orders(spark, d):
+    """Rows by list child; hash children hold each key in one place, and all rows between them."""
+    orders = load(spark, d, "orders")
+    child = layout.route_list(F.col("o_orderstatus"), {"done": ["F"], "open": ["O", None]}, default="rest")
+    part = layout.route_hash([F.col("o_custkey")], ["h0", "h1", "h2", "h3"])
+    keys = orders.select(child.alias("child"), part.alias("part"), "o_custkey")
+    split = keys.groupBy("o_custkey").agg(F.countDistinct("part").alias("parts")).filter("parts <> 1")
+    return keys.groupBy("child").agg(F.count(F.lit(1)).alias("row_count"), F.count("part").alias("hashed_rows")).withColumn(
+        "split_keys", split.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 def unrouted_orders(spark, d):
     return layout.unrouted(load(spark, d, "orders"), "o_orderdate", YEARS)
 
@@ -394,6 +438,17 @@ def clustered_lineitem(spark, d):
     return spark.read.parquet(path).groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def clustered_ranges_lineitem(spark, d):
+    """How many rows the clustered files hold, and how many files begin before an earlier one ends (none)."""
+    path = storage.scratch(spark, "clustered_ranges") + "/lineitem"
+    layout.write_clustered(load(spark, d, "lineitem"), path, ["l_shipdate"], 8, layout.file_position())
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
+    before = Window.orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    return files.withColumn("reached", F.max("high").over(before)).agg(
+        F.sum("n").alias("row_count"), F.count_if(F.col("low") < F.col("reached")).alias("overlapping_files"))
+
+
 # --- profiles, catalogs, readiness ------------------------------------------------
 
 def profile_columns(spark, d):
@@ -442,7 +497,13 @@ def _catalogs(spark, d):
 
 
 def catalog_columns(spark, d):
-    return catalog.catalog_columns(catalog.catalog_snapshot(list(source_specs(spark, d).values())))
+    return catalog.catalog_columns(catalog.catalog_snapshot(list(source_specs(spark, d).values()), check_keys=False))
+
+
+def catalog_declared_columns(spark, d):
+    """The catalog from declarations alone: no table is scanned."""
+    specs = [s.but(measured=False) for s in source_specs(spark, d).values()]
+    return catalog.catalog_columns(catalog.catalog_snapshot(specs)).select("table_name", "position", "column_name", "type")
 
 
 def schema_drift(spark, d):
@@ -494,16 +555,32 @@ def run_summary_events(spark, d):
     return out.withColumn("elapsed_s", F.col("elapsed_s").cast("decimal(18,2)"))
 
 
+def run_report_events(spark, d):
+    """The runs of ``run_summary_events``, verified per user (purchases have to have a value, errors of high value fail) and with
+    every tenth event left for review."""
+    events = load(spark, d, "events")
+    checked = events.filter("event_type IN ('purchase', 'error')").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("tables_checked"),
+        F.count_if((F.col("event_type") == "error") & (F.col("value") > 50)).alias("bad"))
+    verified = checked.select("run_id", "tables_checked", (F.col("bad") == 0).alias("ok"),
+                              F.when(F.col("bad") > 0, "events").otherwise("").alias("failed"))
+    reviews = events.filter("event_id % 10 = 0").groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("open_reviews"))
+    return runs.run_report(run_summary_events(spark, d), verified, reviews)
+
+
 # --- streams ----------------------------------------------------------------------
 
 def _event_stream(spark, d):
-    return streams.file_stream(spark, f"{d}/events.parquet*", load(spark, d, "events").schema)
+    """The events in several files, one per batch."""
+    events, path = load(spark, d, "events"), storage.scratch(spark, "stream_files") + "/events"
+    events.repartition(STREAM_FILES).write.parquet(path)
+    return streams.file_stream(spark, path, events.schema, files_per_batch=1)
 
 
 def stream_copy_events(spark, d):
-    base = storage.scratch(spark, "stream_copy")
+    base, stream = storage.scratch(spark, "stream_copy"), _event_stream(spark, d)
     for _ in range(2):  # the second run finds nothing left to copy
-        streams.copy_stream(_event_stream(spark, d), f"{base}/out", f"{base}/checkpoint")
+        streams.copy_stream(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
 
 
@@ -515,9 +592,10 @@ def stream_mv_events(spark, d):
 
 
 def stream_dedupe_events(spark, d):
-    """Every event is sent twice."""
-    base = storage.scratch(spark, "stream_dedupe")
-    sent = _event_stream(spark, d).unionAll(_event_stream(spark, d))
+    """Every event is sent twice, mostly in different batches."""
+    base, events = storage.scratch(spark, "stream_dedupe"), load(spark, d, "events")
+    events.unionAll(events).repartition(STREAM_FILES).write.parquet(f"{base}/sent")
+    sent = streams.file_stream(spark, f"{base}/sent", events.schema, files_per_batch=1)
     streams.copy_stream(streams.dedupe_stream(sent, ["event_id"]), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
 
@@ -535,5 +613,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pk_duplicates_lineitem, unique_documents_text, fill_defaults_orders, dedupe_lineitem, dedupe_resent_orders, range_route_orders,
     unrouted_orders, sequence_sync, assign_keys_customer, clustered_lineitem, udf_is_paid, scalar_text_part,
     json_payload_events, schema_drift, column_drift, drift_summary, chunk_column, readiness_by_mode, readiness_summary,
-    run_summary_events, largest_first, stream_copy_events, stream_mv_events, stream_dedupe_events)}
+    run_summary_events, largest_first, stream_copy_events, stream_mv_events, stream_dedupe_events,
+    chunked_copy_content_lineitem, partition_copy_content_orders, route_open_orders, route_list_hash_orders,
+    clustered_ranges_lineitem, catalog_declared_columns, fingerprint_lineitem, run_report_events)}
 QUERIES["readiness"] = readiness_report

@@ -41,9 +41,10 @@ def _refuse(col: Column, name: str, marker: str) -> Column:
     return F.when(col == F.lit(marker), F.raise_error(message).cast("string")).otherwise(col)
 
 
-def write_csv(df: DataFrame, path: str, header: bool = False, rows_per_file: int = 500_000,
-              nested_as_json: bool = False, mode: str = "errorifexists") -> None:
-    """Text with line breaks makes a file one unit of work for the reader, hence ``rows_per_file``."""
+def write_csv(df: DataFrame, path: str, header: bool = False, rows_per_file: int | None = None,
+              nested_as_json: bool = False, mode: str = "errorifexists", file_bytes: int = 128 << 20) -> None:
+    """Text with line breaks makes a file one unit of work for the reader, so files are bounded: to ``rows_per_file``,
+    or else to the rows of mean length that fill ``file_bytes``, which takes one more pass over the rows."""
     marker = ONE_COLUMN_NULL if len(df.columns) == 1 else NUL
     out = []
     for f in df.schema.fields:
@@ -55,7 +56,11 @@ def write_csv(df: DataFrame, path: str, header: bool = False, rows_per_file: int
         elif isinstance(f.dataType, T.StringType):
             col = _refuse(col, f.name, marker)
         out.append(col.alias(f.name))
-    (df.select(*out).write.mode(mode).options(**write_options(len(out))).option("header", header)
+    text = df.select(*out)
+    if rows_per_file is None:
+        mean = text.agg(F.avg(csv_bytes(text)).alias("m")).first()["m"] or 1.0
+        rows_per_file = max(1, int(file_bytes / mean))
+    (text.write.mode(mode).options(**write_options(len(out))).option("header", header)
        .option("maxRecordsPerFile", rows_per_file).csv(path))
 
 

@@ -16,7 +16,7 @@ def id_range(spark: SparkSession, rows: int) -> DataFrame:
 
 def draw(id_: Column, label: str, below: Column | int) -> Column:
     """A whole number in ``[0, below)`` from the id and a label."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(label), id_.cast("string"))), 1, 8)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(label), id_.cast("string"))), 1, 15)
     return F.conv(digits, 16, 10).cast("bigint") % (F.lit(below) if isinstance(below, int) else below)
 
 

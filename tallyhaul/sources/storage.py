@@ -72,12 +72,21 @@ def swap_in(spark: SparkSession, staged: str, target: str) -> None:
     remove(spark, retired)
 
 
+#: A cluster may mount one file system everywhere; then it says so.
+LOCAL_IS_SHARED = "spark.tallyhaul.localFolderIsShared"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
+    if folder and not local and spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(
+            spark._jsc.hadoopConfiguration()).getScheme() == "file" and spark.conf.get(LOCAL_IS_SHARED, "false") != "true":
+        raise ValueError(f"{folder} is a local folder; name one that all executors reach, or set {LOCAL_IS_SHARED}=true "
+                         "if it is a mount that they share")
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if local:
         return tempfile.mkdtemp(prefix="tallyhaul-")
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 

@@ -93,5 +93,6 @@ def in_range(col: Column, low, high) -> Column:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report (one row per table) as one JSON file, fields in name order."""
-    df.select(*[quoted(c) for c in sorted(df.columns)]).coalesce(1).write.mode("overwrite").json(path)
+    """A report (one row per table) as one JSON file, fields in name order, NULL ones too."""
+    df.select(*[quoted(c) for c in sorted(df.columns)]).coalesce(1).write.mode("overwrite").option(
+        "ignoreNullFields", "false").json(path)

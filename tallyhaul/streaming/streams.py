@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.canonical import quoted
 from ..operators.layout import write_clustered
 from ..session import SETTINGS
-from ..sources.storage import swap_in
+from ..sources.storage import exists, swap_in
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
@@ -45,9 +45,15 @@ def copy_stream(stream: DataFrame, path: str, checkpoint: str, partition_by: Seq
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = _start(stream.sparkSession, lambda: writer.trigger(availableNow=True).start(path))
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    spark = stream.sparkSession
+    before = _rows(spark, path)
+    _start(spark, lambda: writer.trigger(availableNow=True).start(path)).awaitTermination()
+    return _rows(spark, path) - before
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of the files in the sink's log, from their footers. A query's progress only keeps its last batches."""
+    return spark.read.parquet(path).count() if exists(spark, path + "/_spark_metadata") else 0
 
 
 def view_stream(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
@@ -56,7 +62,7 @@ def view_stream(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame],
     def save(batch: DataFrame, number: int) -> None:
         staged = f"{path.rstrip('/')}__batch_{number}"
         if cluster_by:
-            write_clustered(batch, staged, cluster_by, 1, mode="overwrite")
+            write_clustered(batch, staged, cluster_by, mode="overwrite")
         else:
             batch.write.mode("overwrite").parquet(staged)
         swap_in(batch.sparkSession, staged, path.rstrip("/"))

@@ -8,9 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tallyhaul.queries import TABLES
-
-ORACLE = entry.oracle_sql()
+from tallyhaul.oracle import ORACLE_SQL as ORACLE
+from tallyhaul.queries import QUERIES, TABLES
 
 
 def norm(value):
@@ -54,7 +53,8 @@ def sf_dir_module():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -43,7 +43,8 @@ def test_expected_numbers(spark):
     assert summary == {"source_tables": 3, "target_tables": 3, "missing_in_target": 1, "missing_in_source": 1,
                        "metadata_match": 1, "metadata_diff": 1,
                        "warning": "Target contains 1 table(s) not present in source."}
-    report = {r["table_name"]: r for r in readiness.readiness(source, found).collect()}
+    bounded = readiness.Thresholds(max_chunks=16, max_concurrency=4, large_depth="rowcount")
+    report = {r["table_name"]: r for r in readiness.readiness(source, found, thresholds=bounded).collect()}
     assert set(report) == {"public.users", "public.orders", "analytics.events"}
     events, orders, users = report["analytics.events"], report["public.orders"], report["public.users"]
     assert orders["action"] == "manual_review" and orders["manual_review"]
@@ -87,7 +88,9 @@ def test_risk_is_capped_and_levels(spark):
 @pytest.mark.parametrize("rows,chunks", [(250_000, 1), (250_001, 2), (500_000, 3), (4_000_000, 16), (10**12, 16), (None, 1)])
 def test_chunk_counts(spark, rows, chunks):
     df = spark.createDataFrame([(rows,)], "r bigint").select(F.coalesce("r", F.lit(0)).alias("r"))
-    t = readiness.Thresholds()
+    free = df.select(readiness.chunk_count(F.col("r"), F.lit("id"), readiness.Thresholds())).first()[0]
+    assert free == (1 if rows is None or rows <= 250_000 else max(2, rows // 250_000 + 1))
+    t = readiness.Thresholds(max_chunks=16)
     got = df.select(readiness.chunk_count(F.col("r"), F.lit("id"), t), readiness.chunk_count(F.col("r"), F.lit(None), t)).first()
     assert tuple(got) == (chunks, 1)
 
