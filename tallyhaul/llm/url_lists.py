@@ -73,9 +73,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
     found = active.groupBy("u", "t").agg(
         F.count("*").alias("n"), F.max(rank).alias("best"),
         F.min_by("list", F.struct(-F.length("key"), F.col("list") == allow, "list")).alias("by"))
-    joined = captures.join(found, F.col(url_col).eqNullSafe(F.col("u")) & F.col(day_col).eqNullSafe(F.col("t")), "left")
-    return joined.select(*[captures[c] for c in captures.columns], F.coalesce("best.blocks", F.lit(False)).alias("blocked"),
-                         F.col("best.key").alias("decided_by"), F.col("by").alias("decided_list"), F.coalesce("n", F.lit(0)).alias("n_active"))
+    joined = captures.join(found.alias("__found"), captures[url_col].eqNullSafe(F.col("__found.u")) & captures[
+        day_col].eqNullSafe(F.col("__found.t")), "left")
+    blocked = F.coalesce("__found.best.blocks", F.lit(False))
+    return joined.select(*[captures[c] for c in captures.columns], blocked.alias("blocked"),
+                         F.col("__found.best.key").alias("decided_by"), F.col("__found.by").alias("decided_list"),
+                         F.coalesce("__found.n", F.lit(0)).alias("n_active"))
 
 
 # --- the registered query: lists that are derived from the pages' own hosts and paths ------------
