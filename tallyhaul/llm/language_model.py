@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import hashing
 from .common import partitions, settle, small_batches
 
-CHUNK_BYTES, KEY_BYTES, BUCKETS, GRID, ROUNDS = 16 << 20, 7, 24, 4, 60
+CHUNK_BYTES, KEY_BYTES, BUCKETS, GRID, ROUNDS = 8 << 20, 7, 24, 4, 60
 END = np.array([0xE17A1465], np.uint64)
 BEGIN = np.uint64(0xB3C1D2E3F4A5)
 
@@ -231,10 +231,11 @@ def _histogram(documents: int):
 
 
 def mixture_weights(cells: dict[int, int], tokens: int, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (pair, word, uniform) of each bucket, by expectation-maximisation on the histogram; without data, words and uniform share evenly."""
+    """Weights (pair, word, uniform) of each bucket, by expectation-maximisation on the histogram; words and uniform share evenly where a bucket has no data, and uniform takes all where none has."""
     out = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
     key, n = np.array(list(cells), np.int64), np.array(list(cells.values()), float)
     if not len(key):
+        out[:] = (0.0, 0.0, 1.0)
         return out
     q2, q1 = key >> 8 & 255, key & 255
     p = np.stack([np.where(q2 < 255, 2.0 ** (-q2 / GRID), 0), np.where(q1 < 255, 2.0 ** (q1 / GRID) / max(tokens - 1, 1), 0),
