@@ -12,12 +12,13 @@ becomes a point of counts, and the sum of coordinate minima of two points bounds
    documents come from common passages or from large groups of near copies; they tie their documents (all to the smallest)
    only if those lie in more than g such cells, for any other pair also meets in a small cell. A task with a large cell passes on
    one document for it. Ties make blocks that hold every link.
-3. Pages: documents of blocks are range-sorted by (block, size, point) and cut into leaf pages with their bounding boxes,
-   so a block of any size is spread over tasks. Pages meet only where the summed minima of their upper corners leave room for a link.
-4. Links: in a pair of pages the summed minima bound all pairs of documents at once, and pairs that survive, most
-   similar first, are verified on their sets in whole numbers. Pairs that are connected already are skipped, as classes of
-   reachable documents are asked for. First each page is joined with itself, then one delegate per page and class, and only documents
-   outside their block's largest class go on to meet all its pages.
+3. Pages: documents of blocks are range-sorted by (block, size, point) and cut into leaf pages by rank, so a block of any size
+   is spread over tasks. Pages have bounding boxes. Pages meet only where the summed minima of their upper corners leave room for a link.
+4. Links: in a page the summed minima bound all pairs of documents at once, and pairs that survive are
+   verified on their sets in whole numbers. Pairs that are connected already are skipped, as classes of
+   reachable documents are asked for. A block of several pages has a pivot, a central document: all its documents are verified against it and from there on
+   stand for their difference from it, a few elements in a group of near copies (two sets differ where these differences do). Only documents
+   outside the block's largest class go on to meet all its pages.
 5. Components of the links, with stored rounds.
 
 Everything is exact but for collisions of 64-bit run hashes.
@@ -32,13 +33,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import hashing
 from .common import partitions, settle, small_batches
 from .components import components
 
-GROUPS, PAGE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 1_000_000, 16
+GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 1024, 400_000, 16
 
 
 @dataclass(frozen=True)
@@ -253,58 +254,37 @@ def _near(rule: Rule):
 
 # --- pages and links ---------------------------------------------------------------------
 
-def _pages(page_rows: int):
-    """Cut range-sorted rows into pages of one block each and give every row its page's number and box."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        held: list[dict] = []
-
-        def flush():
-            points = np.stack([np.frombuffer(r["point"], "<i4") for r in held])
-            box = np.r_[points.max(0)].astype("<i4")
-            table = pa.Table.from_pylist(held).drop_columns(["point"])
-            n = len(held)
-            return pa.record_batch({
-                "block": table["block"].combine_chunks().cast(pa.int64()), "id": table["id"].combine_chunks().cast(pa.int64()),
-                "page": pa.array([(part << 32) + seq] * n, pa.int64()),
-                "least": pa.array([min(r["n"] for r in held)] * n, pa.int64()),
-                "upper": pa.array([box.tolist()] * n, pa.list_(pa.int32()))})
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["block"] != held[-1]["block"] or len(held) >= page_rows):
-                    yield flush()
-                    seq += 1
-                    held = []
-                held.append(row)
-        if held:
-            yield flush()
-    return run
-
-
-PAGES = "block long, id long, page long, least long, upper array<int>"
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Range-sorted rows with their partition and their place in it; points as arrays."""
+    part, place = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), "<i4")
+        yield pa.record_batch([batch.column("block"), batch.column("id"), batch.column("n"),
+                               pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * GROUPS, pa.int32()), pa.array(points)),
+                               pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n))],
+                              names=["block", "id", "n", "point", "part", "place"])
+        place += n
 
 
 def _paged(rows: DataFrame, page_rows: int, label: str) -> DataFrame:
-    """``rows`` (block, id, n, point, ..) with their pages."""
+    """(block, id, n, point, page): ``page_rows`` rows in order of block, size and point are a page, or several where blocks end.
+
+    A row's rank is its place behind the rows of the partitions before, so pages do not depend on how the sort was cut."""
     keys = ["block", "n", "point", "id"]
     ordered = rows.select(*keys).repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    return settle(ordered.mapInArrow(_pages(page_rows), PAGES), label)
+    placed = settle(ordered.mapInArrow(_placed, "block long, id long, n long, point array<int>, part int, place long"), label)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    offsets = placed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    rank = F.floor((F.col("offset") + F.col("place")) / page_rows)
+    return placed.join(offsets, "part").select("block", "id", "n", "point", F.xxhash64("block", rank).alias("page"))
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (p := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(p, p)
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
+def _boxes(pages: DataFrame) -> DataFrame:
+    """(block, page, least, upper): smallest size and upper corner of each page."""
+    corner = [F.max(F.element_at("point", i + 1)).alias(f"c{i}") for i in range(GROUPS)]
+    return pages.groupBy("block", "page").agg(F.min("n").alias("least"), *corner).select(
+        "block", "page", "least", F.array(*[f"c{i}" for i in range(GROUPS)]).alias("upper"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -315,52 +295,132 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
+def overlaps(left: list[bytes], right: list[bytes] | None = None, columns: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as a product of incidence matrices: dense, some columns at a
+    time, or sparse, where few sets share an element."""
+    rows = len(left)
+    sets = [np.frombuffer(e, np.uint64) for e in (left if right is None else [*left, *right])]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(many > 1) - 1  # elements of one set are in no intersection
+    owner, at = owner[many[at] > 1], column[at[many[at] > 1]]
+    order = np.lexsort((owner, at))
+    owner, at = owner[order], at[order]
+    width = int(at[-1]) + 1 if len(at) else 0
+    begin = np.searchsorted(at, np.arange(width + 1))
+    mine = owner < rows if right is not None else np.ones(len(owner), bool)
+    split = begin[:-1] + np.add.reduceat(mine, begin[:-1], dtype=np.int64) if width else begin[:-1]
+    first, second = (split - begin[:-1], begin[1:] - split) if right is not None else (np.diff(begin), np.diff(begin))
+    n, m = rows, len(sets) - rows if right is not None else rows
+    out = np.zeros((n, m), np.float32)
+    if (first * second).sum() < n * m * width / 16:
+        flat, product = out.ravel(), first * second
+        start, shift = (split, rows) if right is not None else (begin[:-1], 0)
+        for k in np.flatnonzero(product > 1 << 14):  # an element of many sets: one block of the product
+            out[np.ix_(owner[begin[k]: begin[k] + first[k]], owner[start[k]: start[k] + second[k]] - shift)] += 1
+        light = np.flatnonzero((product > 0) & (product <= 1 << 14))
+        steps = np.cumsum(product[light]) >> 19  # pieces of at most about half a million pairs
+        for some in np.split(light, np.flatnonzero(np.diff(steps)) + 1):
+            if not len(some):
+                continue
+            # each row of an element on the left meets each one on the right
+            f, g = first[some], second[some]
+            at_left = np.repeat(begin[some] - np.r_[0, np.cumsum(f)[:-1]], f) + np.arange(f.sum())
+            many_of = np.repeat(g, f)
+            within = np.arange(many_of.sum()) - np.repeat(np.cumsum(many_of) - many_of, many_of)
+            i = np.repeat(owner[at_left], many_of)
+            j = owner[np.repeat(np.repeat(start[some], f), many_of) + within] - shift
+            np.add.at(flat, i * m + j, 1)
+        return out.astype(np.int64)
+    for low in range(0, width, columns):
+        x, y = begin[low], begin[min(low + columns, width)]
+        block = np.zeros((len(sets), columns), np.float32)
+        block[owner[x:y], at[x:y] - low] = 1
+        out += block[:rows] @ (block if right is None else block[rows:]).T
+    return out.astype(np.int64)
+
+
 def links_within(rule: Rule, ids, n, points, elements, known) -> list[tuple[int, int]]:
     """Links that connect everything connected among the given documents; ``known`` are their classes so far.
 
-    A row of the bound matrix at a time: summed minima, then sets of the surviving pairs, most similar first."""
-    union, out = _Union(), []
-    sets: dict[int, np.ndarray] = {}
-
-    def elements_of(i):
-        if i not in sets:
-            sets[i] = np.frombuffer(elements[i], np.uint64)
-        return sets[i]
-
-    for i in range(1, len(ids)):
-        total = n[:i] + n[i]
-        need = rule.need(total)
-        some = np.flatnonzero(np.minimum(n[:i], n[i]) >= need)
-        if not len(some):
-            continue
-        bound = np.minimum(points[some], points[i]).sum(1)
-        good = bound >= need[some]
-        some, bound = some[good], bound[good]
-        for j in some[np.argsort(-(bound / total[some]), kind="stable")].tolist():
-            a, b = int(known[i]), int(known[j])
-            if union.find(a) == union.find(b):
-                continue
-            shared = overlap(elements_of(i), elements_of(j))
-            if rule.den * shared >= rule.num * (int(total[j]) - shared):
-                union.join(a, b)
-                out.append((int(ids[j]), int(ids[i])))
+    The summed minima of all pairs come first. Where few pairs of different classes survive, their sets are compared one by one, most similar
+    first, until they are connected; where many do (large groups of near copies), all overlaps are computed at once."""
+    root, out = np.array(known), []
+    total = n[:, None] + n[None, :]
+    need = rule.need(total)
+    bound = np.stack([np.minimum(points, p).sum(1) for p in points])
+    open_pairs = np.tril((bound >= need) & (root[:, None] != root[None, :]), -1)
+    left, right = np.nonzero(open_pairs)
+
+    def connect(i, j):
+        out.append((int(ids[j]), int(ids[i])))
+        root[root == root[j]] = root[i]
+
+    if len(left) > 4 * len(ids) and int(n.sum()) <= 4_000_000:
+        shared = overlaps(elements)
+        linked = open_pairs & (rule.den * shared >= rule.num * (total - shared))
+        for i in range(1, len(ids)):
+            for j in np.flatnonzero(linked[i]).tolist():
+                if root[i] != root[j]:
+                    connect(i, j)
+        return out
+    for k in np.argsort(-(bound[left, right] / total[left, right]), kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
+        if root[i] != root[j]:
+            shared = overlap(np.frombuffer(elements[i], np.uint64), np.frombuffer(elements[j], np.uint64))
+            if rule.den * shared >= rule.num * (int(total[i, j]) - shared):
+                connect(i, j)
     return out
 
 
 def _join_pages(rule: Rule):
+    """Links within a page, and its most central document as a loop."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("id").sort_values("id")
-        found = links_within(rule, frame["id"].to_numpy(), frame["n"].to_numpy(),
-                             np.stack([np.frombuffer(p, "<i4") for p in frame["point"]]), frame["elements"].tolist(),
-                             frame["known"].to_numpy())
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        ids, n = frame["id"].to_numpy(), frame["n"].to_numpy()
+        points = np.stack([np.frombuffer(p, "<i4") for p in frame["point"]])
+        found = links_within(rule, ids, n, points, frame["elements"].tolist(), ids)
+        central = max(range(len(ids)), key=lambda i: (np.minimum(points, points[i]).sum(1) / (n + n[i])).sum())
+        return pd.DataFrame([*found, (int(ids[central]),) * 2], columns=["a", "b"], dtype="int64")
     return run
 
 
-def _links(rule: Rule, units: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """``units`` (unit, id, known): which documents meet where; ``rows`` have their points and sets."""
-    full = units.join(rows.select("id", "n", "point", "elements"), "id")
-    return settle(full.groupBy("unit").applyInPandas(_join_pages(rule), "a long, b long"), label)
+def _deltas(rule: Rule):
+    """What each document has apart from its block's pivot, and whether it links with it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deltas, linked = [], []
+            for own, other in zip(batch.column("elements").to_pylist(), batch.column("pivot_elements").to_pylist()):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                deltas.append(apart.tobytes())
+                shared = (len(x) + len(y) - len(apart)) // 2
+                linked.append(rule.den * shared >= rule.num * (len(x) + len(y) - shared))
+            yield pa.record_batch([*(batch.column(c) for c in ("block", "id", "n", "point", "pivot")),
+                                   pa.array(deltas, pa.binary()), pa.array(linked)],
+                                  names=["block", "id", "n", "point", "pivot", "delta", "linked"])
+    return run
+
+
+def _join_deltas(rule: Rule):
+    """Links between loose documents and all others of two pages. Two sets differ where their deltas differ."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        loose, other = (frame[frame["loose"] == side].drop_duplicates("id").sort_values("id") for side in (True, False))
+        out = []
+        if len(loose) and len(other):
+            size = [np.array([len(d) // 8 for d in f["delta"]]) for f in (loose, other)]
+            differ = size[0][:, None] + size[1][None, :] - 2 * overlaps(loose["delta"].tolist(), other["delta"].tolist())
+            total = loose["n"].to_numpy()[:, None] + other["n"].to_numpy()[None, :]
+            shared = (total - differ) // 2
+            a, b = loose["known"].to_numpy(), other["known"].to_numpy()
+            linked = (rule.den * shared >= rule.num * (total - shared)) & (a[:, None] != b[None, :])
+            seen = set()
+            for i, j in zip(*np.nonzero(linked)):
+                if (pair := (a[i], b[j])) not in seen:  # one link ties two classes
+                    seen.add(pair)
+                    out.append((int(loose["id"].iat[i]), int(other["id"].iat[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return run
 
 
 def _box_rule(rule: Rule) -> str:
@@ -369,53 +429,48 @@ def _box_rule(rule: Rule) -> str:
     return f"{summed} * {rule.num + rule.den} >= {rule.num} * (p.least + q.least)"
 
 
-def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """(a, b): true links that connect all that links connect. ``docs`` (id, text) are class representatives of ``blocks`` (id, block)."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_ROWS, wide_rows: int = WIDE_ROWS) -> DataFrame:
+    """(a, b): true links that connect all that links connect, and loops. ``docs`` (id, text) are class representatives of ``blocks`` (id, block)."""
     members = docs.join(blocks.select("id"), "id", "left_semi")
     rows = settle(members.mapInArrow(_points(rule, True), POINTS + ", elements binary"), "ngram_sets")
-    placed = rows.select("id", "n", "point").join(blocks, "id")
-    pages = _paged(placed, page_rows, "ngram_pages")
-    own = pages.select(F.col("page").alias("unit"), "id", F.col("id").alias("known"))
-    found = _links(rule, own, rows, "ngram_links")
+    pages = _paged(rows.select("id", "n", "point").join(blocks, "id"), page_rows, "ngram_pages").select("block", "page", "id")
+    own = pages.select("page", "id").join(rows.select("id", "n", "point", "elements"), "id")
+    found = settle(own.groupBy("page").applyInPandas(_join_pages(rule), "a long, b long"), "ngram_links")
     sizes = pages.groupBy("block").agg(F.countDistinct("page").alias("pages")).filter("pages > 1")
-    wide = settle(pages.join(sizes.select("block"), "block", "left_semi"), "ngram_wide")
+    wide = settle(pages.join(sizes.select("block"), "block", "left_semi").select("block", "page", "id"), "ngram_wide")
     if not wide.limit(1).count():
         return found
 
-    def classed(edges: DataFrame) -> DataFrame:
-        labels = components(edges, "ngram_classes")
-        return wide.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "known", F.coalesce("component", "id")).drop("component")
-
-    delegates = classed(found).groupBy("block", "page", "known").agg(F.min("id").alias("id"))
-    delegates = delegates.select("block", "id", "known").join(rows.select("id", "n", "point"), "id")
-    again = _paged(delegates, page_rows, "ngram_delegates").select(F.col("page").alias("unit"), "id").join(
-        delegates.select("id", "known"), "id")
-    found = settle(found.unionAll(_links(rule, again, rows, "ngram_delegate_links")), "ngram_links_2")
-
-    state = settle(classed(found), "ngram_state")
+    central = found.filter("a = b").select(F.col("a").alias("id")).join(wide, "id")
+    pivots = central.groupBy("block").agg(F.min_by("id", F.struct("page", "id")).alias("pivot"))
+    pivots = pivots.join(rows.select(F.col("id").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot")
+    apart = wide.select("block", "id").join(rows.select("id", "n", "point", "elements"), "id").join(pivots, "block")
+    apart = settle(apart.mapInArrow(_deltas(rule), "block long, id long, n long, point binary, pivot long, delta binary, linked boolean"),
+                   "ngram_deltas")
+    found = found.unionAll(apart.filter("linked").select("pivot", "id"))
+
+    labels = components(found, "ngram_so_far").withColumnRenamed("node", "id")
+    state = settle(apart.drop("linked", "pivot").join(labels, "id", "left").withColumn("known", F.coalesce("component", "id")).drop(
+        "component"), "ngram_state")
     largest = state.groupBy("block", "known").agg(F.count("*").alias("c")).groupBy("block").agg(
         F.max_by("known", F.struct("c", "known")).alias("largest"))
-    loose = settle(state.join(largest, "block").filter("known <> largest").select("block", "id", "known"), "ngram_loose")
+    loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest"), "ngram_loose")
     if not loose.limit(1).count():
         return found
-    lone = _paged(loose.join(rows.select("id", "n", "point"), "id"), page_rows, "ngram_loose_pages")
-    boxes = ["block", "page", "least", "upper"]
-    p, q = lone.select(*boxes).dropDuplicates(["page"]), state.select(*boxes).dropDuplicates(["page"])
-    pairs = p.alias("p").join(q.alias("q"), "block").filter(F.expr(_box_rule(rule))).select(
-        F.col("p.page").alias("p"), F.col("q.page").alias("q"), F.xxhash64("p.page", "q.page").alias("unit"))
-    pairs = settle(pairs, "ngram_pairs")
-    left = lone.select("page", "id").join(loose.select("id", "known"), "id")
-    units = pairs.join(left, pairs.p == left.page).select("unit", "id", "known").unionAll(
-        pairs.join(state, pairs.q == state.page).select("unit", "id", "known"))
-    return found.unionAll(_links(rule, units, rows, "ngram_loose_links"))
+    lone, every = _paged(loose, wide_rows, "ngram_loose_pages"), _paged(
+        state.join(loose.select("block").distinct(), "block", "left_semi"), wide_rows, "ngram_all_pages")
+    pairs = settle(_boxes(lone).alias("p").join(_boxes(every).alias("q"), "block").filter(F.expr(_box_rule(rule))).select(
+        F.col("p.page").alias("p"), F.col("q.page").alias("q"), F.xxhash64("p.page", "q.page").alias("unit")), "ngram_pairs")
+    units = pairs.join(lone.select(F.col("page").alias("p"), "id"), "p").select("unit", "id", F.lit(True).alias("loose")).unionAll(
+        pairs.join(every.select(F.col("page").alias("q"), "id"), "q").select("unit", "id", F.lit(False)))
+    more = units.join(state.select("id", "n", "known", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
+    return found.unionAll(settle(more, "ngram_loose_links"))
 
 
 # --- the operator -----------------------------------------------------------------------
 
 def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text",
-                 page_rows: int = PAGE_ROWS) -> DataFrame:
+                 page_rows: int = PAGE_ROWS, wide_rows: int = WIDE_ROWS) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, set_id (smallest document with an equal set), component_id.
 
     Words are runs of characters that are not ASCII white space, with A-Z lower-cased. A document with fewer words than ``rule.k`` has its whole sequence
@@ -452,7 +507,7 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     blocks = settle(first.join(counted.select("component"), "component", "left_semi").select(
         F.col("node").alias("id"), F.col("component").alias("block")), "ngram_members")
     if blocks.limit(1).count():
-        found = links(base.filter("id IS NOT NULL"), rule, blocks, page_rows)
+        found = links(base.filter("id IS NOT NULL"), rule, blocks, page_rows, wide_rows)
         reach = components(found.unionAll(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b"))), "ngram_reach")
     else:
         reach = components(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b")), "ngram_reach")
