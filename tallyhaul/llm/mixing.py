@@ -111,11 +111,31 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: floa
         (F.col("size") * F.col("copies")).alias("taken"), "rank", "before")
 
 
+def _position(copy: Column, schedules: Sequence[Knots]) -> Column:
+    due = copy * F.col("source_size") + F.col("before") + F.col("size") / 2
+    return due_time(F.least(due / F.col("target"), F.lit(1.0)), F.col("rank"), schedules)
+
+
 def positions(planned: DataFrame, schedules: Sequence[Knots] = SCHEDULES) -> DataFrame:
     """One row per copy of ``plan`` with ``copy`` (0, 1, ..) and ``position``, its training time in 0..1."""
     copies = planned.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    due = F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / 2
-    return copies.withColumn("position", due_time(F.least(due / F.col("target"), F.lit(1.0)), F.col("rank"), schedules))
+    return copies.withColumn("position", _position(F.col("copy"), schedules))
+
+
+def scheduled(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = 3.0, schedules: Sequence[Knots] = SCHEDULES,
+              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``plan`` in training order, with ``positions``: those of all their copies, in turn.
+
+    ``copies`` and ``taken`` are counted over positions. Rows without a copy come last, their positions null. Sorted over
+    ranges of the first position, so part files follow each other in training order; id, source and words before settle ties.
+    """
+    planned = plan(docs, weights, most, id_col, text_col, source_col)
+    due = planned.withColumn("positions", F.when(F.col("copies") > 0, F.transform(
+        F.sequence(F.lit(0), F.col("copies") - 1), lambda copy: _position(copy, schedules))))
+    due = due.withColumn("copies", F.when(F.col("positions").isNull(), 0).otherwise(F.size("positions")))
+    due = due.withColumn("taken", F.col("size") * F.col("copies"))
+    keys = [F.element_at("positions", 1).asc_nulls_last(), id_col, source_col, "before"]
+    return due.repartitionByRange(max(partitions(docs.sparkSession), 1), *keys).sortWithinPartitions(*keys)
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = 3.0,

@@ -33,8 +33,9 @@ def op5_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
-    planned = mixing.plan(table(spark, d, "documents"))
-    return planned.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    """Rows in the order in which their first copies are due; those that are not taken come last."""
+    due = mixing.scheduled(table(spark, d, "documents"))
+    return due.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 def op7_exact_dedup(spark: SparkSession, d: str) -> DataFrame:

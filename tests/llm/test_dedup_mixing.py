@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhaul.llm import exact_dedup, mixing
+from tallyhaul.llm import exact_dedup, mixing, queries
 
 from . import cases
 
@@ -113,3 +113,59 @@ def test_mixed_rows_come_in_training_order_and_keep_columns(spark):
     assert order == sorted(order)
     assert mixing.mixed(cases.empty(spark)).count() == 0
     assert mixing.plan(docs.filter("doc_id < 3")).agg(F.sum("taken")).first()[0] == 0
+
+
+def due(share, knots):
+    """Time by bisection of the schedule's integral."""
+    def area(t):
+        return sum((min(t, t1) - t0) * (w0 + w0 + (w1 - w0) * (min(t, t1) - t0) / (t1 - t0)) / 2
+                   for (t0, w0), (t1, w1) in zip(knots[:-1], knots[1:]) if t > t0)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if area(mid) < share * area(1.0) else (low, mid)
+    return high
+
+
+def test_registered_mix_stands_in_training_order(spark, sf_dir):
+    """Positions again from the words before each document; the query's rows follow them, untaken documents last."""
+    got = [tuple(r) for r in queries.op6_mixing(spark, sf_dir).collect()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    sizes = defaultdict(int)
+    for r in docs:
+        sizes[r.source] += size[r.doc_id]
+    target = fill(dict(sizes))
+    ranks = {s: i for i, s in enumerate(sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else []))}
+    first, taken, before = {}, {}, defaultdict(int)
+    for r in sorted(docs, key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id)):
+        middles = [before[r.source] + c * sizes[r.source] + size[r.doc_id] / 2 for c in range(3)]
+        times = [due(m / target[r.source], mixing.SCHEDULES[ranks[r.source] % 3]) for m in middles
+                 if m < target[r.source] * (1 - 1e-9) and size[r.doc_id]]
+        before[r.source] += size[r.doc_id]
+        first[r.doc_id] = min(times, default=None)
+        taken[r.doc_id] = len(times) * size[r.doc_id]
+    assert {r[0]: r[4] for r in got} == taken and len(got) == len(docs)
+    order = [first[r[0]] for r in got]
+    assert None in order and order.index(None) == len([x for x in order if x is not None])  # untaken rows are kept, at the end
+    placed = [x for x in order if x is not None]
+    assert all(a <= b + 1e-9 for a, b in zip(placed, placed[1:]))
+    rows = {r.doc_id: r.positions for r in mixing.scheduled(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for i, t in first.items():
+        assert (rows[i] and rows[i][0]) == (None if t is None else pytest.approx(t, abs=1e-6))
+
+
+def test_schedule_decides_the_order(spark):
+    docs = cases.documents(spark)
+    rows = mixing.scheduled(docs).collect()
+    assert sorted(repr(tuple(r)[:9]) for r in rows) == sorted(repr(tuple(r)) for r in mixing.plan(docs).collect())
+    copies = defaultdict(list)
+    for r in mixing.positions(mixing.plan(docs)).orderBy("copy").collect():
+        copies[r.doc_id, r.source, r.before].append(r.position)
+    for r in rows:
+        assert r.positions == (copies[r.doc_id, r.source, r.before] if r.copies else None)
+    late = ((0.0, 0.0), (1.0, 2.0))
+    moved = {(r.doc_id, r.before): r.positions for r in mixing.scheduled(docs, schedules=(late,)).collect()}
+    assert any(r.copies and moved[r.doc_id, r.before][0] > r.positions[0] for r in rows)
+    assert mixing.scheduled(cases.empty(spark)).count() == 0
