@@ -14,6 +14,8 @@ one host do share lines (quotations, licences, copies), and deleting those would
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,7 +30,8 @@ from .url_lists import host_of, path_of
 DECLARED, OPEN, MARKED = 0, 1, 2
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split())
-SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video select textarea button title".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
+CHOICES = frozenset("option optgroup".split())  # blocks that stand in a silent part
 MARKS = frozenset("nav footer aside form menu dialog".split())
 STRUCTURE = frozenset("article main section div header ul ol table".split()) | MARKS
 #: Words in class, id and role that mark a part as not of the article.
@@ -38,16 +41,85 @@ search share sharing sidebar signup skip social sponsor sponsored subscribe tool
 COMMENTS = frozenset("comment comments disqus respond".split())
 
 
-class _Lines(HTMLParser):
+class _Tags(HTMLParser):
+    """A page as (kind, tag or text, attributes), kind 1 for a start tag, -1 for an end tag, 0 for text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, str, list]] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append((1, tag, attrs))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in SILENT:
+            return
+        self.handle_starttag(tag, attrs)
+        if tag in STRUCTURE:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self.found.append((-1, tag, ()))
+
+    def handle_data(self, data):
+        self.found.append((0, data, ()))
+
+
+def _silent_ends(tags: list) -> dict[int, int]:
+    """Per start tag of a silent part where it goes on: behind its end tag; without one, at the next block or the end of the enclosing one."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: Counter = Counter()
+    unclosed = []
+    for i, (kind, tag, _) in enumerate(tags):
+        if not kind or tag not in BLOCKS and tag not in SILENT:
+            continue
+        if kind == 1:
+            stack.append((tag, i))
+            count[tag] += 1
+            continue
+        while count[tag]:
+            name, start = stack.pop()
+            count[name] -= 1
+            if name == tag:
+                if tag in SILENT:
+                    ends[start] = i + 1
+                break
+            if name in SILENT:
+                unclosed.append((start, i))
+    unclosed += [(start, len(tags)) for name, start in stack if name in SILENT]
+    if unclosed:
+        starts = [i for i, (kind, tag, _) in enumerate(tags) if kind == 1 and tag in BLOCKS and tag not in CHOICES]
+        for start, end in unclosed:
+            at = bisect(starts, start)
+            ends[start] = min(end, starts[at]) if at < len(starts) else end
+    return ends
+
+
+class _Lines:
+    def __init__(self):
         self.lines: list[tuple[str, int]] = []
         self.words: list[str] = []
         self.open: list[tuple[str, int, bool]] = []  # structural element, zone inside it, whether in comments
-        self.silent: str | None = None
-        self.depth = 0
         self.in_head = False
 
+    def read(self, tags: list):
+        ends = _silent_ends(tags)
+        i = 0
+        while i < len(tags):
+            kind, tag, attrs = tags[i]
+            if kind == 1 and tag in SILENT:
+                i = ends[i]
+                continue
+            if kind == 1:
+                self._start(tag, attrs)
+            elif kind:
+                self._end(tag)
+            elif not self.in_head:
+                self.words.append(tag)
+            i += 1
+        self._end_line()
+
     def _zone(self) -> int:
         return self.open[-1][1] if self.open else OPEN
 
@@ -57,13 +129,7 @@ class _Lines(HTMLParser):
         if text:
             self.lines.append((text, self._zone()))
 
-    def handle_starttag(self, tag, attrs):
-        if self.silent:
-            self.depth += tag == self.silent
-            return
-        if tag in SILENT:
-            self.silent, self.depth = tag, 1
-            return
+    def _start(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
         if tag == "head":
@@ -85,20 +151,7 @@ class _Lines(HTMLParser):
             zone = MARKED
         self.open.append((tag, zone, comments))
 
-    def handle_startendtag(self, tag, attrs):
-        if tag in SILENT:
-            return
-        self.handle_starttag(tag, attrs)
-        if tag in STRUCTURE:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if self.silent:
-            if tag == self.silent:
-                self.depth -= 1
-                if not self.depth:
-                    self.silent = None
-            return
+    def _end(self, tag):
         if tag in BLOCKS:
             self._end_line()
         if tag == "head":
@@ -109,18 +162,15 @@ class _Lines(HTMLParser):
                     del self.open[i:]
                     break
 
-    def handle_data(self, data):
-        if not self.silent and not self.in_head:
-            self.words.append(data)
-
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
     """(line, zone) in page order: white space as one space, character references decoded, no empty lines."""
-    parser = _Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser._end_line()
-    return parser.lines
+    tags = _Tags()
+    tags.feed(html or "")
+    tags.close()
+    lines = _Lines()
+    lines.read(tags.found)
+    return lines.lines
 
 
 # --- alignment ----------------------------------------------------------------------

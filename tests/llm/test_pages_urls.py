@@ -41,6 +41,21 @@ def test_lines_and_zones():
     assert text(None) == text("") == "" and text("<article><p>cut off &am") == "cut off &am"
 
 
+@pytest.mark.parametrize("inner, want", [
+    ("<p>One <embed src=a> two</p><p>Three</p>", "One two\nThree"),
+    ("<embed src=a><p>One</p>", "One"),
+    ("<p>One <select><option>a<option>b</p><p>Two</p>", "One\nTwo"),
+    ("<div>One <button>Go</div><p>Two</p>", "One\nTwo"),
+    ("<p>One</p><select><option>a<p>Two</p>", "One\nTwo"),
+    ("<p>One</p><svg><path><p>Two</p><object data=x><p>Three <button>b <svg></svg></p>", "One\nTwo\nThree"),
+    ("<p>One <button><div>Icon</div>go</button> two</p><object><p>instead</p><object>x</object></object>Three", "One two\nThree"),
+    ("<p>One<script>var a = '<p>no</p>'</script></p></select></button>Two", "One\nTwo")])
+def test_silent_parts_end(inner, want):
+    html = f"<body><div>Top</div><article>{inner}</article><article><p>Last</p></article><div>Foot</div>"
+    assert text(html) == want + "\nLast"
+    assert [t for t, zone in M.lines_of(html) if zone == M.OPEN] == ["Top", "Foot"]
+
+
 def page(own, k, host="h.example.com", template=("Top menu", "Subscribe now"), wrap="div"):
     lines = "".join(f"<p>{t}</p>" for t in own)
     return k, f"https://{host}/a/{k:04d}?x={k}", f"<body><p>{template[0]}</p><{wrap}>{lines}</{wrap}><p>{template[1]}</p></body>"
