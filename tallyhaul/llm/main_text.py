@@ -2,18 +2,22 @@
 
 1. A page becomes lines, one per block of markup, in page order. A line is *declared* content (inside ``article`` or
    ``main``), *marked* as something else (navigation, footer, aside, form, advert, comments, by element, role or class), or *open*.
-2. Pages are range-sorted by host, path and id. Each page is paired with the one before it in its host, the first with the
-   one after it; pairs across partitions are made in a second, small step, so the result does not depend on how the sort was cut.
+2. Pages of a host with the same declared and open lines are copies; one stands for all. These are range-sorted by host, path and id. Each is paired
+   with the one before it in its host, the first with the one after it, so no page is differenced against its copy; pairs across partitions are made in
+   a second, small step, so the result does not depend on how the sort was cut.
 3. The lines outside declared content of both pages are aligned by longest common subsequence, and shared lines are deleted: the host's template.
-4. What is left of the declared lines, or on pages without any of the open ones, is the text. Marked lines that are not shared are deleted as marked.
+4. Declared lines that ``SITE_PAGES`` pages or more of a host share, and at least half of its pages with declared lines, are deleted as template too.
+5. What is left of the declared lines is the text. Where that is less than ``SMALL`` of it and the open lines left (a few cards beside a text that
+   is not declared), or nothing is declared, open lines left are text as well. Marked lines that are not shared are deleted as marked.
 
-Only line hashes are sorted and paired; whole texts cross the network once, by page. Declared content is not differenced: articles of
+Only line hashes are sorted and paired; whole texts cross the network once, by page. Fewer shared declared lines are text: articles of
 one host do share lines (quotations, licences, copies), and deleting those would lose text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +32,7 @@ from .common import partitions, settle, small_batches
 from .url_lists import host_of, path_of
 
 DECLARED, OPEN, MARKED = 0, 1, 2
+SITE_PAGES, SMALL = 3, 0.25
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
@@ -142,6 +147,8 @@ class _Lines:
             return
         zone, comments = (self.open[-1][1], self.open[-1][2]) if self.open else (OPEN, False)
         names = {w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower())}
+        if tag in ("article", "main"):  # its class says what it has or looks like; only its role, and what it stands in, say what it is
+            names = set(re.split(r"[^a-z0-9]+", (dict(attrs).get("role") or "").lower()))
         comments = comments or bool(names & COMMENTS)
         if comments or tag in MARKS or names & WORDS:
             zone = MARKED
@@ -241,25 +248,36 @@ def _align(a: list, b: list, cells: int) -> list[int]:
 
 # --- pairing ------------------------------------------------------------------------
 
+OUTLINE = "k long, host string, path string, content long, lines array<long>, own array<long>"
+
+
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Page key, host, path and the hashes of the lines that are not declared content."""
+    """Page key, host, path, hash of declared and open lines, and the hashes of lines that are not declared and that are."""
     for batch in batches:
-        lists = [[_hash(t) for t, zone in lines_of(h) if zone != DECLARED] for h in batch.column("html").to_pylist()]
-        yield pa.record_batch([batch.column("k"), batch.column("host"), batch.column("path"), pa.array(lists, pa.list_(pa.int64()))],
-                              names=["k", "host", "path", "lines"])
+        content, lists, own = [], [], []
+        for html in batch.column("html").to_pylist():
+            found = [(_hash(t), zone) for t, zone in lines_of(html)]
+            content.append(xxhash.xxh3_64_intdigest(array("q", [x for f in found if f[1] != MARKED for x in f]).tobytes()) - (1 << 63))
+            lists.append([h for h, zone in found if zone != DECLARED])
+            own.append(list({h for h, zone in found if zone == DECLARED}))
+        kind = pa.list_(pa.int64())
+        yield pa.record_batch([batch.column("k"), batch.column("host"), batch.column("path"), pa.array(content, pa.int64()), pa.array(lists, kind),
+                               pa.array(own, kind)], names=["k", "host", "path", "content", "lines", "own"])
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-SHARED = "k long, host string, part int, place int, lines array<long>, shared array<int>"
+SHARED = "k long, host string, copied boolean, part int, place int, lines array<long>, shared array<int>, other array<long>"
+PARTNER = "k long, copied boolean, shared array<int>, other array<long>"
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages: the shared lines of pages whose partner stands in this partition; the first and the last page also keep their lines (place 0 and 1, 2 if both)."""
+    """Sorted pages: the shared lines of pages whose partner stands in this partition, and the partner's lines where copies need them; the first and
+    the last page also keep their lines (place 0 and 1, 2 if both)."""
     part = TaskContext.get().partitionId()
-    names = ("k", "host", "lines")
+    names = ("k", "host", "copied", "lines")
     before = row = None
 
     def rows():
@@ -270,7 +288,8 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With its partner in this partition, if it has one."""
         other = prev if prev and prev[1] == me[1] else after if after and after[1] == me[1] else None
         place = 2 if prev is None and after is None else 0 if prev is None else 1 if after is None else None
-        return (me[0], me[1], part, place, None if place is None else me[2], shared_lines(me[2], other[2]) if other else None)
+        return (*me[:3], part, place, None if place is None else me[3], shared_lines(me[3], other[3]) if other else None,
+                other[3] if other and me[2] else None)
 
     buffer = []
     for following in rows():
@@ -288,24 +307,27 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_batch(rows) -> pa.RecordBatch:
-    k, host, part, place, lines, shared = zip(*rows)
-    return pa.record_batch([pa.array(k, pa.int64()), pa.array(host, pa.string()), pa.array(part, pa.int32()), pa.array(place, pa.int32()),
-                            pa.array(lines, pa.list_(pa.int64())), pa.array(shared, pa.list_(pa.int32()))],
-                           names=["k", "host", "part", "place", "lines", "shared"])
+    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)],
+                           names=["k", "host", "copied", "part", "place", "lines", "shared", "other"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("k", "lines", "other")))
-        k, shared = zip(*((k, shared_lines(a, b)) for k, a, b in rows)) if batch.num_rows else ((), ())
-        yield pa.record_batch([pa.array(k, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], names=["k", "shared"])
+        shared = [shared_lines(a, b) for a, b in zip(*(batch.column(c).to_pylist() for c in ("lines", "other")))]
+        yield pa.record_batch([batch.column("k"), batch.column("copied"), pa.array(shared, pa.list_(pa.int32())), batch.column("other")],
+                              names=["k", "copied", "shared", "other"])
 
 
-def template_lines(keyed: DataFrame) -> DataFrame:
-    """(k, shared): per page key the positions, among its lines outside declared content, of those shared with the page of the nearest URL."""
-    outlines = keyed.mapInArrow(_outline, "k long, host string, path string, lines array<long>").dropDuplicates(["k"])
+def template_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, shared): per page key the positions, among its lines outside declared content, of those shared with the page of the nearest URL that is
+    not its copy (with its copies, if its host has no other page); and (host, site): per host the hashes of declared lines that are template."""
+    outlines = settle(keyed.mapInArrow(_outline, OUTLINE), "page_outlines")
     order = ["host", "path", "k"]
-    found = settle(outlines.repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
+    ones = outlines.groupBy("host", "content").agg(F.min_by(F.struct("path", "k", "lines", "own"), F.struct("path", "k")).alias("one"),
+                                                   (F.min("k") != F.max("k")).alias("copied"))
+    ones = settle(ones.select("host", "content", "copied", "one.*"), "page_ones")
+    found = settle(ones.select(*order, "copied", "lines").repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order)
                    .mapInArrow(_pair, SHARED), "page_pairs")
     # two rows per partition at most: its first page looks back, its last one forward if it has no partner yet
     edges = found.filter("place IS NOT NULL")
@@ -314,35 +336,75 @@ def template_lines(keyed: DataFrame) -> DataFrame:
         .withColumn("next_host", F.lead("host").over(inner)).withColumn("next_lines", F.lead("lines").over(inner))
     back = F.when((F.col("place") != 1) & (F.col("last_host") == F.col("host")), F.col("last_lines"))
     ahead = F.when((F.col("place") != 0) & F.col("shared").isNull() & (F.col("next_host") == F.col("host")), F.col("next_lines"))
-    mended = step.withColumn("other", F.coalesce(back, ahead)).filter("other IS NOT NULL").select("k", "lines", "other") \
-        .mapInArrow(_across, "k long, shared array<int>")
+    mended = step.drop("other").withColumn("other", F.coalesce(back, ahead)).filter("other IS NOT NULL").select("k", "copied", "lines", "other") \
+        .mapInArrow(_across, PARTNER)
     mended = settle(mended, "page_edges")
-    plain = found.filter("shared IS NOT NULL").select("k", "shared").join(mended.select("k"), "k", "left_anti")
-    return plain.unionAll(mended)
+    paired = found.filter("shared IS NOT NULL").select("k", "copied", "shared", "other").join(mended.select("k"), "k", "left_anti").unionAll(mended)
+    # copies may differ in marked lines, so each is aligned with the partner of the one that stands for them
+    partners = ones.filter("copied").select("host", "content", "k", F.col("lines").alias("same")).join(
+        paired.filter("copied").select("k", "other"), "k", "left").select("host", "content", F.coalesce("other", "same").alias("other"))
+    copies = outlines.select("host", "content", "k", "lines").join(partners, ["host", "content"]).select(
+        "k", F.lit(True).alias("copied"), "lines", "other").mapInArrow(_across, PARTNER).select("k", "shared").dropDuplicates(["k"])
+    return paired.filter("NOT copied").select("k", "shared").unionAll(copies), _site_lines(ones)
+
+
+def _site_lines(ones: DataFrame) -> DataFrame:
+    declared = ones.filter(F.size("own") > 0)
+    lines = declared.select("host", F.explode("own").alias("line")).groupBy("host", "line").count().filter(F.col("count") >= SITE_PAGES)
+    most = declared.groupBy("host").agg(F.count("*").alias("pages"))
+    return lines.join(most, "host").filter("2 * count >= pages").groupBy("host").agg(F.collect_list("line").alias("site"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its declared text (null if it has none), its open lines with their places among undeclared lines, and the number of marked lines."""
+    """Per page: its lines, marked ones empty, and their zones."""
     for batch in batches:
-        declared, opened, places, marked = [], [], [], []
+        texts, zones = [], []
         for html in batch.column("html").to_pylist():
             lines = lines_of(html)
-            own = [t for t, zone in lines if zone == DECLARED]
-            rest = [(t, zone) for t, zone in lines if zone != DECLARED]
-            declared.append("\n".join(own) if own else None)
-            opened.append([] if own else [t for t, zone in rest if zone == OPEN])
-            places.append([] if own else [i for i, (_, zone) in enumerate(rest) if zone == OPEN])
-            marked.append([i for i, (_, zone) in enumerate(rest) if zone == MARKED])
-        kind = pa.list_(pa.int32())
-        yield pa.record_batch([batch.column("k"), batch.column("id"), batch.column("url"), pa.array(declared, pa.string()),
-                               pa.array(opened, pa.list_(pa.string())), pa.array(places, kind), pa.array(marked, kind)],
-                              names=["k", "id", "url", "declared", "opened", "places", "marked"])
+            texts.append("\n".join("" if zone == MARKED else t for t, zone in lines))
+            zones.append([zone for _, zone in lines])
+        yield pa.record_batch([*(batch.column(c) for c in ("k", "id", "url", "host")), pa.array(texts, pa.string()), pa.array(zones, pa.list_(pa.int32()))],
+                              names=["k", "id", "url", "host", "texts", "zones"])
+
+
+def _decide(lines: list[tuple[str, int]], shared: set[int], site: set[int]) -> tuple[str, int, int]:
+    """Text, number of lines deleted as template, and as marked, from the lines of a page."""
+    own, fresh, opened, marks, rest = [], [], [], [], 0
+    for at, (t, zone) in enumerate(lines):
+        if zone == DECLARED:
+            own.append(at)
+            continue
+        if zone == MARKED:
+            marks.append(rest)
+        else:
+            opened.append(at)
+            if rest not in shared:
+                fresh.append(at)
+        rest += 1
+    kept = [at for at in own if _hash(lines[at][0]) not in site] if site else own
+    words = sum(len(lines[at][0]) for at in kept)
+    if words < SMALL * (words + sum(len(lines[at][0]) for at in fresh)):
+        kept = sorted(kept + fresh)
+    gone = len(shared) + len(own) - sum(lines[at][1] == DECLARED for at in kept)
+    if not kept:  # like its host's other pages throughout
+        kept = own or opened
+        gone = len(shared) if own else sum(m in shared for m in marks)
+    return "\n".join(lines[at][0] for at in kept), gone, sum(m not in shared for m in marks)
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "zones", "shared", "site")))
+        out = [_decide(list(zip(t.split("\n"), zones)), set(shared or ()), set(site or ())) for t, zones, shared, site in rows]
+        text, shared, marked = zip(*out) if out else ((), (), ())
+        yield pa.record_batch([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array(shared, pa.int64()),
+                               pa.array(marked, pa.int64())], names=["id", "url", "text", "n_shared", "n_marked"])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: id, url, text, n_chars, n_shared, n_marked.
 
-    ``text`` is '' where nothing is left (null or empty html too). A page whose open lines are all shared is a copy of its neighbour and keeps them.
+    ``text`` is '' where nothing is left (null or empty html too). A page of which nothing would be left keeps its declared or else its open lines.
     Pages without a host (null URLs too) are one host of their own. Rows that repeat are all kept and answered alike. ``n_shared`` lines were deleted as
     the host's template, ``n_marked`` others by their marks. Other columns are not read. No rows give no rows.
     """
@@ -350,16 +412,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     small_batches(spark)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     base = base.withColumn("k", F.xxhash64("id", "url", "html")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    shared = template_lines(base.select("k", "host", "path", "html"))
+    shared, site = template_lines(base.select("k", "host", "path", "html"))
     kind = pages.select(id_col).schema[0].dataType.simpleString()
-    texts = base.select("k", "id", "url", "html").mapInArrow(
-        _texts, f"k long, id {kind}, url string, declared string, opened array<string>, places array<int>, marked array<int>")
-    joined = texts.join(shared, "k", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    own = F.transform(F.filter(F.arrays_zip("opened", "places"), lambda x: ~F.array_contains(F.col("shared"), x["places"])), lambda x: x["opened"])
-    kept = F.when(F.size(own) > 0, own).otherwise(F.col("opened"))
-    text = F.coalesce("declared", F.array_join(kept, "\n"))
-    gone = F.when(F.col("declared").isNotNull() | (F.size(own) > 0), F.size("shared")).otherwise(
-        F.size(F.array_intersect("shared", "marked")))
-    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),
-                         F.length(text).cast("long").alias("n_chars"), gone.cast("long").alias("n_shared"),
-                         F.size(F.array_except("marked", "shared")).cast("long").alias("n_marked"))
+    texts = base.select("k", "id", "url", "host", "html").mapInArrow(
+        _texts, f"k long, id {kind}, url string, host string, texts string, zones array<int>")
+    joined = texts.join(shared, "k", "left").join(settle(site, "page_site"), "host", "left").select("id", "url", "texts", "zones", "shared", "site")
+    found = joined.mapInArrow(_decided, f"id {kind}, url string, text string, n_shared long, n_marked long")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
+                        F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")

@@ -85,6 +85,37 @@ def test_shared_lines_go_wherever_the_sort_is_cut(spark, parts):
     assert M.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_shared_lines_decide_beside_declared_ones(spark, parts):
+    host = "https://n.example.com"
+    story = [f"A long story {k} that stands in a plain part of its page, with sentence after sentence." for k in range(4)]
+    data = [(k, f"{host}/s/{k}", f"<body><p>Top</p><article>Card {k}</article><div><p>{t}</p><p>{t} On.</p></div><article>More {k}</article><p>Foot</p></body>")
+            for k, t in enumerate(story)]
+    # a line of the site inside main; one quoted by three pages of seven
+    main = "https://m.example.com"
+    data += [(10 + k, f"{main}/{k}", f"<main><p>Follow us</p><p>Own text {k}</p>{'<p>Quoted</p>' if k < 3 else ''}</main><p>Foot</p>") for k in range(7)]
+    data += [(20, "https://c.example.com/1", "<p>Top</p><article class='post has-sidebar share comments'>Kept</article>"),
+             (21, "https://c.example.com/2", "<p>Top</p><main id='notice'><p>Kept too</p><div class='share'>Mail</div></main>")]
+    # copies that differ in marked lines, between pages that do not
+    data += [(30 + k, f"https://d.example.com/b{k}", f"<nav>n{k}</nav><p>Top</p><p>Twice told</p><p>Foot</p>") for k in range(5)]
+    data += [(40, "https://d.example.com/z", "<nav>n</nav><p>Top</p><p>Other</p><p>Foot</p>")]
+    data += [(50 + k, "https://e.example.com/only", "<p>Top</p><p>All alike</p>" + f"<nav>n{k}</nav>") for k in range(2)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.page_id: r for r in M.main_texts(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, t in enumerate(story):
+        assert got[k].text == f"Card {k}\n{t}\n{t} On.\nMore {k}" and got[k].n_shared == 2
+    for k in range(7):
+        assert got[10 + k].text == f"Own text {k}" + "\nQuoted" * (k < 3) and got[10 + k].n_shared == 2
+    assert got[20].text == "Kept" and got[21].text == "Kept too" and got[21].n_marked == 1
+    assert [got[30 + k].text for k in range(5)] == ["Twice told"] * 5 and got[40].text == "Other"
+    assert [got[50 + k].text for k in range(2)] == ["Top\nAll alike"] * 2
+
+
 def test_given_pages_keep_their_articles(spark, sf_dir):
     """By plain search: the article element, tag by tag."""
     import html
