@@ -5,8 +5,8 @@ Inputs of a word: how much the word itself, its beginnings (3 to 8 bytes) and it
 The network reads windows of ``SPAN`` words, each word in two of them; all windows of a text are scored. A
 logistic layer turns the strongest windows and their sum into the document's score.
 
-Fitting uses at most ``PER_CLASS`` labelled documents of each label, of at most ``FIT_CHARS`` characters, in a fixed
-pseudo-random order. This is the only bound; scoring reads whole texts, in map tasks, without a shuffle.
+Fitting uses at most ``PER_CLASS`` labelled documents of each label in a fixed pseudo-random order; those over ``FIT_CHARS``
+characters have at most ``LONG_CHARS`` together. These are the only bounds; scoring reads whole texts, in map tasks, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import hashing
 from .common import settle, small_batches
 
 SPAN, STEP, HIDDEN, BITS = 16, 8, 8, 18
-PER_CLASS, FIT_CHARS, EPOCHS = 2500, 20_000, 8
+PER_CLASS, FIT_CHARS, LONG_CHARS, EPOCHS = 2500, 20_000, 2_000_000, 8
 PREFIXES, INNER = (3, 4, 5, 6, 7, 8), 5
 FEATURES = 7
 THRESHOLD = 0.7
@@ -307,16 +307,24 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, fit_chars: int = FIT_CHARS,
         id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample of the labelled rows that are not held out: ``per_class`` ids of each label."""
+    """Train on a bounded sample of the labelled rows that are not held out: ``per_class`` ids of each label, in a fixed pseudo-random order.
+
+    Of documents over ``fit_chars`` characters those take part that have ``LONG_CHARS`` together; the next ones that fit take the places of others."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(
         "y IN (0, 1) AND id IS NOT NULL").filter(~held_out(F.col("id"))).withColumn("h", F.xxhash64("id"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    ids = settle(ids.join(sizes.filter(F.col("n") <= max(fit_chars, LONG_CHARS)), "id"), "toxicity_labelled")
     sample = None
     for y in (0, 1):
-        some = ids.filter(F.col("y") == y).orderBy("h", "id").limit(per_class)
+        own = ids.filter(F.col("y") == y)
+        long = own.filter(F.col("n") > fit_chars).orderBy("h", "id").limit(LONG_CHARS // max(fit_chars, 1) + 1)  # no more can fit
+        long = long.withColumn("upto", F.sum("n").over(W.orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0)))
+        short = own.filter(F.col("n") <= fit_chars).orderBy("h", "id").limit(per_class)
+        some = short.unionAll(long.filter(F.col("upto") <= LONG_CHARS).drop("upto")).orderBy("h", "id").limit(per_class)
         sample = some if sample is None else sample.unionAll(some)
     sample = settle(sample.dropDuplicates(["id"]), "toxicity_sample")  # 2 x per_class rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").filter(
-        F.length("text") <= fit_chars).collect()
+        "text IS NOT NULL").collect()
     rows = sorted({r.id: r for r in sorted(rows, key=lambda r: (r.id, r.text))}.values(), key=lambda r: (r.h, r.id))
     return train([r.text for r in rows], [r.y for r in rows])
 

@@ -200,6 +200,20 @@ def test_learns_planted_words(spark):
     assert {q.doc_id for q in left.collect()} == {i for i, q in rows.items() if not q.predicted}
 
 
+def test_long_labelled_documents_are_fitted(spark, monkeypatch):
+    """Long ones up to their bound, and no place of the sample stays empty."""
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: (texts, y))
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 250)
+    data = [(i, ("long " * 16 if i % 2 else "x " * 5 if i % 3 else None) if i else "huge " * 90) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(120)], "doc_id long, toxic int")
+    texts, y = toxicity.fit(docs, labels, per_class=12, fit_chars=20)
+    assert y.count(0) == y.count(1) == 12 and None not in texts
+    texts, y = toxicity.fit(docs, labels, per_class=1000, fit_chars=20)
+    assert [sum(len(t) > 20 for t, k in zip(texts, y) if k == label) for label in (0, 1)] == [3, 3]
+    assert not any("huge" in t for t in texts)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(13)], "doc_id long, toxic int, text string")
