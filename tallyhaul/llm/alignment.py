@@ -21,21 +21,30 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import partitions, settle, small_batches
+from .common import settle, small_batches
 from .token_files import byte_letters
 
 PACK_BYTES = 8 << 20
-HELD_PIECES, HELD_TOKENS = 300_000, 4_000_000
+HELD_PIECES, HELD_TOKENS = 500_000, 4_000_000
 
 
 # --- tokenizers -----------------------------------------------------------------
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Codec:
     """Both tokenizers, the bytes of their tokens, and the pieces encoded so far (a bounded number)."""
 
@@ -68,7 +77,7 @@ class Codec:
             self.apart = (sum(a, []), sum(b, [])) == (whole[0][0], whole[1][0])
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = Numbered()
         self.good = np.zeros(0, bool)
         self.ids, self.first = [np.zeros(0, np.int64)] * 2, [np.zeros(1, np.int64)] * 2
 
@@ -82,27 +91,28 @@ class Codec:
         encoded = self._encode(pieces)
         for side in (0, 1):
             sizes = np.fromiter(map(len, encoded[side]), np.int64, len(pieces))
-            flat = np.fromiter((i for x in encoded[side] for i in x), np.int64, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(encoded[side]), np.int64, int(sizes.sum()))
             self.first[side] = np.r_[self.first[side], self.first[side][-1] + np.cumsum(sizes)]
             self.ids[side] = np.r_[self.ids[side], flat]
-        good = [b"".join(map(self.a_bytes.__getitem__, a)) == (raw := p.encode()) and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-                for p, a, b in zip(pieces, *encoded)]
-        self.good = np.r_[self.good, np.array(good, bool)]
+        raw = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.ones(len(pieces), bool)
+        for tokens, own, length in zip(encoded, (self.a_bytes, self.b_bytes), (self.a_len, self.b_len)):
+            n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            ends = np.r_[0, np.cumsum(length[np.fromiter(chain.from_iterable(tokens), np.int64, int(n.sum()))])][np.cumsum(n)]
+            if (np.diff(ends, prepend=0) != size).any() or b"".join(map(own.__getitem__, chain.from_iterable(tokens))) != b"".join(raw):
+                good &= [b"".join(map(own.__getitem__, x)) == r for x, r in zip(tokens, raw)]
+        self.good = np.r_[self.good, good]
 
     def tokens(self, texts: list[str | None]) -> Tokens:
         if len(self.codes) > HELD_PIECES or len(self.ids[0]) > HELD_TOKENS:
             self.forget()
-        cut, new = [], []
-        for text in texts:
-            cut.append([] if not text else self.CUT.split(" " + text) if self.apart else [" " + text])
-            for piece in cut[-1]:
-                if piece not in self.codes:
-                    self.codes[piece] = len(self.codes)
-                    new.append(piece)
-        if new:
-            self._learn(new)
+        known = len(self.codes)
+        cut = [[] if not text else self.CUT.split(" " + text) if self.apart else [" " + text] for text in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes = np.fromiter((self.codes[p] for pieces in cut for p in pieces), np.int64, int(sizes.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        if len(self.codes) > known:
+            self._learn(list(islice(self.codes, known, None)))
         doc = np.repeat(np.arange(len(cut)), sizes)
         good = np.ones(len(cut), bool)
         good[doc[~self.good[codes]]] = False  # a piece whose bytes are not the text's: the document has no tokens
@@ -174,23 +184,33 @@ def groups(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         ends_a.append(a_hi[leaf])
         ends_b.append(b_hi[leaf])
         s = ~leaf
-        a_lo, a_hi = np.r_[a_lo[s], cut_a[s]], np.r_[cut_a[s], a_hi[s]]
-        b_lo, b_hi = np.r_[b_lo[s], cut_b[s]], np.r_[cut_b[s], b_hi[s]]
+        a_lo, a_hi = _halves(a_lo[s], cut_a[s], a_hi[s])
+        b_lo, b_hi = _halves(b_lo[s], cut_b[s], b_hi[s])
     if not ends_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.sort(np.concatenate(ends_a)), np.sort(np.concatenate(ends_b))
 
 
+def _halves(lo: np.ndarray, cut: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each interval, in the order of the text: bisection is quicker for ascending keys."""
+    return np.stack([lo, cut], 1).ravel(), np.stack([cut, hi], 1).ravel()
+
+
 def _cuts(a_end, b_end, a_lo, a_hi, b_lo, b_hi) -> tuple[np.ndarray, np.ndarray]:
     """Per interval the common end nearest to the middle of its a tokens, as token numbers one past it; -1 where there is none inside."""
     cut_a, cut_b = np.full(len(a_lo), -1), np.full(len(a_lo), -1)
     middle = (a_lo + a_hi) // 2 - 1
     open_ = np.flatnonzero((a_hi - a_lo > 1) & (b_hi - b_lo > 1))
-    near, far = 0, 1  # distances from the middle, near <= x < far
+    at = a_end[middle[open_]]
+    j = np.searchsorted(b_end, at)
+    hit = b_end[j] == at
+    cut_a[open_[hit]], cut_b[open_[hit]] = middle[open_[hit]] + 1, j[hit] + 1
+    open_ = open_[~hit]
+    near, far = 1, 2  # distances from the middle, near <= x < far
     while len(open_):
         m, low, high = middle[open_], a_lo[open_], a_hi[open_] - 1  # the last end is shared by all intervals and no cut
         right = np.clip(np.minimum(m + far, high) - (m + near), 0, None)
-        left = np.clip((m - near) - np.maximum(m - far, low - 1), 0, None) if near else np.zeros(len(m), np.int64)
+        left = np.clip((m - near) - np.maximum(m - far, low - 1), 0, None)
         who = np.r_[np.repeat(open_, right), np.repeat(open_, left)]
         at = np.r_[spread(m + near, right), np.repeat(2 * m, left) - spread(m + near, left)]
         j = np.searchsorted(b_end, a_end[at])
@@ -222,6 +242,16 @@ def links(t: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> tuple[np.ndarray, np.n
     return la, lb, n
 
 
+_DECIMALS: dict[int, np.ndarray] = {}
+
+
+def _decimals(bits: int) -> np.ndarray:
+    """Row i has the decimal digits of i, then zeros, and at least one zero at its end."""
+    if bits not in _DECIMALS:
+        _DECIMALS[bits] = np.array([str(i).encode() for i in range(1 << bits)], f"S{len(str(1 << bits)) + 1}").view(np.uint8).reshape(1 << bits, -1)
+    return _DECIMALS[bits]
+
+
 def written(t: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> list[bytes]:
     """Per text its groups as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
     n_docs = len(t.a_first) - 1
@@ -230,15 +260,10 @@ def written(t: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> list[bytes]:
     n_a, n_b = np.diff(np.r_[0, g_a]), np.diff(np.r_[0, g_b])
     at_a = np.arange(len(t.a)) + np.repeat(np.r_[0, g_b[:-1]], n_a)
     at_b = np.arange(len(t.b)) + np.repeat(g_a, n_b)
-    digits = len(str(int(max(t.a.max(), t.b.max()))))
-    out = np.zeros((len(t.a) + len(t.b), digits + 1), np.uint8)
-    for ids, at in ((t.a, at_a), (t.b, at_b)):
-        distinct, inverse = np.unique(ids, return_inverse=True)
-        table = np.zeros((len(distinct), digits + 1), np.uint8)
-        for i, x in enumerate(distinct.tolist()):
-            s = str(x).encode()
-            table[i, : len(s)] = np.frombuffer(s, np.uint8)
-        out[at] = table[inverse]
+    table = _decimals(int(max(t.a.max(), t.b.max())).bit_length())
+    digits = table.shape[1] - 1
+    out = np.empty((len(t.a) + len(t.b), digits + 1), np.uint8)
+    out[at_a], out[at_b] = table[t.a], table[t.b]
     out[:, digits] = ord(",")
     out[at_a[g_a - 1], digits] = ord("|")
     out[at_b[g_b - 1], digits] = ord(";")
