@@ -55,7 +55,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """All words of a batch. Document i has words first[i] to first[i + 1]."""
 
-    data: np.ndarray  # lower-cased bytes of all texts
+    data: np.ndarray  # bytes of all texts, lower-cased if asked for
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
@@ -78,10 +78,10 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0] if len(texts) else np.zeros(1, np.int64))
 
 
-def words(texts: pa.Array, word_bytes: np.ndarray) -> Words:
+def words(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True) -> Words:
     """``word_bytes`` tells for each (lower-cased) byte whether it belongs to a word."""
     raw, offsets = utf8(texts)
-    data = LOWER[raw]
+    data = LOWER[raw] if lower else raw
     n = len(data)
     inside = word_bytes[data]
     opens, closes = inside.copy(), inside.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    alignment, decontamination, exact_dedup, language, language_model, main_text, mixing, ngram_join, token_files, toxicity, url_lists)
+    alignment, decontamination, exact_dedup, language, language_model, main_text, mixing, ngram_join, periodic, token_files, topk, toxicity, url_lists)
 from .common import table
 
 
@@ -58,8 +58,17 @@ def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.report(table(spark, d, "documents"))
 
 
+def op12_exact_topk(spark: SparkSession, d: str) -> DataFrame:
+    return topk.nearest(table(spark, d, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return periodic.report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_join, op2_main_text, op3_decontamination, op4_url_lists, op5_language, op6_mixing, op7_exact_dedup, op8_toxicity, op9_language_model,
-    op10_token_files, op11_token_alignment)}
+    op10_token_files, op11_token_alignment, op12_exact_topk, op13_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {
-    "op4_url_lists": url_lists.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    "op4_url_lists": url_lists.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_exact_topk": topk.ORACLE_SQL}
