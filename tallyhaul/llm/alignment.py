@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import settle, small_batches
 from .token_files import byte_letters
 
-PACK_BYTES = 8 << 20
-HELD_PIECES, HELD_TOKENS = 500_000, 4_000_000
+PACK_BYTES, SLICE_BYTES = 2 << 20, 1 << 18
+HELD_PIECES, HELD_TOKENS = 300_000, 2_000_000
 
 
 # --- tokenizers -----------------------------------------------------------------
@@ -277,10 +277,10 @@ def written(t: Tokens, g_a: np.ndarray, g_b: np.ndarray) -> list[bytes]:
 
 
 def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    """(ids, texts), at most about a megabyte of text together unless one text is longer."""
+    """(ids, texts), of at most about ``SLICE_BYTES`` together unless one text is longer."""
     ids, texts, held = [], [], 0
     for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if held + len(text or "") > 1 << 20 and texts:
+        if held + len(text or "") > SLICE_BYTES and texts:
             yield ids, texts
             ids, texts, held = [], [], 0
         ids.append(i)
@@ -318,7 +318,7 @@ def _packed(models, pack_bytes: int):
         def flush():
             own, back = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]), return_inverse=True)
             sizes = np.cumsum([len(p) for p in pairs])[:-1]
-            index = np.concatenate([np.zeros(0, np.int64), *(b[i] for b, i in zip(np.split(back, sizes), at))])
+            index = np.concatenate([np.zeros(0, np.uint32), *(b[i] for b, i in zip(np.split(back.astype(np.uint32), sizes), at))])
             row = [(part << 32) + seq, *docs.values(), own.astype("<i8").tobytes(),
                    _planes(np.bincount(index, minlength=len(own))), _planes(index)]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
