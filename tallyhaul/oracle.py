@@ -6,6 +6,8 @@ joins), so a match also shows that no difference was missed.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from .queries import (FOREIGN_KEYS, INDEXES, LINEITEM_CHUNKS, ORDER_CHILDREN, PRIMARY_KEYS, TABLES, YEARS)
 
 # Schemas of the given tables as (column, Spark type).
@@ -445,3 +447,48 @@ ORACLE_SQL["run_report_events"] = f"""SELECT s.run_id, total_steps, ok_steps, fa
     LEFT JOIN (SELECT user_id, count(*) AS tables_checked, count(*) FILTER (WHERE event_type = 'error' AND value > 50) = 0 AS ok
       FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) v ON v.user_id = s.run_id
     LEFT JOIN (SELECT user_id, count(*) AS open_reviews FROM events WHERE event_id % 10 = 0 GROUP BY 1) r ON r.user_id = s.run_id"""
+
+
+def _key_candidates(most: int = 3) -> str:
+    """All column sets by counting their distinct combinations; those that hold a smaller key go."""
+    lines = []
+    for name, columns in SCHEMAS.items():
+        plain = [c for c, kind in columns if not kind.startswith("array")]
+        sets = [s for k in range(1, most + 1) for s in combinations(plain, k)]
+        valid = {s: f"(count(*) = count(DISTINCT ({', '.join(s)})) AND {' AND '.join(f'count(*) = count({c})' for c in s)})"
+                 if len(s) > 1 else f"(count(*) = count(DISTINCT {s[0]}) AND count(*) = count({s[0]}))" for s in sets}
+        counted = ", ".join(f"{v} AS k{i}" for i, v in enumerate(valid.values()))
+        for i, s in enumerate(sets):
+            smaller = [f"NOT k{j}" for j, t in enumerate(sets) if len(t) < len(s) and set(t) < set(s)]
+            lines.append(f"SELECT '{name}' AS table_name, '{','.join(s)}' AS key_columns, {len(s)} AS n_columns FROM q_{name} WHERE {' AND '.join([f'k{i}', *smaller])}")
+        _KEY_COUNTS[name] = f"q_{name} AS MATERIALIZED (SELECT {counted} FROM {name})"
+    return f"WITH {', '.join(_KEY_COUNTS.values())} " + " UNION ALL ".join(lines)
+
+
+_KEY_COUNTS: dict[str, str] = {}
+ORACLE_SQL["key_candidates"] = _key_candidates()
+
+_FAMILY = {"int": "whole", "bigint": "whole", "double": "real", "string": "string", "timestamp_ntz": "timestamp_ntz"}
+_VALUES = " UNION ALL ".join(
+    f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{_FAMILY[kind]}' AS f, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+    for t, columns in SCHEMAS.items() for c, kind in columns if kind in _FAMILY)
+ORACLE_SQL["fk_candidates"] = f"""WITH held AS MATERIALIZED ({_VALUES}), n AS (SELECT t, c, count(*) AS n FROM held GROUP BY ALL),
+    pairs AS (SELECT x.t, x.c, y.t AS rt, y.c AS rc, count(*) AS n FROM held x JOIN held y ON x.f = y.f AND x.v = y.v AND (x.t, x.c) <> (y.t, y.c) GROUP BY ALL)
+    SELECT p.t AS table_name, p.c AS column_name, p.rt AS ref_table, p.rc AS ref_column, p.n AS n_values
+    FROM pairs p JOIN n ON n.t = p.t AND n.c = p.c AND n.n = p.n"""
+
+ORACLE_SQL["iblt_diff_orders"] = ORACLE_SQL["row_diff_orders"]
+_LINES = ", ".join(c for c, _ in SCHEMAS["lineitem"])
+ORACLE_SQL["merkle_diff_lineitem"] = f"""WITH s AS (SELECT l_orderkey, count(*) AS n, list(l ORDER BY l) AS rows FROM (
+      SELECT l_orderkey, ({_LINES})::VARCHAR AS l FROM lineitem) GROUP BY 1),
+    t AS (SELECT l_orderkey, count(*) AS n, list(l ORDER BY l) AS rows FROM (SELECT l_orderkey, ({_LINES})::VARCHAR AS l FROM {FAULTY_LINEITEM} q) GROUP BY 1)
+    SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, CASE WHEN t.n IS NULL THEN 'missing_in_target' WHEN s.n IS NULL THEN 'missing_in_source'
+      ELSE 'changed' END AS status, coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows
+    FROM s FULL JOIN t ON s.l_orderkey = t.l_orderkey WHERE s.rows IS DISTINCT FROM t.rows"""
+ORACLE_SQL["ivm_star_lineitem"] = """WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year,
+      CASE WHEN year(o_orderdate) IN (1996, 1997) AND o_orderkey % 10 = 1 THEN '0-MOVED' ELSE o_orderpriority END AS o_orderpriority
+      FROM orders WHERE NOT (year(o_orderdate) IN (1996, 1997) AND o_orderkey % 10 = 2)),
+    l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem)
+    SELECT year, o_orderpriority, count(*) AS line_count,
+      CAST(sum(CASE WHEN year IN (1996, 1997) AND l_orderkey % 10 < 2 AND l_linenumber = 1 THEN 2 * q ELSE q END) AS DECIMAL(38,2)) AS quantity,
+      CAST(sum(p) AS DECIMAL(38,2)) AS price FROM o JOIN l ON o_orderkey = l_orderkey GROUP BY 1, 2"""

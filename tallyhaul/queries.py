@@ -13,7 +13,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import canonical, text
-from .operators import compare, copy, integrity, keys, layout, profile, relational, verify, views
+from .operators import (
+    compare, copy, discovery, iblt, incremental, integrity, keys, layout, merkle, profile, relational, verify, views)
 from .plans import catalog, drift, readiness, runs
 from .session import side_by_side
 from .sources import csvfiles, seed, storage, tables
@@ -262,6 +263,21 @@ def row_diff_chunked_orders(spark, d):
                              chunk=F.floor(F.col("o_orderkey") / 50)).select("o_orderkey", "status")
 
 
+def iblt_diff_orders(spark, d):
+    orders = load(spark, d, "orders")
+    return iblt.sketch_diff(orders, faulty_orders(orders), ["o_orderkey"], cells=1024).select("o_orderkey", "status")
+
+
+def merkle_diff_lineitem(spark, d):
+    """Both tables are stored in files of key ranges, each with its tree."""
+    line, base = load(spark, d, "lineitem"), storage.scratch(spark, "merkle")
+    trees = []
+    for name, df in (("source", line), ("target", faulty_lineitem(line))):
+        layout.write_clustered(df, f"{base}/{name}", ["l_orderkey"])
+        trees.append(merkle.refresh(spark, f"{base}/{name}", f"{base}/{name}_tree", "l_orderkey", leaf_width=256))
+    return merkle.merkle_diff(spark, *trees, ["l_orderkey"])
+
+
 def row_diff_values_orders(spark, d):
     orders = load(spark, d, "orders")
     return compare.diff_values(orders, faulty_orders(orders), ["o_orderkey"])
@@ -349,6 +365,31 @@ def verify_mv_events(spark, d):
     return verify.verify_view(fresh, saved, ["event_type"])
 
 
+STAR = incremental.JoinView(
+    {"o_orderkey": "l_orderkey"}, {"year": "year(o_orderdate)", "o_orderpriority": "o_orderpriority"},
+    {"quantity": "cast(l_quantity AS decimal(18,2))", "price": "cast(l_extendedprice AS decimal(18,2))"}, "year", "line_count")
+
+
+def star_changes(orders: DataFrame, line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes of both tables, all in the orders of 1996 and 1997: some orders change their priority, some lines go and some of them come twice as
+    large, and some orders go with all their lines."""
+    some = orders.filter("year(o_orderdate) IN (1996, 1997)")
+    moved, gone = some.filter("o_orderkey % 10 = 1"), some.filter("o_orderkey % 10 = 2")
+    of = line.join(some.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    cut = of.filter("l_orderkey % 10 = 2 OR (l_orderkey % 10 < 2 AND l_linenumber = 1)")
+    back = of.filter("l_orderkey % 10 < 2 AND l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") * 2)
+    return (incremental.changes(moved.withColumn("o_orderpriority", F.lit("0-MOVED")), moved.unionAll(gone)),
+            incremental.changes(back, cut))
+
+
+def ivm_star_lineitem(spark, d):
+    orders, line = load(spark, d, "orders"), load(spark, d, "lineitem")
+    path = storage.scratch(spark, "star") + "/view"
+    STAR.save(orders, line, path)
+    STAR.update(spark, path, orders, line, *star_changes(orders, line))
+    return spark.read.parquet(path)
+
+
 # --- integrity, layout, keys ------------------------------------------------------
 
 def check_not_null_events(spark, d):
@@ -376,6 +417,14 @@ def fk_orphan_keys_orders(spark, d):
     return integrity.fk_orphan_keys(load(spark, d, "orders"), _parents(spark, d), {"o_custkey": "c_custkey"})
 
 
+def key_candidates(spark, d):
+    return discovery.key_candidates(spark, load_all(spark, d))
+
+
+def fk_candidates(spark, d):
+    return discovery.inclusions(load_all(spark, d))
+
+
 def fill_defaults_orders(spark, d):
     bare = load(spark, d, "orders").drop("o_orderpriority")
     return integrity.fill_defaults(bare, {"o_orderpriority": F.lit("3-MEDIUM"), "o_orderstatus": F.lit("?")})
@@ -615,5 +664,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     json_payload_events, schema_drift, column_drift, drift_summary, chunk_column, readiness_by_mode, readiness_summary,
     run_summary_events, largest_first, stream_copy_events, stream_mv_events, stream_dedupe_events,
     chunked_copy_content_lineitem, partition_copy_content_orders, route_open_orders, route_list_hash_orders,
-    clustered_ranges_lineitem, catalog_declared_columns, fingerprint_lineitem, run_report_events)}
+    clustered_ranges_lineitem, catalog_declared_columns, fingerprint_lineitem, run_report_events, iblt_diff_orders, merkle_diff_lineitem, key_candidates,
+    fk_candidates, ivm_star_lineitem)}
 QUERIES["readiness"] = readiness_report

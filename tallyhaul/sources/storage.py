@@ -29,6 +29,40 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise IOError(f"could not rename {old} to {new}")
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a directory."""
+    fs, p = _at(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(p)]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it is written beside its place and renamed. One that is there already is an error."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    fs, p = _at(spark, beside)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename(spark, beside, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file that :func:`write_text` wrote."""
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(fs.getFileStatus(p).getLen())).decode()
+    finally:
+        stream.close()
+
+
+def partition_directory(spark: SparkSession, column: str, value) -> str:
+    """The directory name that a partitioned write gives a value."""
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return utils.getPartitionPathString(column, None if value is None else str(value))
+
+
 def size_in_bytes(spark: SparkSession, path: str) -> int:
     """Stored size of a table directory, from the file listing and not from a scan."""
     fs, p = _at(spark, path)
