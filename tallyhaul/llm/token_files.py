@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,20 +179,25 @@ class WordIds(dict):
 
     def straight(self, letters: str) -> bytes:
         """Ids of a piece of letters that have one lower-case letter each."""
-        ids = [t.id for t in self.model.tokenize("".join(map(self.bytes.__getitem__, letters.lower().encode())))]
-        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = "".join(map(self.bytes.__getitem__, letters.encode()))
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             text = word.decode()
-            letters = text.rstrip(TAIL)
-            if not (letters and letters.isalpha() and max(letters) < "ɐ" and "İ" not in letters):
-                ids = self.whole(text)
-            elif len(letters) < len(text):
-                ids = self[letters.encode()] + self[text[len(letters):].encode()]
+            if self.direct and text.isascii() and text.isalpha():
+                ids = self.straight(text)
             else:
-                ids = self.straight(letters) if self.direct else self.whole(text)
+                letters = text.rstrip(TAIL)
+                if not (letters.isalpha() and (letters.isascii() or (max(letters) < "ɐ" and "İ" not in letters))):
+                    ids = self.whole(text)
+                elif len(letters) < len(text):
+                    ids = self[letters.encode()] + self[text[len(letters):].encode()]
+                else:
+                    ids = self.straight(letters) if self.direct else self.whole(text)
         if len(self) >= CACHED_WORDS // 2:
             self.old = dict(self)
             self.clear()
