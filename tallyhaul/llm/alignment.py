@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import settle, small_batches
+from .common import lean, return_memory, settle
 from .token_files import byte_letters
 
 PACK_BYTES, SLICE_BYTES = 2 << 20, 1 << 18
@@ -311,6 +311,7 @@ def _packed(models, pack_bytes: int):
     names = ["pack", *PER_DOC, "pairs", "n", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         codec, part, seq = _codec(models), TaskContext.get().partitionId(), 0
         docs: dict[str, list] = {c: [] for c in PER_DOC}
         pairs, at, held = [], [], 0
@@ -398,7 +399,7 @@ def report(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     hash. Rows that repeat, and rows with null ids, each count. Other columns are not read. No rows give no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    lean(spark)
     models = _models(spark, a_path, b_path)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packs = settle(base.mapInArrow(_packed(models, pack_bytes), PACK), "token_packs")
@@ -411,7 +412,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
 
     Rows without tokens (see ``report``) have empty lists."""
     spark = docs.sparkSession
-    small_batches(spark)
+    lean(spark)
     models = _models(spark, a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

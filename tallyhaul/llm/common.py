@@ -47,6 +47,35 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def lean(spark: SparkSession) -> None:
+    """For operators with long rows and many stages, besides ``small_batches``: batches between JVM and Python, and those read from Parquet,
+    are short in bytes as well, and a query's shuffle files go when it ends (each stored table is a query of its own)."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def return_memory() -> None:
+    """In a worker process, which lives on between tasks: memory that is freed goes back to the system at once."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 19)  # arrays from half a megabyte on are mapped, and unmapped when freed
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def drop(*stored: DataFrame) -> None:
+    """Remove tables that ``settle`` stored, when all that was made from them is stored as well."""
+    for df in stored:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            storage.remove(df.sparkSession, folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle
+from .common import drop, settle
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == state or not row.n:
             break
-        state = (row.n, row.h)
+        state, before = (row.n, row.h), current
         current = settle(_star(_star(current, small=False), small=True), label)
+        drop(before)
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(
         current.select(F.col("a"), F.col("a")).distinct())

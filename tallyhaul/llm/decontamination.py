@@ -10,8 +10,9 @@ bounds), the run hash of the whole window must agree, and at last the words
 are compared as text.
 
 Documents are never shuffled. Items are worked off in blocks of at most
-``block_words`` words, each block broadcast; every block meets every document, so a
-benchmark of any size needs more passes over the texts and not more memory.
+``block_words`` words, each block broadcast; every block meets every document, and what
+it found is stored with the documents before the next one begins. A benchmark of any size needs more passes over the texts and
+not more memory.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import hashing
-from .common import fresh, small_batches
+from .common import drop, fresh, settle, small_batches
 
 WINDOW, SHINGLE, BLOCK_WORDS = 10, 3, 2_000_000
 
@@ -137,7 +138,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     schema = StructType([*docs.schema.fields, StructField(words, LongType()), StructField(spans, ArrayType(ArrayType(IntegerType()))),
                          StructField(hit, LongType()), StructField(items, ArrayType(StringType()))])
     blocks = _blocks(benchmark, block_words, item_col, item_text) or [[]]
-    for rows in blocks:
+    before = None
+    for at, rows in enumerate(blocks):
+        if at:  # what the blocks before found is stored, so that a task holds one block at a time
+            out = settle(out, "decontamination")
+            if before is not None:
+                drop(before)
+            before = out
         block = spark.sparkContext.broadcast(Windows(rows, window, shingle))
         counts = {}
         if block.value.texts:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import hashing
-from .common import partitions, settle, small_batches
+from .common import drop, lean, partitions, return_memory, settle
 from .components import components
 
 GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 1024, 400_000, 16
@@ -76,6 +76,7 @@ def _id_column(values) -> pa.Array:
 
 def _points(rule: Rule, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         for batch in batches:
             found = hashing.words(batch.column("text"), hashing.NOT_BLANK)
             n, k1, k2, points, sets, budget = [], [], [], [], [], []
@@ -167,6 +168,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _cells(rule: Rule, buckets: int):
     """Rows (bucket, keys, ids): lookups of a bucket; in bucket -1 equal sets as two lists of ids, in -2 members of large cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         seen: dict[tuple[int, int], int] = {}  # sets of this task
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -267,8 +269,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place += n
 
 
-def _paged(rows: DataFrame, page_rows: int, label: str) -> DataFrame:
-    """(block, id, n, point, page): ``page_rows`` rows in order of block, size and point are a page, or several where blocks end.
+def _paged(rows: DataFrame, page_rows: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """(block, id, n, point, page), and the stored table it reads: ``page_rows`` rows in order of block, size and point are a page, or several where blocks end.
 
     A row's rank is its place behind the rows of the partitions before, so pages do not depend on how the sort was cut."""
     keys = ["block", "n", "point", "id"]
@@ -277,7 +279,7 @@ def _paged(rows: DataFrame, page_rows: int, label: str) -> DataFrame:
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     offsets = placed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     rank = F.floor((F.col("offset") + F.col("place")) / page_rows)
-    return placed.join(offsets, "part").select("block", "id", "n", "point", F.xxhash64("block", rank).alias("page"))
+    return placed.join(offsets, "part").select("block", "id", "n", "point", F.xxhash64("block", rank).alias("page")), placed
 
 
 def _boxes(pages: DataFrame) -> DataFrame:
@@ -376,6 +378,7 @@ def links_within(rule: Rule, ids, n, points, elements, known) -> list[tuple[int,
 def _join_pages(rule: Rule):
     """Links within a page, and its most central document as a loop."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return_memory()
         frame = frame.drop_duplicates("id").sort_values("id")
         ids, n = frame["id"].to_numpy(), frame["n"].to_numpy()
         points = np.stack([np.frombuffer(p, "<i4") for p in frame["point"]])
@@ -405,6 +408,7 @@ def _deltas(rule: Rule):
 def _join_deltas(rule: Rule):
     """Links between loose documents and all others of two pages. Two sets differ where their deltas differ."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return_memory()
         loose, other = (frame[frame["loose"] == side].drop_duplicates("id").sort_values("id") for side in (True, False))
         out = []
         if len(loose) and len(other):
@@ -433,12 +437,15 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     """(a, b): true links that connect all that links connect, and loops. ``docs`` (id, text) are class representatives of ``blocks`` (id, block)."""
     members = docs.join(blocks.select("id"), "id", "left_semi")
     rows = settle(members.mapInArrow(_points(rule, True), POINTS + ", elements binary"), "ngram_sets")
-    pages = _paged(rows.select("id", "n", "point").join(blocks, "id"), page_rows, "ngram_pages").select("block", "page", "id")
+    pages, placed = _paged(rows.select("id", "n", "point").join(blocks, "id"), page_rows, "ngram_pages")
+    pages = pages.select("block", "page", "id")
     own = pages.select("page", "id").join(rows.select("id", "n", "point", "elements"), "id")
     found = settle(own.groupBy("page").applyInPandas(_join_pages(rule), "a long, b long"), "ngram_links")
     sizes = pages.groupBy("block").agg(F.countDistinct("page").alias("pages")).filter("pages > 1")
     wide = settle(pages.join(sizes.select("block"), "block", "left_semi").select("block", "page", "id"), "ngram_wide")
+    drop(placed)
     if not wide.limit(1).count():
+        drop(rows)
         return found
 
     central = found.filter("a = b").select(F.col("a").alias("id")).join(wide, "id")
@@ -447,24 +454,29 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     apart = wide.select("block", "id").join(rows.select("id", "n", "point", "elements"), "id").join(pivots, "block")
     apart = settle(apart.mapInArrow(_deltas(rule), "block long, id long, n long, point binary, pivot long, delta binary, linked boolean"),
                    "ngram_deltas")
-    found = found.unionAll(apart.filter("linked").select("pivot", "id"))
+    drop(rows)
+    found = found.unionAll(settle(apart.filter("linked").select("pivot", "id"), "ngram_pivot_links"))
 
     labels = components(found, "ngram_so_far").withColumnRenamed("node", "id")
     state = settle(apart.drop("linked", "pivot").join(labels, "id", "left").withColumn("known", F.coalesce("component", "id")).drop(
         "component"), "ngram_state")
+    drop(apart)
     largest = state.groupBy("block", "known").agg(F.count("*").alias("c")).groupBy("block").agg(
         F.max_by("known", F.struct("c", "known")).alias("largest"))
     loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest"), "ngram_loose")
     if not loose.limit(1).count():
+        drop(state)
         return found
-    lone, every = _paged(loose, wide_rows, "ngram_loose_pages"), _paged(
-        state.join(loose.select("block").distinct(), "block", "left_semi"), wide_rows, "ngram_all_pages")
+    lone = _paged(loose, wide_rows, "ngram_loose_pages")[0]
+    every = _paged(state.join(loose.select("block").distinct(), "block", "left_semi"), wide_rows, "ngram_all_pages")[0]
     pairs = settle(_boxes(lone).alias("p").join(_boxes(every).alias("q"), "block").filter(F.expr(_box_rule(rule))).select(
         F.col("p.page").alias("p"), F.col("q.page").alias("q"), F.xxhash64("p.page", "q.page").alias("unit")), "ngram_pairs")
     units = pairs.join(lone.select(F.col("page").alias("p"), "id"), "p").select("unit", "id", F.lit(True).alias("loose")).unionAll(
         pairs.join(every.select(F.col("page").alias("q"), "id"), "q").select("unit", "id", F.lit(False)))
     more = units.join(state.select("id", "n", "known", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
-    return found.unionAll(settle(more, "ngram_loose_links"))
+    more = settle(more, "ngram_loose_links")
+    drop(state, loose)
+    return found.unionAll(more)
 
 
 # --- the operator -----------------------------------------------------------------------
@@ -475,14 +487,18 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
 
     Words are runs of characters that are not ASCII white space, with A-Z lower-cased. A document with fewer words than ``rule.k`` has its whole sequence
     as its only run. Without words (or with null text) the set is empty, links with nothing, and the document is a component of its own.
-    Rows that share an id are one node: each has the id's component. A null id takes no part and has a null component.
-    Other columns are not read. No rows give no rows.
+    Rows that share an id are tied: each has the id's component, also where their texts differ. A null id takes no part and has a null
+    component. Other columns are not read. No rows give no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    lean(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     stored = settle(base.mapInArrow(_points(rule, False), POINTS), "ngram_points")
     points = stored.select("id", "n", "k1", "k2")
+    sides = points.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b"))
+    if sides.filter("a <> b").limit(1).count():
+        drop(stored)
+        return _join_texts(base, rule, page_rows, wide_rows).withColumnRenamed("id", id_col)
     equal = points.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("set_id"))
     sets = settle(points.join(equal, ["k1", "k2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ngram_classes")
 
@@ -490,7 +506,7 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     cells = base.mapInArrow(_cells(rule, buckets), "bucket int, keys binary, ids binary")
     ties = cells.repartition(partitions(spark), F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("ids"))) \
         .mapInArrow(_ties, "kind int, a long, b long")
-    ties = settle(ties.distinct(), "ngram_ties")
+    ties = ties_stored = settle(ties.distinct(), "ngram_ties")
     near = ties.filter(F.col("kind") == PAIR).join(stored.select(F.col("id").alias("a"), "n", F.col("point").alias("p")), "a") \
         .join(stored.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b") \
         .mapInArrow(_near(rule), "a long, b long")
@@ -506,6 +522,7 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     counted = first.groupBy("component").agg(F.count("*").alias("c")).filter("c > 1")
     blocks = settle(first.join(counted.select("component"), "component", "left_semi").select(
         F.col("node").alias("id"), F.col("component").alias("block")), "ngram_members")
+    drop(stored, ties_stored, members)
     if blocks.limit(1).count():
         found = links(base.filter("id IS NOT NULL"), rule, blocks, page_rows, wide_rows)
         reach = components(found.unionAll(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b"))), "ngram_reach")
@@ -515,6 +532,23 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "id").alias("component_id"))
 
 
+def _join_texts(base: DataFrame, rule: Rule, page_rows: int, wide_rows: int) -> DataFrame:
+    """The same where some id has several texts: texts of an id are nodes of their own (by hash) in the join, and are tied after it."""
+    coded = base.select("id", "text", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text", F.col("text").isNull())).alias("node"))
+    nodes = settle(coded.filter("node IS NOT NULL").select("id", "node").distinct(), "ngram_nodes")
+    found = settle(join_classes(coded.select("node", "text"), rule, "node", "text", page_rows, wide_rows), "ngram_texts")
+    labelled = nodes.join(found.select("node", "set_id", "component_id").distinct(), "node")
+    tied = labelled.groupBy("id").agg(F.min("component_id").alias("least")).join(labelled.select("id", "component_id"), "id")
+    reach = components(tied.select(F.col("least").alias("a"), F.col("component_id").alias("b")), "ngram_tied").select(
+        F.col("node").alias("component_id"), F.col("component").alias("joined"))
+    named = labelled.join(reach, "component_id", "left").withColumn("joined", F.coalesce("joined", "component_id"))
+    named = settle(named.select("id", "node", "set_id", "joined"), "ngram_named")
+    first = named.groupBy("joined").agg(F.min("id").alias("component_id"))
+    equal = named.groupBy("set_id").agg(F.min("id").alias("equal_id"))
+    names = named.join(first, "joined").join(equal, "set_id").select("node", "id", F.col("equal_id").alias("set_id"), "component_id")
+    return found.select("node", "n_shingles").join(names, "node", "left").select("id", "n_shingles", "set_id", "component_id")
+
+
 def without_near_copies(docs: DataFrame, rule: Rule = Rule(5, 80, 100), id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; rows with null ids stay."""
     classes = join_classes(docs, rule, id_col).select(F.col(id_col).alias("__id"), "component_id")

@@ -38,6 +38,22 @@ def test_odd_rows(spark):
     assert J.without_near_copies(cases.empty(spark)).count() == 0
 
 
+def test_texts_of_one_id_are_tied(spark):
+    """Document 2 is close to one text of document 1, document 3 to its other text; 9 has a text without words besides."""
+    def text(tag, changed=()):
+        return " ".join(f"{tag}{i}" if i not in changed else f"new{tag}{i}" for i in range(80))
+
+    data = [(1, text("a")), (1, text("b")), (2, text("a", (7,))), (3, text("b", (70,))), (4, text("c")), (9, text("c", (1,))), (9, None),
+            (9, text("c", (1,))), (None, text("a")), (5, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in J.join_classes(docs).select("doc_id", "n_shingles", "set_id", "component_id").collect()), key=str)
+    size = {t: len(cases.shingles(t, 4)) for _, t in data}
+    component = {1: 1, 2: 1, 3: 1, 4: 4, 9: 4, 5: 5, None: None}
+    assert got == sorted(((i, size[t], i, component[i]) for i, t in data), key=str)
+    left = J.without_near_copies(docs, J.Rule(4, 85, 100))
+    assert sorted({r.doc_id for r in left.collect()}, key=str) == [1, 4, 5, None]
+
+
 def test_linked_sets_share_a_cell():
     """Whatever the edits, two sets at the threshold have an equal part that both look up."""
     r = random.Random(2)
