@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import lean, return_memory, settle
+from .common import lean, settle
 from .token_files import byte_letters
 
-PACK_BYTES, SLICE_BYTES = 2 << 20, 1 << 18
-HELD_PIECES, HELD_TOKENS = 300_000, 2_000_000
+PACK_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
+HELD_PIECES, HELD_TOKENS = 400_000, 3_000_000
 
 
 # --- tokenizers -----------------------------------------------------------------
@@ -297,13 +298,18 @@ PACK = ("pack long, doc_id array<long>, n_a array<long>, n_b array<long>, n_grou
 PER_DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 
 
+HEAD = struct.Struct("<Q")
+
+
 def _planes(a: np.ndarray) -> bytes:
-    """Byte planes of numbers below 2**32: planes of small numbers compress well."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers below 2**32 as compressed byte planes: rows of packs stay short wherever they go."""
+    raw = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return HEAD.pack(raw.nbytes) + pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    raw = pa.decompress(data[HEAD.size:], HEAD.unpack_from(data)[0], "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _packed(models, pack_bytes: int):
@@ -311,7 +317,6 @@ def _packed(models, pack_bytes: int):
     names = ["pack", *PER_DOC, "pairs", "n", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return_memory()
         codec, part, seq = _codec(models), TaskContext.get().partitionId(), 0
         docs: dict[str, list] = {c: [] for c in PER_DOC}
         pairs, at, held = [], [], 0
@@ -345,6 +350,7 @@ def _packed(models, pack_bytes: int):
                     docs, pairs, at, held, seq = {c: [] for c in PER_DOC}, [], [], 0, seq + 1
         if docs["doc_id"]:
             yield flush()
+        codec.forget()  # the worker may idle through later stages
     return run
 
 
