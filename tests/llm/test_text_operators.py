@@ -63,8 +63,8 @@ def leaky():
 
 def test_blocks_of_items_follow_each_other(spark):
     """However many blocks a benchmark has, a task runs one pass and holds one block."""
-    docs = spark.createDataFrame([(i, f"x{i} " + " ".join(f"w{i}_{j}" for j in range(12))) for i in range(8)], "doc_id long, text string")
-    items = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(11))) for i in range(0, 8, 2)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x{i} " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(8)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(11))) for i in range(0, 8, 2)], "item_id long, text string")
     found = D.contaminated(docs, items, block_words=12)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert {r.doc_id: r.leak_n_hit for r in found.collect()} == {i: 11 if i % 2 == 0 else 0 for i in range(8)}
