@@ -39,7 +39,7 @@ from . import hashing
 from .common import drop, lean, partitions, return_memory, settle
 from .components import components
 
-GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 1024, 400_000, 16
+GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 2048, 400_000, 16
 
 
 @dataclass(frozen=True)
@@ -297,7 +297,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-def overlaps(left: list[bytes], right: list[bytes] | None = None, columns: int = 1024) -> np.ndarray:
+def overlaps(left: list[bytes], right: list[bytes] | None = None, columns: int = 1024, kind=np.int64) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, as a product of incidence matrices: dense, some columns at a
     time, or sparse, where few sets share an element."""
     rows = len(left)
@@ -333,13 +333,13 @@ def overlaps(left: list[bytes], right: list[bytes] | None = None, columns: int =
             i = np.repeat(owner[at_left], many_of)
             j = owner[np.repeat(np.repeat(start[some], f), many_of) + within] - shift
             np.add.at(flat, i * m + j, 1)
-        return out.astype(np.int64)
+        return out.astype(kind)
     for low in range(0, width, columns):
         x, y = begin[low], begin[min(low + columns, width)]
         block = np.zeros((len(sets), columns), np.float32)
         block[owner[x:y], at[x:y] - low] = 1
         out += block[:rows] @ (block if right is None else block[rows:]).T
-    return out.astype(np.int64)
+    return out.astype(kind)
 
 
 def links_within(rule: Rule, ids, n, points, elements, known) -> list[tuple[int, int]]:
@@ -412,12 +412,15 @@ def _join_deltas(rule: Rule):
         loose, other = (frame[frame["loose"] == side].drop_duplicates("id").sort_values("id") for side in (True, False))
         out = []
         if len(loose) and len(other):
-            size = [np.array([len(d) // 8 for d in f["delta"]]) for f in (loose, other)]
-            differ = size[0][:, None] + size[1][None, :] - 2 * overlaps(loose["delta"].tolist(), other["delta"].tolist())
-            total = loose["n"].to_numpy()[:, None] + other["n"].to_numpy()[None, :]
-            shared = (total - differ) // 2
+            n = [f["n"].to_numpy() for f in (loose, other)]
+            kind = np.int32 if rule.den * (int(n[0].max()) + int(n[1].max())) < 1 << 31 else np.int64
+            n = [x.astype(kind) for x in n]
+            size = [np.array([len(d) // 8 for d in f["delta"]], kind) for f in (loose, other)]
+            shared = ((n[0] - size[0])[:, None] + (n[1] - size[1])[None, :]) // 2  # two sets differ where their deltas do
+            shared += overlaps(loose["delta"].tolist(), other["delta"].tolist(), kind=kind)
+            linked = rule.den * shared >= rule.num * (n[0][:, None] + n[1][None, :] - shared)
             a, b = loose["known"].to_numpy(), other["known"].to_numpy()
-            linked = (rule.den * shared >= rule.num * (total - shared)) & (a[:, None] != b[None, :])
+            linked &= a[:, None] != b[None, :]
             seen = set()
             for i, j in zip(*np.nonzero(linked)):
                 if (pair := (a[i], b[j])) not in seen:  # one link ties two classes
