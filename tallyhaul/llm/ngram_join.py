@@ -40,6 +40,8 @@ from .common import drop, lean, partitions, return_memory, settle
 from .components import components
 
 GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 2048, 400_000, 16
+#: Rows of numbers, and bytes of pivots, that are sent to all tasks at most.
+BESIDE_ROWS, BESIDE_BYTES = 1_000_000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -436,13 +438,19 @@ def _box_rule(rule: Rule) -> str:
     return f"{summed} * {rule.num + rule.den} >= {rule.num} * (p.least + q.least)"
 
 
+def _beside(ids: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, to be joined with whole sets: sent to all tasks as long as it is small, so that sets are not
+    shuffled for it. Beyond that the planner shuffles both."""
+    return F.broadcast(ids) if ids.limit(BESIDE_ROWS + 1).count() <= BESIDE_ROWS else ids
+
+
 def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_ROWS, wide_rows: int = WIDE_ROWS) -> DataFrame:
     """(a, b): true links that connect all that links connect, and loops. ``docs`` (id, text) are class representatives of ``blocks`` (id, block)."""
     members = docs.join(blocks.select("id"), "id", "left_semi")
     rows = settle(members.mapInArrow(_points(rule, True), POINTS + ", elements binary"), "ngram_sets")
     pages, placed = _paged(rows.select("id", "n", "point").join(blocks, "id"), page_rows, "ngram_pages")
-    pages = pages.select("block", "page", "id")
-    own = pages.select("page", "id").join(rows.select("id", "n", "point", "elements"), "id")
+    pages = settle(pages.select("block", "page", "id"), "ngram_page_ids")
+    own = _beside(pages.select("page", "id")).join(rows.select("id", "n", "point", "elements"), "id")
     found = settle(own.groupBy("page").applyInPandas(_join_pages(rule), "a long, b long"), "ngram_links")
     sizes = pages.groupBy("block").agg(F.countDistinct("page").alias("pages")).filter("pages > 1")
     wide = settle(pages.join(sizes.select("block"), "block", "left_semi").select("block", "page", "id"), "ngram_wide")
@@ -453,8 +461,10 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
 
     central = found.filter("a = b").select(F.col("a").alias("id")).join(wide, "id")
     pivots = central.groupBy("block").agg(F.min_by("id", F.struct("page", "id")).alias("pivot"))
-    pivots = pivots.join(rows.select(F.col("id").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot")
-    apart = wide.select("block", "id").join(rows.select("id", "n", "point", "elements"), "id").join(pivots, "block")
+    pivots = settle(_beside(pivots).join(rows.select(F.col("id").alias("pivot"), F.col("elements").alias("pivot_elements")), "pivot"), "ngram_pivots")
+    weight = pivots.agg(F.sum(F.octet_length("pivot_elements"))).first()[0] or 0
+    apart = _beside(wide.select("block", "id")).join(rows.select("id", "n", "point", "elements"), "id").join(
+        F.broadcast(pivots) if weight <= BESIDE_BYTES else pivots, "block")
     apart = settle(apart.mapInArrow(_deltas(rule), "block long, id long, n long, point binary, pivot long, delta binary, linked boolean"),
                    "ngram_deltas")
     drop(rows)
