@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def drop(*stored: DataFrame) -> None:
             storage.remove(df.sparkSession, folder)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of ended queries go when the driver's garbage is collected; ask for that between large steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

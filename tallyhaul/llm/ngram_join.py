@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import hashing
-from .common import drop, lean, partitions, return_memory, settle
+from .common import drop, free_shuffles, lean, partitions, return_memory, settle
 from .components import components
 
 GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 2048, 400_000, 16
@@ -455,6 +455,7 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     sizes = pages.groupBy("block").agg(F.countDistinct("page").alias("pages")).filter("pages > 1")
     wide = settle(pages.join(sizes.select("block"), "block", "left_semi").select("block", "page", "id"), "ngram_wide")
     drop(placed)
+    free_shuffles(docs.sparkSession)
     if not wide.limit(1).count():
         drop(rows)
         return found
@@ -468,6 +469,7 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     apart = settle(apart.mapInArrow(_deltas(rule), "block long, id long, n long, point binary, pivot long, delta binary, linked boolean"),
                    "ngram_deltas")
     drop(rows)
+    free_shuffles(docs.sparkSession)
     found = found.unionAll(settle(apart.filter("linked").select("pivot", "id"), "ngram_pivot_links"))
 
     labels = components(found, "ngram_so_far").withColumnRenamed("node", "id")
@@ -476,7 +478,7 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     drop(apart)
     largest = state.groupBy("block", "known").agg(F.count("*").alias("c")).groupBy("block").agg(
         F.max_by("known", F.struct("c", "known")).alias("largest"))
-    loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest"), "ngram_loose")
+    loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest", "delta"), "ngram_loose")
     if not loose.limit(1).count():
         drop(state)
         return found
@@ -486,7 +488,9 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
         F.col("p.page").alias("p"), F.col("q.page").alias("q"), F.xxhash64("p.page", "q.page").alias("unit")), "ngram_pairs")
     units = pairs.join(lone.select(F.col("page").alias("p"), "id"), "p").select("unit", "id", F.lit(True).alias("loose")).unionAll(
         pairs.join(every.select(F.col("page").alias("q"), "id"), "q").select("unit", "id", F.lit(False)))
-    more = units.join(state.select("id", "n", "known", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
+    units = settle(units, "ngram_units")
+    free_shuffles(docs.sparkSession)
+    more = _beside(units).join(state.select("id", "n", "known", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
     more = settle(more, "ngram_loose_links")
     drop(state, loose)
     return found.unionAll(more)
@@ -536,6 +540,7 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     blocks = settle(first.join(counted.select("component"), "component", "left_semi").select(
         F.col("node").alias("id"), F.col("component").alias("block")), "ngram_members")
     drop(stored, ties_stored, members)
+    free_shuffles(spark)
     if blocks.limit(1).count():
         found = links(base.filter("id IS NOT NULL"), rule, blocks, page_rows, wide_rows)
         reach = components(found.unionAll(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b"))), "ngram_reach")
