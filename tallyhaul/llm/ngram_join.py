@@ -4,14 +4,16 @@ A document is its set of word runs, as 64-bit hashes. Hashed into ``GROUPS`` gro
 becomes a point of counts, and the sum of coordinate minima of two points bounds their overlap.
 
 1. Points: one scan gives each document its set size, set key (128 bits) and point. Equal sets are one class from
-   here on, by their smallest document.
+   here on, by their smallest document. Long documents have finer points, whose groups add up to coarser ones: about four elements or less
+   are in a group, as the minima of fuller groups would leave room for a link between any two texts of that length.
 2. Cells: the space of sets is cut into parts by hash range. Two sets that link differ in at most H places (a bound
    from their size class), so of H + 1 + e + g parts at least 1 + e + g are equal in both. A part is a point of its own, and equal
    parts are found by an exact lookup, in cells. Empty parts are looked up only by documents with more than e of them. All pairs of a
    small cell meet once and stay tied if the summed minima of their points leave room for a link. Cells of more than ``SMALL``
-   documents come from common passages or from large groups of near copies; they tie their documents (all to the smallest)
-   only if those lie in more than g such cells, for any other pair also meets in a small cell. A task with a large cell passes on
-   one document for it. Ties make blocks that hold every link.
+   documents come from common passages or from large groups of near copies. A pair that meets in no small cell shares more than g large
+   ones of a size class, so a document may leave its g most crowded ones out (they are in one order for all), and mostly has none left.
+   Where documents are left in a cell, those tie whose summed minima leave room for a link; more than ``CROWD`` are all tied to the
+   smallest. A task with a large cell passes on one document for it. Ties make blocks that hold every link.
 3. Pages: documents of blocks are range-sorted by (block, size, point) and cut into leaf pages by rank, so a block of any size
    is spread over tasks. Pages have bounding boxes. Pages meet only where the summed minima of their upper corners leave room for a link.
 4. Links: in a page the summed minima bound all pairs of documents at once, and pairs that survive are
@@ -39,7 +41,7 @@ from . import hashing
 from .common import drop, free_shuffles, lean, partitions, return_memory, settle
 from .components import components
 
-GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL = 64, 256, 2048, 400_000, 16
+GROUPS, PAGE_ROWS, WIDE_ROWS, FLUSH_ROWS, SMALL, CROWD = 64, 256, 2048, 400_000, 16, 1024
 #: Rows of numbers, and bytes of pivots, that are sent to all tasks at most.
 BESIDE_ROWS, BESIDE_BYTES = 1_000_000, 16 << 20
 
@@ -72,6 +74,28 @@ class Rule:
 
 # --- points -------------------------------------------------------------------------
 
+def groups_of(n: int) -> int:
+    """Groups of the point of a set of ``n`` elements: a power of two."""
+    return max(GROUPS, 1 << (int(n) // 4).bit_length())
+
+
+def fine_point(mixed: np.ndarray) -> bytes:
+    """Counts of the groups of a set, a byte each if they fit."""
+    groups = groups_of(len(mixed))
+    counts = np.bincount((mixed & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max() < 256 else "<i4").tobytes()
+
+
+def folded(points: list[bytes], own: np.ndarray, groups: int) -> np.ndarray:
+    """Points of ``own`` groups each, added up to ``groups``."""
+    out, length = np.zeros((len(points), groups), np.int32), np.array([len(p) for p in points])
+    for g, size in set(zip(own.tolist(), length.tolist())):
+        at = np.flatnonzero((own == g) & (length == size))
+        raw = np.frombuffer(b"".join([points[i] for i in at]), "u1" if size == g else "<i4")
+        out[at] = raw.reshape(len(at), g // groups, groups).sum(1)
+    return out
+
+
 def _id_column(values) -> pa.Array:
     return values.cast(pa.int64())
 
@@ -81,26 +105,30 @@ def _points(rule: Rule, with_sets: bool):
         return_memory()
         for batch in batches:
             found = hashing.words(batch.column("text"), hashing.NOT_BLANK)
-            n, k1, k2, points, sets, budget = [], [], [], [], [], []
+            n, k1, k2, points, sets, budgets = [], [], [], [], [], []
             for s in hashing.shingle_sets(found, rule.k):
                 n.append(len(s))
                 mixed = hashing.mix(s)
                 k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
                 at, bounds = rule.classes(len(s))
-                budget.append(spare(rule.differ(bounds[at]))[1])
-                points.append(np.bincount((mixed & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
+                own, later = (spare(rule.differ(b))[1] for b in bounds[at:at + 2])
+                budgets.append((later, own) if at & 1 else (own, later))
                 if with_sets:
+                    points.append(np.bincount((mixed & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
                     sets.append(s.tobytes())
+                else:
+                    points.append(fine_point(mixed))
             columns = {"id": _id_column(batch.column("id")), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()),
-                       "k2": pa.array(k2, pa.int64()), "budget": pa.array(budget, pa.int64()), "point": pa.array(points, pa.binary())}
+                       "k2": pa.array(k2, pa.int64()), "even": pa.array([b[0] for b in budgets], pa.int64()), "odd": pa.array([b[1] for b in budgets], pa.int64()), "point": pa.array(points, pa.binary())}
             if with_sets:
                 columns["elements"] = pa.array(sets, pa.binary())
             yield pa.record_batch(columns)
     return run
 
 
-POINTS = "id long, n long, k1 long, k2 long, budget long, point binary"
+#: even, odd: how many large cells a document may lie in, for its size class and the next one, by the last bit of the class and of the cell's key.
+POINTS = "id long, n long, k1 long, k2 long, even long, odd long, point binary"
 
 
 # --- cells ----------------------------------------------------------------------------
@@ -111,7 +139,7 @@ def spare(most: int) -> tuple[int, int]:
 
 
 def parts_of(rule: Rule, s: np.ndarray, class_no: int, upper: int) -> np.ndarray:
-    """Lookup keys of the parts of the sorted set ``s``, for pairs whose larger set is in that size class."""
+    """Lookup keys of the parts of the sorted set ``s``, for pairs whose larger set is in that size class; its last bit is theirs."""
     most = rule.differ(upper)
     if not most:
         return s[:0]  # only equal sets link here, and those are one class already
@@ -127,7 +155,7 @@ def parts_of(rule: Rule, s: np.ndarray, class_no: int, upper: int) -> np.ndarray
         if many - len(begins) > empties:  # empty parts may be all that it shares
             empty = np.setdiff1d(np.arange(many, dtype=np.uint64), part[begins]) + np.uint64(class_no << 40)
             keys = np.r_[keys, hashing.mix(hashing.mix(empty * np.uint64(0x9FB21C651E98DF25)))]
-    return keys
+    return keys & ~np.uint64(1) | np.uint64(class_no & 1)
 
 
 def _sorted_runs(keys: np.ndarray, ids: np.ndarray):
@@ -241,18 +269,60 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(MEMBER, keys, ids)
 
 
-def _stacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), GROUPS)
-
-
 def _near(rule: Rule):
     """Pairs whose summed coordinate minima reach the overlap that a link needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.minimum(_stacked(batch.column("p")), _stacked(batch.column("q"))).sum(1)
-            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            keep = pa.array(bound >= rule.need(total))
-            yield batch.select(["a", "b"]).filter(keep)
+            p, q, n, m = batch.column("p").to_pylist(), batch.column("q").to_pylist(), batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            own, other = (np.array([groups_of(x) for x in sizes], np.int64) for sizes in (n, m))
+            common, bound = np.minimum(own, other), np.zeros(len(n), np.int64)
+            for groups in np.unique(common).tolist():
+                at = np.flatnonzero(common == groups)
+                bound[at] = np.minimum(folded([p[i] for i in at], own[at], groups), folded([q[i] for i in at], other[at], groups)).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(bound >= rule.need(n + m)))
+    return run
+
+
+def spanning(rule: Rule, n: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places that connect all documents of a cell whose summed minima leave room for a link."""
+    out, left = [], np.arange(len(n))
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            room = np.minimum(points[left], points[i]).sum(1) >= rule.need(n[left] + n[i])
+            out += [(i, int(j)) for j in left[room]]
+            front += left[room].tolist()
+            left = left[~room]
+    return out
+
+
+def _crowds(rule: Rule):
+    """Ties of documents that are left in large cells, from rows in order of cells; a cell is at most ``CROWD`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ties(rows: pa.Table):
+            cell, ids, n = (rows.column(c).to_numpy() for c in ("cell", "id", "n"))
+            points, own = rows.column("point").to_pylist(), np.array([groups_of(x) for x in n], np.int64)
+            begins, found = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), []
+            for x, y in zip(begins, np.r_[begins[1:], len(cell)]):
+                pairs = spanning(rule, n[x:y], folded(points[x:y], own[x:y], int(own[x:y].min())))
+                found += [(ids[x + i], ids[x + j]) for i, j in pairs]
+            found = np.array(found, np.int64).reshape(-1, 2)
+            return pa.record_batch({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            cell = batch.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if cut or held[0].column("cell")[0].as_py() != cell[-1]:
+                yield ties(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+        if held:
+            yield ties(pa.Table.from_batches(held))
     return run
 
 
@@ -473,14 +543,13 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
     found = found.unionAll(settle(apart.filter("linked").select("pivot", "id"), "ngram_pivot_links"))
 
     labels = components(found, "ngram_so_far").withColumnRenamed("node", "id")
-    state = settle(apart.drop("linked", "pivot").join(labels, "id", "left").withColumn("known", F.coalesce("component", "id")).drop(
+    state = settle(apart.drop("linked", "pivot", "delta").join(labels, "id", "left").withColumn("known", F.coalesce("component", "id")).drop(
         "component"), "ngram_state")
-    drop(apart)
     largest = state.groupBy("block", "known").agg(F.count("*").alias("c")).groupBy("block").agg(
         F.max_by("known", F.struct("c", "known")).alias("largest"))
-    loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest", "delta"), "ngram_loose")
+    loose = settle(state.join(largest, "block").filter("known <> largest").drop("largest"), "ngram_loose")
     if not loose.limit(1).count():
-        drop(state)
+        drop(state, apart)
         return found
     lone = _paged(loose, wide_rows, "ngram_loose_pages")[0]
     every = _paged(state.join(loose.select("block").distinct(), "block", "left_semi"), wide_rows, "ngram_all_pages")[0]
@@ -488,11 +557,11 @@ def links(docs: DataFrame, rule: Rule, blocks: DataFrame, page_rows: int = PAGE_
         F.col("p.page").alias("p"), F.col("q.page").alias("q"), F.xxhash64("p.page", "q.page").alias("unit")), "ngram_pairs")
     units = pairs.join(lone.select(F.col("page").alias("p"), "id"), "p").select("unit", "id", F.lit(True).alias("loose")).unionAll(
         pairs.join(every.select(F.col("page").alias("q"), "id"), "q").select("unit", "id", F.lit(False)))
-    units = settle(units, "ngram_units")
+    units = settle(units.join(state.select("id", "known"), "id"), "ngram_units")
     free_shuffles(docs.sparkSession)
-    more = _beside(units).join(state.select("id", "n", "known", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
+    more = _beside(units).join(apart.select("id", "n", "delta"), "id").groupBy("unit").applyInPandas(_join_deltas(rule), "a long, b long")
     more = settle(more, "ngram_loose_links")
-    drop(state, loose)
+    drop(state, loose, apart)
     return found.unionAll(more)
 
 
@@ -528,11 +597,21 @@ def join_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
         .join(stored.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b") \
         .mapInArrow(_near(rule), "a long, b long")
     members = ties.filter(F.col("kind") == MEMBER).select(F.col("a").alias("cell"), F.col("b").alias("id"))
-    over = members.groupBy("id").count().join(stored.select("id", "budget"), "id").filter("count > budget").select("id").distinct()
-    members = settle(members.join(over, "id"), "ngram_large")
-    least = members.groupBy("cell").agg(F.min("id").alias("a"))
-    large = members.join(least, "cell").select("a", F.col("id").alias("b"))
-    ties = ties.filter(F.col("kind") == TWINS).select("a", "b").unionAll(near).unionAll(large)
+    crowd = members.groupBy("cell").agg(F.count("*").alias("crowd"))
+    budgets = stored.filter("n > 0 AND id IS NOT NULL").select("id", "even", "odd").distinct()
+    odd = F.col("cell").bitwiseAND(1)
+    most_crowded = W.partitionBy("id", odd).orderBy(F.desc("crowd"), "cell")
+    members = members.join(crowd, "cell").withColumn("place", F.row_number().over(most_crowded)).join(budgets, "id").filter(
+        F.col("place") > F.when(odd == 1, F.col("odd")).otherwise(F.col("even"))).select("cell", "id")
+    members = settle(members, "ngram_large")
+    left = members.groupBy("cell").agg(F.count("*").alias("left"), F.min("id").alias("a"))
+    members = members.join(left.filter("left > 1"), "cell")
+    some = members.filter(F.col("left") <= CROWD).select("cell", "id").join(
+        stored.filter("id IS NOT NULL").select("id", "n", "point").distinct(), "id")
+    crowds = some.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "id").select("cell", "id", "n", "point").mapInArrow(
+        _crowds(rule), "a long, b long")
+    large = members.filter(F.col("left") > CROWD).select("a", F.col("id").alias("b"))
+    ties = ties.filter(F.col("kind") == TWINS).select("a", "b").unionAll(near).unionAll(crowds).unionAll(large)
     twins = sets.filter("id <> set_id").select(F.col("id"), F.col("set_id"))
     tied = components(ties.unionAll(twins.select(F.col("set_id").alias("a"), F.col("id").alias("b"))), "ngram_blocks")
     first = tied.join(sets.filter("id = set_id").select(F.col("id").alias("node")).distinct(), "node", "left_semi")
