@@ -54,6 +54,66 @@ def test_texts_of_one_id_are_tied(spark):
     assert sorted({r.doc_id for r in left.collect()}, key=str) == [1, 4, 5, None]
 
 
+def passages(seed):
+    """Texts that consist of common passages by a tenth to all of their words, and near copies of some."""
+    r = random.Random(seed)
+    common = [[f"c{p}x{i}" for i in range(300)] for p in range(3)]
+    data = []
+    for i in range(120):
+        words = list(common[i % 3][: r.choice([60, 300])])
+        words += [f"d{i}x{j}" for j in range(int(len(words) * r.choice([0, 0.02, 0.1, 0.2, 0.4, 1, 9])))]
+        data.append((2 * i, " ".join(words)))
+        if r.random() < 0.5:
+            for at in r.sample(range(len(words)), r.choice([1, len(words) // 60])):
+                words[at] = f"e{i}x{at}"
+            data.append((2 * i + 1, " ".join(words)))
+    return data
+
+
+@pytest.mark.parametrize("rule,crowd", [(J.Rule(5, 80, 100), 1024), (J.Rule(5, 80, 100), 20), (J.Rule(4, 85, 100), 20)])
+def test_common_passages_against_all_pairs(spark, monkeypatch, rule, crowd):
+    monkeypatch.setattr(J, "CROWD", crowd)
+    data = passages(crowd)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join_classes(docs, rule, page_rows=16, wide_rows=32).collect()}
+    assert got == cases.linked(data, rule.k, rule.num, rule.den)
+
+
+def test_points_add_up():
+    """A folded point is the coarser point; its summed minima are never below the overlap."""
+    r = np.random.default_rng(3)
+    sets = [hashing.mix(r.integers(0, 1 << 60, n).astype(np.uint64)) for n in (1, 200, 256, 1000, 5000)]
+    sets.append(np.r_[sets[-1][:4000], hashing.mix(r.integers(0, 1 << 60, 900).astype(np.uint64))])
+    sets.append(np.full(600, 7, np.uint64))  # one group holds more than a byte does
+    own = np.array([J.groups_of(len(s)) for s in sets])
+    for groups in (64, 128):
+        at = np.flatnonzero(own >= groups)
+        got = J.folded([J.fine_point(sets[i]) for i in at], own[at], groups)
+        for i, point in zip(at, got):
+            assert point.tolist() == np.bincount((sets[i] % groups).astype(int), minlength=groups).tolist()
+    points = J.folded([J.fine_point(s) for s in sets[4:6]], own[4:6], int(own[4:6].min()))
+    assert 4000 <= np.minimum(*points).sum() < 4500
+
+
+def test_spanning_connects_what_has_room():
+    """Same classes as all pairs of a cell, with fewer pairs than documents."""
+    r, rule = np.random.default_rng(5), J.Rule(5, 80, 100)
+    points = np.repeat(r.integers(0, 6, (9, 64)), 7, axis=0)
+    points[np.arange(63), r.integers(0, 64, 63)] += 3
+    n = points.sum(1)
+    ties = J.spanning(rule, n, points)
+    room = np.stack([np.minimum(points, p).sum(1) for p in points]) >= rule.need(n[:, None] + n[None, :])
+
+    def classes(pairs):
+        root = list(range(63))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert len(ties) < 63 and classes(ties) == classes(zip(*np.nonzero(room)))
+
+
 def test_linked_sets_share_a_cell():
     """Whatever the edits, two sets at the threshold have an equal part that both look up."""
     r = random.Random(2)
