@@ -4,8 +4,9 @@ Two kinds of row hash serve two needs:
 
 * ``row_hash`` is ``xxhash64`` over the typed columns. It builds text for maps, variants and structs only, so
   it is the one used wherever Spark reads both sides.
-* ``portable_hash`` is md5 over a canonical text of the row. Any engine with md5
-  can recompute it, so a fingerprint can be compared with one taken elsewhere.
+* ``portable_hash`` is md5 over a canonical text of the row, so a fingerprint can be compared with one taken by
+  another engine that has md5. Engines print doubles each in their own way (1.0E7, 1e+07): ``"md5"`` takes
+  Spark's text of a double, ``"md5_portable"`` takes ``portable_double``, which every engine can write.
 
 A fingerprint is the *sum* of the row hashes, so it needs no order and one small
 aggregate, and equal rows add up instead of cancelling (as they would in xor).
@@ -71,23 +72,49 @@ def value_text(col: str, dtype: T.DataType) -> str:
     return f"cast({col} AS string)"
 
 
-def row_text_sql(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> str:
+#: Doubles below this size that are whole in the fourth decimal are exact in 15 digits, and print as decimals.
+FIXED_BELOW = 100_000_000_000
+
+
+def portable_double(col: str) -> str:
+    """SQL for a text of a float or double that does not depend on the engine's printing.
+
+    With four decimals (``12.5000``) where that reads back as the same number, else exact in hex as C's ``%a`` without
+    the plus sign (``0x1.8p40``). Both zeros are ``0.0000``; then there are ``NaN``, ``Infinity`` and ``-Infinity``.
+    """
+    x = f"cast({col} AS double)"
+    fixed = f"cast(if(abs({x}) < {FIXED_BELOW}D, {x}, NULL) AS decimal(18,4))"
+    exact = f"replace(format_string('%a', {x}), '.0p', 'p')"
+    return (f"CASE WHEN {col} IS NULL THEN NULL WHEN isnan({x}) THEN 'NaN' "
+            f"WHEN abs({x}) = double('Infinity') THEN if({x} > 0D, 'Infinity', '-Infinity') "
+            f"WHEN cast({fixed} AS double) = {x} THEN cast({fixed} AS string) ELSE {exact} END")
+
+
+def row_text_sql(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = (),
+                 portable: bool = False) -> str:
     """Columns joined by ``|``; NULL is ``\\N``; ``\\`` and ``|`` inside text are escaped.
 
-    ``json_columns`` are JSON text whose key order and spacing must not count.
+    ``json_columns`` are JSON text whose key order and spacing must not count. With ``portable``, top-level floats and
+    doubles are written as ``portable_double`` does.
     """
     types, json_columns, parts = _types(df), set(json_columns), []
     for name in columns or df.columns:
         col = sql_name(name)
-        text = json_text(col) if name in json_columns else value_text(col, types[name])
+        if name in json_columns:
+            text = json_text(col)
+        elif portable and isinstance(types[name], (T.FloatType, T.DoubleType)):
+            text = portable_double(col)
+        else:
+            text = value_text(col, types[name])
         if isinstance(types[name], (T.StringType, *_COMPLEX)):
             text = rf"replace(replace({text}, r'\', r'\\'), '|', r'\|')"
         parts.append(rf"coalesce({text}, r'\N')")
     return f"concat_ws('|', {', '.join(parts)})"
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = ()) -> Column:
-    return F.expr(row_text_sql(df, columns, json_columns))
+def row_text(df: DataFrame, columns: Sequence[str] | None = None, json_columns: Iterable[str] = (),
+             portable: bool = False) -> Column:
+    return F.expr(row_text_sql(df, columns, json_columns, portable))
 
 
 def _flat_array(dtype: T.DataType) -> bool:
@@ -132,8 +159,9 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, algorithm:
                 by: Sequence[str] = (), json_columns: Iterable[str] = ()) -> DataFrame:
     """``(by…, row_count, fingerprint)``: one map-side aggregate, no sort, whatever the row order."""
     columns = list(columns or df.columns)
-    if algorithm == "md5":
-        hashed = df.select(*by, portable_hash(row_text(df, columns, json_columns)).alias("_h"))
+    if algorithm in ("md5", "md5_portable"):
+        text = row_text(df, columns, json_columns, portable=algorithm == "md5_portable")
+        hashed = df.select(*by, portable_hash(text).alias("_h"))
     elif algorithm == "xxhash64":
         hashed = df.select(*by, row_hash(df, columns, json_columns).alias("_h"))
     else:

@@ -103,9 +103,12 @@ def verify_table(pair: TablePair) -> DataFrame:
 
 def pairs_of_plan(plan: DataFrame, tables: dict[str, tuple[DataFrame, DataFrame]], keys: dict[str, tuple[str, ...]] | None = None,
                   sample_rows: int = SAMPLE_ROWS) -> list[TablePair]:
-    """Pairs for the tables of a readiness report (one row per table), as deep as its ``depth`` asks for."""
+    """Pairs for the tables of a readiness report (one row per table), as deep as its ``depth`` asks for.
+
+    Every depth but a plain count compares all rows: the sample of a small or risky table comes on top of its fingerprint,
+    as the first rows alone say nothing of the others."""
     return [TablePair(r["table_name"], *tables[r["table_name"]], keys=tuple((keys or {}).get(r["table_name"], ())),
-                      sample=r["depth"] == "rowcount_and_sample_hash", content=r["depth"] == "rowcount_and_fingerprint",
+                      sample=r["depth"] == "rowcount_and_sample_hash", content=r["depth"] != "rowcount",
                       sample_rows=sample_rows)
             for r in plan.select("table_name", "depth").orderBy("table_name").collect() if r["table_name"] in tables]
 
@@ -175,8 +178,8 @@ def verify_keys(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame
 
 def verification_depth(rows: Column, risk: Column | None = None, small_table: int = 100_000,
                        high_risk: int = 60, large: str = "rowcount_and_fingerprint") -> Column:
-    """Sample hashes for small or risky tables. The others are compared whole, which costs one scan at any size;
-    ``large="rowcount"`` gives plans that count them only."""
+    """Sample hashes for small or risky tables, beside the fingerprint that all of them get (``pairs_of_plan``);
+    it costs one scan at any size. ``large="rowcount"`` gives plans that count large tables of low risk only."""
     deep = F.coalesce(rows, F.lit(0)) <= small_table
     if risk is not None:
         deep = deep | (risk >= high_risk)

@@ -35,6 +35,14 @@ SCHEMAS = {
     "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 
+def _double_text(x: str) -> str:
+    """Four decimals where they are the same number, else hex digits; NULL is a backslash and N."""
+    x = f"CAST({x} AS DOUBLE)"
+    fixed = f"CAST(CASE WHEN abs({x}) < 1e11 THEN {x} END AS DECIMAL(18,4))"
+    return (f"CASE WHEN {x} IS NULL THEN '\\N' WHEN CAST({fixed} AS DOUBLE) = {x} THEN CAST({fixed} AS VARCHAR) "
+            f"ELSE replace(format('{{:a}}', {x}), 'p+', 'p') END")
+
+
 PRICE_BUMP = "CASE WHEN o_orderkey % 101 = 0 THEN o_totalprice + 1 ELSE o_totalprice END"
 FAULTY_ORDERS = f"""(SELECT o_orderkey, o_custkey, o_orderstatus, {PRICE_BUMP} AS o_totalprice, o_orderdate, o_orderpriority
   FROM orders WHERE o_orderkey % 97 <> 0
@@ -286,6 +294,12 @@ ORACLE_SQL = {
     "route_list_hash_orders": """SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' OR o_orderstatus IS NULL THEN 'open'
         ELSE 'rest' END AS child, count(*) AS row_count, count(*) AS hashed_rows, CAST(0 AS BIGINT) AS split_keys FROM orders GROUP BY 1""",
     "clustered_ranges_lineitem": "SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS overlapping_files FROM lineitem",
+    "hilbert_lineitem": """SELECT unnest(['l_shipdate', 'l_partkey']) AS column_name, count(*) AS row_count,
+        unnest([false, true]) AS fewer_overlaps FROM lineitem""",
+    "fingerprint_doubles_lineitem": f"""SELECT l_returnflag, count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', l_returnflag,
+        CAST(l_orderkey AS VARCHAR), {', '.join(map(_double_text, ('l_extendedprice', 'l_extendedprice * 1e9', '-l_discount / 777', 'l_tax * 1e-30',
+                                                                   'CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity / 3 END')))}
+        )), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM lineitem GROUP BY 1""",
     "fingerprint_lineitem": """SELECT l_linestatus, count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR),
         replace(replace(l_linestatus, '\\', '\\\\'), '|', '\\|'), CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR),
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(l_shipdate AS VARCHAR))), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import canonical, text
 from .operators import (
-    compare, copy, discovery, iblt, incremental, integrity, keys, layout, merkle, profile, relational, verify, views)
+    compare, copy, discovery, hilbert, iblt, incremental, integrity, keys, layout, merkle, profile, relational, verify, views)
 from .plans import catalog, drift, readiness, runs
 from .session import side_by_side
 from .sources import csvfiles, seed, storage, tables
@@ -340,6 +340,14 @@ def fingerprint_lineitem(spark, d):
     return canonical.fingerprint(lineitem, algorithm="md5", by=["l_linestatus"])
 
 
+def fingerprint_doubles_lineitem(spark, d):
+    """Portable fingerprints of raw doubles, some far above 1e7, some below 1e-3, some negative, zero or NULL."""
+    lineitem = load(spark, d, "lineitem").selectExpr(
+        "l_returnflag", "l_orderkey", "l_extendedprice", "l_extendedprice * 1e9D AS large", "-l_discount / 777D AS small",
+        "l_tax * 1e-30D AS tiny", "if(l_linenumber = 3, NULL, l_quantity / 3D) AS third")
+    return canonical.fingerprint(lineitem, algorithm="md5_portable", by=["l_returnflag"])
+
+
 def verify_tables(spark, d):
     return verify.verify_tables(_pairs(spark, d)).drop("source_sample_hash", "target_sample_hash")
 
@@ -487,6 +495,17 @@ def clustered_lineitem(spark, d):
     return spark.read.parquet(path).groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def hilbert_lineitem(spark, d):
+    """Files along a Hilbert curve beside files sorted by (l_shipdate, l_partkey): for which column fewer pairs of files overlap."""
+    base, columns = storage.scratch(spark, "hilbert_lineitem"), ["l_shipdate", "l_partkey"]
+    files = storage.files_for(spark, f"{d}/lineitem.parquet", at_least=16)
+    hilbert.write_hilbert(load(spark, d, "lineitem"), f"{base}/curve", columns, files, layout.file_position())
+    layout.write_clustered(load(spark, d, "lineitem"), f"{base}/sorted", columns, files, layout.file_position())
+    curve, by_sort = (hilbert.overlaps(spark.read.parquet(f"{base}/{name}"), columns) for name in ("curve", "sorted"))
+    return curve.join(by_sort.withColumnsRenamed({"overlapping_pairs": "sorted_pairs"}).drop("row_count", "files"), "column_name").selectExpr(
+        "column_name", "row_count", "overlapping_pairs < sorted_pairs AS fewer_overlaps")
+
+
 def clustered_ranges_lineitem(spark, d):
     """How many rows the clustered files hold, and how many files begin before an earlier one ends (none)."""
     path = storage.scratch(spark, "clustered_ranges") + "/lineitem"
@@ -665,5 +684,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     run_summary_events, largest_first, stream_copy_events, stream_mv_events, stream_dedupe_events,
     chunked_copy_content_lineitem, partition_copy_content_orders, route_open_orders, route_list_hash_orders,
     clustered_ranges_lineitem, catalog_declared_columns, fingerprint_lineitem, run_report_events, iblt_diff_orders, merkle_diff_lineitem, key_candidates,
-    fk_candidates, ivm_star_lineitem)}
+    fk_candidates, ivm_star_lineitem, hilbert_lineitem, fingerprint_doubles_lineitem)}
 QUERIES["readiness"] = readiness_report

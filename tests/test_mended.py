@@ -107,7 +107,7 @@ def test_depth_of_a_plan_is_acted_on(spark):
                                  "table_name string, depth string")
     pairs = verify.pairs_of_plan(plan, {n: (df, df) for n in "abc"}, {"a": ("id",)}, sample_rows=7)
     assert [(p.name, p.sample, p.content, p.keys, p.sample_rows) for p in pairs] == [
-        ("a", True, False, ("id",), 7), ("b", False, True, (), 7), ("c", False, False, (), 7)]
+        ("a", True, True, ("id",), 7), ("b", False, True, (), 7), ("c", False, False, (), 7)]
     depth = spark.createDataFrame([(5,), (10**7,), (None,)], "n bigint").select(verify.verification_depth(F.col("n")))
     assert [r[0] for r in depth.collect()] == ["rowcount_and_sample_hash", "rowcount_and_fingerprint", "rowcount_and_sample_hash"]
     assert readiness.Thresholds().max_chunks is None
