@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -25,10 +26,13 @@ from ..sources import storage
 from .common import partitions, small_batches
 
 END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 600_000
+#: Texts are encoded together up to this size; a longer one is encoded alone.
+TOGETHER_BYTES = 8 << 20
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sQQB")
 #: ASCII characters that a pre-tokenizer splits from the letters before them; not the ones that contractions or special tokens use.
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+TAIL_BYTES = TAIL.encode()
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
 
@@ -48,7 +52,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
         ones = np.bitwise_count(packed.reshape(-1, 64)).sum(1, dtype=np.int64)
         samples = np.r_[0, np.cumsum(ones)].astype("<u4")
         parts += [packed.tobytes(), samples.tobytes()]
-        current = np.concatenate([current[~bit], current[bit]])
+        current = current[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]  # places, as random bits make masks slow
     return b"".join(parts)
 
 
@@ -134,15 +138,15 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the stable partitions from the lowest plane up."""
-        current = np.zeros(self.n, np.uint32)
+        current = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level][0].view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(current)
             z = self.zeros[level]
-            above[~bit] = current[:z]
-            above[bit] = current[z:] | np.uint32(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~bit)] = current[:z]
+            above[np.flatnonzero(bit)] = current[z:] | current.dtype.type(1 << (self.width - 1 - level))
             current = above
-        return current
+        return current.astype(np.uint32)
 
 
 # --- tokenizing ------------------------------------------------------------------
@@ -198,10 +202,7 @@ class WordIds(dict):
                     ids = self[letters.encode()] + self[text[len(letters):].encode()]
                 else:
                     ids = self.straight(letters) if self.direct else self.whole(text)
-        if len(self) >= CACHED_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+        self._keep(word, ids)
         return ids
 
     def text(self, text: bytes) -> bytes:
@@ -209,6 +210,61 @@ class WordIds(dict):
             return self.whole(text.decode())
         return b"".join(map(self.__getitem__, text.lower().split()))
 
+    def distinct(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each lower-case word. Plain letters with a tail are put together from both parts and not kept, as the parts are."""
+        if not self.direct:
+            return list(map(self.__getitem__, words))
+        out, get, tokenize, kind, keep = [], self.get, self.model.tokenize, self.kind, self._keep
+        for word in words:
+            ids = get(word)
+            if ids is None:
+                letters = word.rstrip(TAIL_BYTES)
+                if not letters.isalpha():
+                    ids = self[word]
+                else:
+                    ids = get(letters)
+                    if ids is None:
+                        ids = self.old.get(letters) or array(kind, [t.id for t in tokenize(letters.decode())]).tobytes()
+                        keep(letters, ids)
+                    if len(letters) < len(word):
+                        ids += self[word[len(letters):]]
+            out.append(ids)
+        return out
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        if len(self) >= CACHED_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text ends in them; as ``text`` gives them one by one.
+
+        Arrow finds the distinct words of all texts together, each is looked up once, and numpy gathers the ids.
+        """
+        kind = np.dtype("<u2" if self.kind == "H" else "<u4")
+        apart = pc.match_substring(texts, "<|") if self.by_word else pa.array([True] * len(texts))
+        plain = pc.if_else(apart, "", texts) if pc.any(apart, min_count=0).as_py() else texts
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words = lists.flatten().dictionary_encode()
+        # words hold no line feeds, so one text of all of them is the short way to Python
+        listed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), "\n")
+        known = self.distinct(listed[0].as_buffer().to_pybytes().split(b"\n") if len(words.dictionary) else [])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // kind.itemsize
+        pool, index = np.frombuffer(b"".join(known), kind), words.indices.to_numpy()
+        counts = sizes[index]
+        reach = np.r_[0, np.cumsum(counts)]
+        shift = (np.cumsum(sizes) - sizes)[index] - reach[:-1]
+        ids = pool[np.repeat(shift.astype(np.int32), counts) + np.arange(reach[-1], dtype=np.int32)]
+        offsets = lists.offsets.to_numpy()
+        ends = reach[offsets[1:] - offsets[0]]
+        if plain is not texts:
+            parts = np.split(ids, ends[:-1])
+            for i in np.flatnonzero(apart.to_numpy(zero_copy_only=False)):
+                parts[i] = np.frombuffer(self.text(texts[i].as_py().encode()), kind)
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
+
 
 _READY: dict[int, WordIds] = {}
 
@@ -224,32 +280,68 @@ def _word_ids(model) -> WordIds:
     return _READY[key]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts (null as empty) of documents in a row, about ``TOGETHER_BYTES`` of them at a time."""
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        reach = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            before = reach[low - 1] if low else 0
+            to = max(low + 1, int(np.searchsorted(reach, before + TOGETHER_BYTES - size, "right")))
+            if held and reach[to - 1] - before > TOGETHER_BYTES - size:
+                to = low
+            if to > low:
+                held.append((batch.column(0).slice(low, to - low), texts.slice(low, to - low)))
+                size, low = size + int(reach[to - 1] - before), to
+            if low < len(texts) or size >= TOGETHER_BYTES:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[pa.Array, pa.Array]]) -> tuple[list[int | None], pa.Array]:
+    ids, texts = zip(*held)
+    return pa.concat_arrays(ids).to_pylist(), pa.concat_arrays(texts)
+
+
 def _encode(model, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _word_ids(model)
         kind = np.dtype("<u2" if cache.kind == "H" else "<u4")
-        end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        doc_ids, texts, sizes, held = [], [], [], 0
+        doc_ids, held, sizes, n = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(texts), kind)
+            ids = np.concatenate(held)
             payload = pack(ids, doc_ids, np.cumsum(sizes))
             return pa.record_batch({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()),
                                     "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()),
                                     "payload": pa.array([payload], pa.binary())})
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = cache.text(text.as_py() or b"") + end
-                doc_ids.append(doc)
-                texts.append(ids)
-                sizes.append(len(ids) // kind.itemsize)
-                held += sizes[-1]
-                if held >= shard_tokens:
+        for docs, texts in _together(batches):
+            if len(texts) == 1:
+                ids = np.frombuffer(cache.text(texts[0].as_py().encode()), kind)
+                ends = np.array([len(ids)])
+            else:
+                ids, ends = cache.texts(texts)
+            ids = np.insert(ids, ends, kind.type(end_id))
+            ends = ends + np.arange(1, len(ends) + 1)
+            low = done = 0  # documents and ids that stand in a shard
+            while low < len(docs):
+                # the first document with which the shard is full, or all that are left
+                to = min(len(docs), int(np.searchsorted(ends, done + shard_tokens - n)) + 1)
+                doc_ids += docs[low: to]
+                sizes += np.diff(ends[low: to], prepend=done).tolist()
+                held.append(ids[done: ends[to - 1]])
+                n += int(ends[to - 1]) - done
+                low, done = to, int(ends[to - 1])
+                if n >= shard_tokens:
                     yield flush()
                     seq += 1
-                    doc_ids, texts, sizes, held = [], [], [], 0
+                    doc_ids, held, sizes, n = [], [], [], 0
         if doc_ids:
             yield flush()
     return run
