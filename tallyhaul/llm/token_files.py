@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources import storage
-from .common import partitions, small_batches
+from .common import partitions, return_memory, small_batches
 
-END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 600_000
+END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 400_000
 #: Texts are encoded together up to this size; a longer one is encoded alone.
-TOGETHER_BYTES = 8 << 20
+TOGETHER_BYTES = 4 << 20
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sQQB")
 #: ASCII characters that a pre-tokenizer splits from the letters before them; not the ones that contractions or special tokens use.
@@ -309,6 +309,7 @@ def _joined(held: list[tuple[pa.Array, pa.Array]]) -> tuple[list[int | None], pa
 
 def _encode(model, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         cache = _word_ids(model)
         kind = np.dtype("<u2" if cache.kind == "H" else "<u4")
         part, seq = TaskContext.get().partitionId(), 0
@@ -372,6 +373,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 # --- reading ----------------------------------------------------------------------
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return_memory()
     for batch in batches:
         for part, seq, payload in zip(*(batch.column(c) for c in ("part", "seq", "payload"))):
             shard = Shard(payload.as_py())

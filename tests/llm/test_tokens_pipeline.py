@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -115,23 +116,16 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir):
 
 def test_texts_encoded_together_have_the_ids_of_each_alone(monkeypatch):
     """Groups of texts of any size, long ones between short ones, special tokens inside texts, white space of all kinds."""
-    import random
-
-    import numpy as np
-    import pyarrow as pa
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = tokenizer()
     rnd = random.Random(3)
     parts = ["a", "Bee", "é", "İ", "ß", ",", "...", "'s", "don't", " ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x85", "　", "<|endoftext|>", "12", "中", "ﬁ", "\x00"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.choice([0, 1, 5, 40]))) for _ in range(400)] + [None, "", " ", "word, " * 300]
     table = pa.table({"id": pa.array(range(len(texts))), "text": pa.array(texts)})
-    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     for size in (1, 60, 500, 1 << 20):
-        monkeypatch.setattr(token_files, "TOGETHER_BYTES", size)
-        words, got, seen = token_files.WordIds(tokenizer), [], []
-        for docs, group in token_files._together(iter(table.to_batches(37))):
+        monkeypatch.setattr(T, "TOGETHER_BYTES", size)
+        words, got, seen = T.WordIds(plain), [], []
+        for docs, group in T._together(iter(table.to_batches(37))):
             assert len(group) == 1 or sum(len(t.as_py().encode()) for t in group) <= size
             ids, ends = words.texts(group)
             seen += docs
