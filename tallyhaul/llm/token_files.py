@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..sources import storage
 from .common import partitions, return_memory, small_batches
 
-END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 400_000
+END_ID, SHARD_TOKENS, CACHED_WORDS = 2, 1 << 16, 600_000
 #: Texts are encoded together up to this size; a longer one is encoded alone.
 TOGETHER_BYTES = 4 << 20
 MAGIC = b"WVM1"
@@ -52,7 +52,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
         ones = np.bitwise_count(packed.reshape(-1, 64)).sum(1, dtype=np.int64)
         samples = np.r_[0, np.cumsum(ones)].astype("<u4")
         parts += [packed.tobytes(), samples.tobytes()]
-        current = current[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]  # places, as random bits make masks slow
+        current = np.concatenate([current[np.flatnonzero(~bit)], current[np.flatnonzero(bit)]])  # places, as random bits make masks slow
     return b"".join(parts)
 
 
