@@ -70,6 +70,17 @@ def return_memory() -> None:
         pass
 
 
+def trim_memory() -> None:
+    """In a worker process, after a large step: pages that are free now go back to the system."""
+    import ctypes
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def drop(*stored: DataFrame) -> None:
     """Remove tables that ``settle`` stored, when all that was made from them is stored as well."""
     for df in stored:

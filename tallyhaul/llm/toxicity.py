@@ -7,10 +7,12 @@ logistic layer turns the strongest windows and their sum into the document's sco
 
 Fitting uses at most ``PER_CLASS`` labelled documents of each label in a fixed pseudo-random order; those over ``FIT_CHARS``
 characters have at most ``LONG_CHARS`` together. These are the only bounds; scoring reads whole texts, in map tasks, without a shuffle.
+The network is fitted in a task, which sends its numbers (about 3 MB) to the driver; texts do not come there.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import hashing
-from .common import settle, small_batches
+from .common import settle, small_batches, trim_memory
 
 SPAN, STEP, HIDDEN, BITS = 16, 8, 8, 18
 PER_CLASS, FIT_CHARS, LONG_CHARS, EPOCHS = 2500, 20_000, 2_000_000, 8
@@ -307,7 +309,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, fit_chars: int = FIT_CHARS,
         id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample of the labelled rows that are not held out: ``per_class`` ids of each label, in a fixed pseudo-random order.
+    """Train, in one task, on a bounded sample of the labelled rows that are not held out: ``per_class`` ids of each label, in a fixed pseudo-random order.
 
     Of documents over ``fit_chars`` characters those take part that have ``LONG_CHARS`` together; the next ones that fit take the places of others."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(
@@ -324,9 +326,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         sample = some if sample is None else sample.unionAll(some)
     sample = settle(sample.dropDuplicates(["id"]), "toxicity_sample")  # 2 x per_class rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").filter(
-        "text IS NOT NULL").collect()
-    rows = sorted({r.id: r for r in sorted(rows, key=lambda r: (r.id, r.text))}.values(), key=lambda r: (r.h, r.id))
-    return train([r.text for r in rows], [r.y for r in rows])
+        "text IS NOT NULL").select("id", "text", "y", "h")
+    small_batches(docs.sparkSession)
+    learn = train
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], r["text"]))}.values(), key=lambda r: (r["h"], r["id"]))
+        model = pickle.dumps(learn([r["text"] for r in rows], [r["y"] for r in rows]))
+        del rows
+        trim_memory()
+        yield pa.record_batch({"model": pa.array([model], pa.binary())})
+
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else learn([], [])
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import duckdb
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -223,6 +224,23 @@ def test_long_labelled_documents_are_fitted(spark, monkeypatch):
     assert not any("huge" in t for t in texts)
 
 
+def test_network_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the fitted network, and neither the texts nor the memory of the fitting; the network is the one that the same rows give here."""
+    train, r = toxicity.train, random.Random(8)
+    rows = [(i, " ".join(r.choice(["vilething", "calm", "word", "other", f"w{i % 9}"] if i % 3 else ["calm", "word"]) for _ in range(30)), int(i % 3 > 0))
+            for i in range(90)]
+    docs = spark.createDataFrame([q[:2] for q in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(q[0], q[2]) for q in rows], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: (os.getpid(), texts, y))
+    pid, texts, y = toxicity.fit(docs, labels)
+    assert pid != os.getpid()
+    assert sorted(zip(texts, y)) == sorted((t, k) for i, t, k in rows if crc(i, 3) != 1)
+    here, texts = train(texts, y), pa.array([q[1] for q in rows])
+    assert np.allclose(here.scores(texts), fitted.scores(texts), atol=1e-6)
+    assert toxicity.fit(docs.filter("doc_id < 0"), labels)[1:] == ([], [])
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(13)], "doc_id long, toxic int, text string")
